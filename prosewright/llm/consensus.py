@@ -1,13 +1,20 @@
 """Consensus labels from several annotators, weighted by spectral reliability.
 
-Two annotators' agreement beyond chance, over the rows both labelled, is about the product of their reliabilities, so
-the leading eigenvector of the chance-centred agreement matrix, corrected for how many rows each pair shares, ranks
-them. The matrix is never formed and no pair of votes is emitted: with s_l the summed reliability of a row's votes for
-label l, and s all of them, an annotator's product with the matrix is a sum over their votes of (s_l - own) - chance x
-(s - own), and the overlap correction the same sum of squares; each power step is one sparse join of votes and
-annotators followed by sums per row, per (row, label) and per annotator.
-
-The weight of a vote is the log-odds that an annotator of that reliability is right, given the number of labels.
+Annotators see the label a row already has, and some just keep it. So agreement is centred by chance given that label:
+with x = 1 for a vote that keeps it, m an annotator's rate of doing so, and c the chance that two other labels
+coincide, two votes a, b contribute
+
+    [same label, not the shown one] - c (1 - m_a)(1 - m_b) + (x_a - m_a)(x_b - m_b).
+
+Its mean over the rows both labelled is about r_a r_b times a constant of the log, r being the chance that an annotator
+knows the right label; one who always keeps, or always guesses, agrees with nobody beyond chance. The leading
+eigenvector of this matrix, corrected for how many rows each pair shares, gives r. The matrix is never formed and no
+pair of votes is emitted: an annotator's product with it is a sum over their votes of totals per row and per (row,
+label), and so is the overlap correction; each power step is one sparse join of votes and annotators.
+
+A vote's weight is the log of how much likelier the vote is if its label is right, for an annotator who knows the
+label with r, and else keeps the shown one with h or picks any of the labels. Without a shown label all this is the
+plain form (m = 0, h = 0).
 """
 
 from __future__ import annotations
@@ -38,47 +45,81 @@ def last_votes(log: DataFrame) -> DataFrame:
     return v.groupBy("row_id", "annotator").agg(last.alias("x")).select("row_id", "annotator", "x.label", "x.original")
 
 
-def reliability(votes: DataFrame, steps: int = 12, tolerance: float = 1e-4) -> DataFrame:
-    """(annotator, votes, shared, reliability): reliability 1 is always right, 0 no better than chance.
+def _step(votes: DataFrame, r: DataFrame, c: float, kappa: float) -> DataFrame:
+    """One corrected power step: (annotator, new, shared)."""
+    row, row_label = Window.partitionBy("row_id"), Window.partitionBy("row_id", "label")
+    x = votes.join(r.select("annotator", "r", "keeps"), "annotator").withColumn("x", F.col("kept") - F.col("keeps")).withColumn("o", 1 - F.col("keeps"))
+    x = x.withColumn("u", F.sum(F.col("r") * F.col("o")).over(row)).withColumn("v", F.sum(F.col("r") * F.col("x")).over(row))
+    x = x.withColumn("q", F.sum(F.col("r") * F.col("r")).over(row)).withColumn("k", F.count(F.lit(1)).over(row)).withColumn("sl", F.sum("r").over(row_label)).where("k > 1")
+    own = F.col("r")
+    same = F.when(F.col("kept") == 0, F.col("sl") - own).otherwise(F.lit(0.0))
+    part = same - c * F.col("o") * (F.col("u") - F.col("o") * own) + F.col("x") * (F.col("v") - F.col("x") * own)
+    return x.groupBy("annotator").agg((F.sum(part) / (kappa * F.sum(F.col("q") - own * own))).alias("new"), F.sum(F.col("k") - 1).alias("shared"))
+
 
-    An annotator who shares no row with others tends to 0.5. `votes` must be cut
-    from its lineage by the caller; it is read once a step.
+def reliability(votes: DataFrame, rounds: int = 3, steps: int = 8, tolerance: float = 2e-3) -> DataFrame:
+    """(annotator, votes, shared, keeps, reliability, habit): reliability 1 always knows, 0 never; habit: how often one who doesn't know keeps the shown label.
+
+    An annotator who shares no row with others stays near 0.5. The share of rows whose shown label is wrong sets the
+    constant; it is taken from the consensus, and both are refined in `rounds`. `votes` (of last_votes) must be cut from
+    its lineage by the caller; it is read once a step. An empty log gives an empty table.
     """
-    totals = votes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    all_ = totals.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    chance = float(all_["nn"]) / float(all_["n"]) ** 2 if all_["n"] else 0.0
-    row, row_label = Window.partitionBy("row_id"), Window.partitionBy("row_id", "label")
-    r = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes")).withColumn("r", F.lit(0.7))
-    change = 1.0
-    for _ in range(steps):
-        x = votes.join(r.select("annotator", "r"), "annotator").withColumn("s", F.sum("r").over(row)).withColumn("q", F.sum(F.col("r") * F.col("r")).over(row)).withColumn("k", F.count(F.lit(1)).over(row))
-        x = x.withColumn("sl", F.sum("r").over(row_label)).where("k > 1")
-        own = F.col("r")
-        up = F.sum((F.col("sl") - own - chance * (F.col("s") - own)) / (1 - chance)) if chance < 1 else F.sum(F.lit(0.0))
-        new = x.groupBy("annotator").agg((up / F.sum(F.col("q") - own * own)).alias("new"), F.sum(F.col("k") - 1).alias("shared"))
-        old = r.select("annotator", "votes", F.col("r").alias("old"))
-        r = old.join(new, "annotator", "left")
-        r = r.select("annotator", "votes", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), "old", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.coalesce("new", F.lit(0.5)))).alias("new_r"))
-        # damped: the plain step can swing between two vectors
-        r = cut(r.select("annotator", "votes", "shared", "old", ((F.col("old") + F.col("new_r")) / 2).alias("r")))
-        change = r.agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
-        if change is None or change < tolerance:
+    votes = votes.withColumn("kept", F.coalesce((F.col("label") == F.col("original")).cast("double"), F.lit(0.0)))
+    q = votes.where("kept = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    c = float(q["nn"]) / float(q["n"]) ** 2 if q["n"] else 0.0
+    labels = votes.select("label").distinct().count()
+    r = cut(votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), F.avg("kept").alias("keeps")).withColumn("r", F.lit(0.7)).withColumn("shared", F.lit(0).cast("long")))
+    wrong = 0.1 if votes.where("kept = 1").limit(1).count() else 1.0
+    for _ in range(rounds):
+        kappa = max(1e-6, wrong * (2 - wrong) - c * wrong * wrong)
+        for _ in range(steps):
+            new = _step(votes, r, c, kappa)
+            n = r.select("annotator", "votes", "keeps", F.col("r").alias("old")).join(new, "annotator", "left")
+            to = F.greatest(F.lit(0.001), F.least(F.lit(0.99), F.coalesce("new", F.lit(0.5))))
+            # damped: the plain step can swing between two vectors
+            r = cut(n.select("annotator", "votes", "keeps", "old", ((F.col("old") + to) / 2).alias("r"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared")))
+            change = r.agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
+            if change is None or change < tolerance:
+                break
+        habit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("keeps") - F.col("r") * (1 - wrong)) / (1 - F.col("r"))))
+        out = r.select("annotator", "votes", "shared", "keeps", F.col("r").alias("reliability"), habit.alias("habit"))
+        found = consensus(votes, out, labels, wrong).agg(F.avg((F.col("label") != F.coalesce("original", F.lit(""))).cast("double"))).first()[0]
+        if found is None or abs(found - wrong) < 0.002:
             break
-    return r.select("annotator", "votes", "shared", F.col("r").alias("reliability"))
+        wrong = min(1.0, max(0.002, found))
+    return out
+
+
+def refined(votes: DataFrame, annotators: DataFrame, rows: DataFrame, strength: float = 10.0) -> DataFrame:
+    """Annotators with reliability and habit checked against a consensus (`rows`): reliability is the share of right votes
+    where the shown label is wrong, the spectral value counting as `strength` such votes; habit follows from the rest."""
+    v = votes.join(rows.select("row_id", F.col("label").alias("right")), "row_id").withColumn("ok", (F.col("label") == F.col("right")).cast("double"))
+    changed = F.coalesce(F.col("right") != F.col("original"), F.lit(True))
+    n = v.groupBy("annotator").agg(F.sum(F.when(changed, F.col("ok"))).alias("a1"), F.sum(changed.cast("double")).alias("n1"), F.sum(F.when(~changed, F.col("ok"))).alias("a0"), F.sum((~changed).cast("double")).alias("n0"))
+    j = annotators.join(n, "annotator", "left").fillna(0.0, ["a1", "n1", "a0", "n0"])
+    j = j.withColumn("reliability", F.least(F.lit(0.995), (F.col("a1") + strength * F.col("reliability")) / (F.col("n1") + strength)))
+    kept = (F.col("a0") + F.lit(1.0)) / (F.col("n0") + F.lit(2.0))
+    h = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (kept - F.col("reliability")) / (1 - F.col("reliability"))))
+    return j.select("annotator", "votes", "shared", "keeps", "reliability", h.alias("habit"))
 
 
-def consensus(votes: DataFrame, annotators: DataFrame, labels: int) -> DataFrame:
-    """(row_id, label, agreement, confidence, n_votes, original): the label of greatest summed weight, ties to the label with more votes, then the lesser.
+def consensus(votes: DataFrame, annotators: DataFrame, labels: int, wrong: float | None = None) -> DataFrame:
+    """(row_id, label, agreement, confidence, n_votes, original): the label the weighted votes show, for each row with a vote.
 
-    agreement: share of the row's votes for it; confidence: its posterior among the labels voted for. Reliability is
-    agreement beyond chance, so an annotator is right with p = c + (1 - c) r, c = 1 / labels.
+    agreement: share of the row's votes for it; confidence: its posterior among the labels voted for. `wrong`, the
+    share of shown labels expected to be wrong, is the prior for keeping; null leaves it out. Ties go to the label with
+    more votes, then to the first in order.
     """
-    c = 1.0 / max(2, labels)
-    p = F.least(F.lit(0.995), F.lit(c) + (1 - c) * F.col("reliability"))
-    w = F.greatest(F.lit(0.0), F.log(p * (max(2, labels) - 1) / (1 - p)))
-    v = votes.join(annotators.select("annotator", "reliability"), "annotator").withColumn("w", w)
+    k = float(max(2, labels))
+    v = votes.join(annotators.select("annotator", "reliability", "habit"), "annotator")
+    kept = F.coalesce(F.col("label") == F.col("original"), F.lit(False))
+    guess = (1 - F.col("reliability")) * (F.when(kept, F.col("habit")).otherwise(F.lit(0.0)) + (1 - F.col("habit")) / k) + F.lit(1e-4)
+    v = v.withColumn("w", F.log((F.col("reliability") + guess) / guess))
     per = v.groupBy("row_id", "label").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.max("original").alias("original"))
-    top = F.max_by(F.struct("label", "w", "n"), F.struct(F.round("w", 9), "n", F.expr("transform(split(label, ''), x -> -ascii(x))")))
-    row = per.groupBy("row_id").agg(top.alias("t"), F.collect_list("w").alias("ws"), F.sum("n").alias("n_votes"), F.max("original").alias("original"))
-    odds = F.aggregate("ws", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("t.w")))
+    if wrong is not None and wrong < 1:
+        per = per.withColumn("w", F.col("w") + F.when(F.col("label") == F.col("original"), F.log(F.lit((1 - wrong) / (wrong / k)))).otherwise(F.lit(0.0)))
+    row = per.groupBy("row_id").agg(F.collect_list(F.struct("label", "w", "n")).alias("all"), F.sum("n").alias("n_votes"), F.max("original").alias("original"))
+    best = F.array_sort(F.col("all"), lambda a, b: F.when(F.abs(a.w - b.w) > 1e-9, F.signum(b.w - a.w).cast("int")).when(a.n != b.n, F.signum(b.n - a.n).cast("int")).when(a.label < b.label, -1).when(a.label > b.label, 1).otherwise(0))[0]
+    row = row.withColumn("t", best)
+    odds = F.aggregate(F.col("all"), F.lit(0.0), lambda acc, x: acc + F.exp(x.w - F.col("t.w")))
     return row.select("row_id", F.col("t.label").alias("label"), (F.col("t.n") / F.col("n_votes")).alias("agreement"), (1 / odds).alias("confidence"), "n_votes", "original")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, mix
+from prosewright.llm import cube, group_split, mix, token_ids
 from prosewright.session import cut, table
 
 
@@ -61,7 +61,11 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 def _consensus(spark, d):
     votes = cut(cons.last_votes(table(spark, d, "voting_log")))
     trust = cut(cons.reliability(votes))
-    return cons.consensus(votes, trust, votes.select("label").distinct().count()), trust
+    labels = votes.select("label").distinct().count()
+    first = cut(cons.consensus(votes, trust, labels))
+    wrong = first.agg(F.avg((F.col("label") != F.coalesce("original", F.lit(""))).cast("double"))).first()[0]
+    trust = cut(cons.refined(votes, trust, first))
+    return cons.consensus(votes, trust, labels, wrong), trust
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,4 +81,8 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids.encode_column(table(spark, d, "documents"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
