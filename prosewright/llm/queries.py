@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, mix, token_ids
+from prosewright.llm import cube, group_split, leakage, mix, token_ids
 from prosewright.session import cut, table
 
 
@@ -85,4 +85,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.encode_column(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "holdout_items")).select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents, and their longest passage."""
+    items = table(spark, d, "holdout_items").select("item_id", "split", "content_domain")
+    hits = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "holdout_items"))
+    return items.join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("n_words").alias("longest")), "item_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
