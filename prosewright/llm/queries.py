@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, leakage, mix, token_ids
+from prosewright.llm import cube, group_split, leakage, mix, near_dup, token_ids
 from prosewright.session import cut, table
 
 
@@ -15,6 +15,14 @@ def _mix_inputs(spark, d, weight=None):
     return mix.usable_rows(table(spark, d, "golden_train"), plan, weight=weight), plan
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.row_pairs(*near_dup.near_duplicates(table(spark, d, "golden_train")))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicate_groups(table(spark, d, "golden_train")).withColumnRenamed("id", "row_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_report(*_mix_inputs(spark, d)).where("short").select("name")
 
