@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, leakage, mix, near_dup, token_ids
+from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, token_ids
 from prosewright.session import cut, table
 
 
@@ -66,6 +66,15 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return cube.cube_sample(rows, targets).withColumnRenamed("id", "row_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_overlaps(table(spark, d, "eval_samples"), table(spark, d, "golden_train")).select("sample_id", "row_id")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    evals, train = table(spark, d, "eval_samples"), table(spark, d, "golden_train")
+    return overlap.overlap_report(overlap.cross_split_overlaps(evals, train), evals, train)
+
+
 def _consensus(spark, d):
     votes = cut(cons.last_votes(table(spark, d, "voting_log")))
     trust = cut(cons.reliability(votes))
