@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, token_ids
+from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, residue, token_ids
 from prosewright.session import cut, table
 
 
@@ -113,4 +113,8 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("n_words").alias("longest")), "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.template_residue(table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
