@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
-from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, residue, token_ids
+from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, profiles, residue, token_ids
 from prosewright.session import cut, table
 
 
@@ -98,6 +98,21 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
 
+def _structure(spark, d):
+    words = profiles.dictionary(table(spark, d, "wordlist"))
+    fitted = profiles.fit_profiles(table(spark, d, "golden_train"), words)
+    return profiles.structure(table(spark, d, "documents"), fitted, words)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    odd = _structure(spark, d).where("prose_share < 0.5").select(F.col("id").alias("doc_id"))
+    return odd.join(p10_found(spark, d), "doc_id", "left_anti")
+
+
+def p7_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return _structure(spark, d).withColumnRenamed("id", "doc_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.encode_column(table(spark, d, "documents"))
 
