@@ -58,7 +58,8 @@ class Texts:
                 flat += codes.encode(w)
         self.rows = np.array(rows, np.int64)
         self.starts = np.array(starts, np.int64)
-        self.tokens = bag_tokens(np.array(flat, np.uint32), self.starts)
+        self.codes = np.array(flat, np.uint32)
+        self.tokens = bag_tokens(self.codes, self.starts)
         self.lengths = np.diff(np.append(self.starts, len(flat)))
         self.n = len(rows)
 

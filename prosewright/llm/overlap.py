@@ -1,6 +1,6 @@
 """Same or near-same records across splits.
 
-Of every evaluation text some passages of WINDOW words are chosen, those round its rarest words, and written in a
+Of every evaluation text some passages of WINDOW words are chosen, those fewest others share, and written in a
 normalised form of three letters a word. They are sharded so that the Aho-Corasick automaton of a shard fits a worker,
 and every training text is scanned by each shard's automaton. The matched intervals of a training text are merged into
 the share of an evaluation text they cover; pairs with enough coverage are verified exactly on their word multisets.
@@ -13,108 +13,121 @@ work is training words x shards, and nothing of either side is collected.
 from __future__ import annotations
 
 import string
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosewright.functions.words import WordCodes, words
+from prosewright.functions.words import WordCodes, mix64, words
 from prosewright.llm.near_dup import Texts
 from prosewright.session import shared_path, stored
 
 WINDOW = 3
 #: One chosen passage for so many words.
-EVERY = 5
-SHARD_PASSAGES = 1_000_000
+EVERY = 6
+SHARD_PASSAGES = 1_500_000
 #: Share of an evaluation text that must be covered for a pair to be verified.
-LEAST_COVER = 0.05
+LEAST_COVER = 0.1
+#: Buckets of the token histograms that bound a pair's similarity from above.
+BINS = 128
 
-_LETTERS = string.ascii_letters + string.digits + "+/"
+_LETTERS = np.frombuffer((string.ascii_letters + string.digits + "+/").encode(), np.uint8)
 _BUCKETS = 1 << 18
+_WINDOWS = 1 << 20
 
 
-class _Letters:
-    """Three letters for a word, of 18 bits of its code; bounded memory as in WordCodes."""
-
-    def __init__(self, limit: int = 400_000):
-        self.seen: dict[str, str] = {}
-        self.limit = limit
-
-    def of(self, ws: list[str]) -> list[str]:
-        seen = self.seen
-        try:
-            return [seen[w] for w in ws]
-        except KeyError:
-            if len(seen) > self.limit:
-                seen.clear()
-        out = []
-        for w in ws:
-            s = seen.get(w)
-            if s is None:
-                c = bucket(w)
-                s = seen[w] = _LETTERS[c >> 12] + _LETTERS[(c >> 6) & 63] + _LETTERS[c & 63]
-            out.append(s)
-        return out
+def window_codes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each window."""
+    h = np.zeros(max(0, len(codes) - WINDOW + 1), np.uint64)
+    for k in range(WINDOW):
+        h = mix64(h + codes[k : k + len(h)].astype(np.uint64) + np.uint64(k + 1))
+    return h
+
 
+def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of a text's words, and those of its windows."""
+    return codes & (_BUCKETS - 1), (window_codes(codes) & np.uint64(_WINDOWS - 1)).astype(np.int64) + _BUCKETS
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (_BUCKETS - 1)
 
+def _counts(min_words: int):
+    """In how many texts words and windows occur, by counter."""
 
-def _word_counts(min_words: int):
     def run(batches):
         codes = WordCodes()
-        total = np.zeros(_BUCKETS, np.int64)
+        total = np.zeros(_BUCKETS + _WINDOWS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 w = words(t)
                 if len(w) >= min_words:
-                    total[np.unique(np.array(codes.encode(w), np.int64) & (_BUCKETS - 1))] += 1
+                    total[np.unique(np.concatenate(_buckets(np.array(codes.encode(w), np.int64))))] += 1
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["bucket", "n"])
 
     return run
 
 
-def chosen_windows(counts: np.ndarray) -> np.ndarray:
-    """Starts of the windows to keep: rarest words first, none overlapping, one for EVERY words. counts: how common each word of the text is."""
-    n = len(counts)
-    windows = np.lib.stride_tricks.sliding_window_view(counts, WINDOW)
-    rank = np.lexsort((np.arange(len(windows)), windows.sum(axis=1), windows.min(axis=1)))
-    taken, out, want = np.zeros(n, bool), [], max(1, n // EVERY)
+def chosen_windows(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Starts of the windows to keep: those in the fewest texts first, none overlapping, one for EVERY words.
+
+    A window is in no more texts than its counter says, nor in more than the rarest of its words.
+    """
+    of_words, of_windows = _buckets(codes)
+    w = np.lib.stride_tricks.sliding_window_view(counts[of_words].astype(np.int64), WINDOW)
+    n = len(codes)
+    rank = np.argsort((np.minimum(counts[of_windows], w.min(axis=1)) << 34) + w.sum(axis=1), kind="stable")
+    taken, out, want = bytearray(n), [], max(1, n // EVERY)
+    full = bytes([1]) * WINDOW
     for s in rank.tolist():
-        if not taken[s : s + WINDOW].any():
-            taken[s : s + WINDOW] = True
+        if 1 not in taken[s : s + WINDOW]:
+            taken[s : s + WINDOW] = full
             out.append(s)
             if len(out) == want:
                 break
     return np.array(sorted(out), np.int32)
 
 
+def letters(codes: np.ndarray) -> str:
+    """Three letters for each word, of 18 bits of its code."""
+    c = codes & (_BUCKETS - 1)
+    return _LETTERS[np.stack([c >> 12, (c >> 6) & 63, c & 63], axis=1)].tobytes().decode("ascii")
+
+
+def histograms(t: Texts) -> np.ndarray:
+    """texts x BINS: how many tokens of each text fall into each bucket. The sum of the lesser counts of two texts is at least what they have in common."""
+    owner = np.repeat(np.arange(t.n), t.lengths)
+    return np.bincount(owner * BINS + (t.tokens % np.uint64(BINS)).astype(np.int64), minlength=t.n * BINS).reshape(t.n, BINS).clip(max=65535).astype(np.uint16)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, step: int = 1 << 15) -> np.ndarray:
+    """Which pairs (i of a, j of b) can reach the threshold, by their histograms. Never false for one that does."""
+    out = np.empty(len(i), bool)
+    for s in range(0, len(i), step):
+        p, q = i[s : s + step], j[s : s + step]
+        common = np.minimum(a[p], b[q]).sum(axis=1, dtype=np.int64)
+        out[s : s + step] = common >= threshold * (na[p] + nb[q] - common) - 1e-6
+    return out
+
+
 def _passages(counts, min_words: int, shards: int):
     def run(batches):
-        codes, letters = WordCodes(), _Letters()
-        common = counts.value
+        codes, common = WordCodes(), counts.value
         for b in batches:
-            texts = b.column(0).to_pylist()
-            t = Texts(texts, codes, min_words)
+            t = Texts(b.column(0).to_pylist(), codes, min_words)
             if not t.n:
                 continue
             cls, where, pats = t.classes(), [], []
             short = (t.tokens >> np.uint64(32)).astype(np.uint32)
             _, one = np.unique(cls, return_index=True)
             for i in one:
-                w = words(texts[t.rows[i]])
-                at = chosen_windows(common[np.array(codes.encode(w), np.int64) & (_BUCKETS - 1)])
-                s = "".join(letters.of(w))
+                c = t.codes[t.starts[i] : t.starts[i] + t.lengths[i]].astype(np.int64)
+                at, s = chosen_windows(c, common), letters(c)
                 where.append(at.tobytes())
                 pats.append("".join(s[3 * a : 3 * (a + WINDOW)] for a in at))
             bags = [short[t.starts[i] : t.starts[i] + t.lengths[i]].tobytes() for i in one]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((cls[one] % shards).astype(np.int32)), pa.array(cls[one]), pa.array(t.lengths[one].astype(np.int32)), pa.array(where, pa.binary()), pa.array(pats, pa.string()), pa.array(bags, pa.binary())],
-                names=["shard", "cls", "n", "starts", "passages", "bag"],
+                [pa.array((cls[one] % shards).astype(np.int32)), pa.array(cls[one]), pa.array(t.lengths[one].astype(np.int32)), pa.array(where, pa.binary()), pa.array(pats, pa.string()), pa.array([h.tobytes() for h in histograms(t)[one]], pa.binary()), pa.array(bags, pa.binary())],
+                names=["shard", "cls", "n", "starts", "passages", "histogram", "bag"],
             )
 
     return run
@@ -129,29 +142,25 @@ class _Shard:
         import pyarrow.fs as fs
 
         system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        t = ds.dataset(f"{inner}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["cls", "n", "starts", "passages"])
-        t = t.group_by("cls").aggregate([("n", "first"), ("starts", "first"), ("passages", "first")]) if t.num_rows else t
-        names = t.column_names
-        self.cls = t.column("cls").to_numpy()
-        self.n = t.column("n_first" if "n_first" in names else "n").to_numpy()
-        starts = t.column("starts_first" if "n_first" in names else "starts").to_pylist()
-        passages = t.column("passages_first" if "n_first" in names else "passages").to_pylist()
-        number: dict[str, int] = {}
-        pid, text, pos = [], [], []
+        t = ds.dataset(f"{inner}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["cls", "n", "starts", "passages", "histogram"])
+        cls, one = np.unique(t.column("cls").to_numpy(), return_index=True)  # copies may come from several batches
+        t = t.take(pa.array(one))
+        self.cls, self.n = cls, t.column("n").to_numpy()
+        self.histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, BINS)
+        starts = t.column("starts").to_pylist()
         size = 3 * WINDOW
-        for k, (s, p) in enumerate(zip(starts, passages)):
-            at = np.frombuffer(s, np.int32)
-            for i, a in enumerate(at.tolist()):
-                pid.append(number.setdefault(p[size * i : size * (i + 1)], len(number)))
-                text.append(k), pos.append(a)
-        order = np.argsort(np.array(pid, np.int64), kind="stable")
-        self.text, self.pos = np.array(text, np.int64)[order], np.array(pos, np.int64)[order]
-        self.first = np.searchsorted(np.array(pid, np.int64)[order], np.arange(len(number) + 1))
+        passages = np.frombuffer("".join(t.column("passages").to_pylist()).encode("ascii"), f"S{size}")
+        distinct, number = np.unique(passages, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.text = np.repeat(np.arange(len(starts), dtype=np.int32), [len(x) // 4 for x in starts])[order]
+        self.pos = np.frombuffer(b"".join(starts), np.int32)[order]
+        self.first = np.searchsorted(number[order], np.arange(len(distinct) + 1))
+        del passages, number, order, starts, t
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p, k in number.items():
-            self.automaton.add_word(p, k)
-        self.empty = not number
-        if number:
+        for k, p in enumerate(distinct.tolist()):
+            self.automaton.add_word(p.decode("ascii"), k)
+        self.empty = not len(distinct)
+        if not self.empty:
             self.automaton.make_automaton()
 
 
@@ -168,18 +177,18 @@ def _shard(path: str, shard: int) -> _Shard:
 
 def _scan(path: str, shard: int, threshold: float, min_words: int):
     def run(batches):
-        codes, letters = WordCodes(), _Letters()
+        codes = WordCodes()
         s = _shard(path, shard)
         for b in batches:
             if s.empty:
                 continue
-            texts = b.column(1).to_pylist()
-            t = Texts(texts, codes, min_words)
+            t = Texts(b.column(1).to_pylist(), codes, min_words)
             if not t.n:
                 continue
             hit_text, hit_pid = [], []
-            for i, row in enumerate(t.rows.tolist()):
-                found = {p for e, p in s.automaton.iter("".join(letters.of(words(texts[row])))) if e % 3 == 2}
+            line = letters(t.codes)
+            for i, (a, n) in enumerate(zip((3 * t.starts).tolist(), (3 * t.lengths).tolist())):
+                found = {p for e, p in s.automaton.iter(line[a : a + n]) if e % 3 == 2}
                 hit_text += [i] * len(found)
                 hit_pid += found
             if not hit_pid:
@@ -201,6 +210,8 @@ def _scan(path: str, shard: int, threshold: float, min_words: int):
             at = np.flatnonzero(new)
             cover = np.add.reduceat(add, at) / s.n[ev[at]]
             at, cover = at[cover >= LEAST_COVER], cover[cover >= LEAST_COVER]
+            near = may_reach(histograms(t), s.histogram, txt[at], ev[at], t.lengths, s.n, threshold)
+            at, cover = at[near], cover[near]
             if not len(at):
                 continue
             short = (t.tokens >> np.uint64(32)).astype(np.uint32)
@@ -249,14 +260,14 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, eval_id: str = "sam
     e = evals.where(F.col("text").isNotNull() & F.col(eval_id).isNotNull())
     g = train.where(F.col("text").isNotNull() & F.col(train_id).isNotNull()).select(train_id, "text")
     eid, gid = dict(evals.dtypes)[eval_id], dict(train.dtypes)[train_id]
-    sums = e.select("text").mapInArrow(_word_counts(min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** 18 rows
-    common = np.zeros(_BUCKETS, np.int32)
+    sums = e.select("text").mapInArrow(_counts(min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a bounded number of counters
+    common = np.zeros(_BUCKETS + _WINDOWS, np.int32)
     common[sums["bucket"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
     chars = e.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // (6 * EVERY * SHARD_PASSAGES)))
     path = shared_path(spark, "passages")
-    e.select("text").mapInArrow(_passages(spark.sparkContext.broadcast(common), min_words, shards), "shard int, cls long, n int, starts binary, passages string, bag binary").write.partitionBy("shard").parquet(path)
-    kept = spark.read.schema("cls long, n int, starts binary, passages string, bag binary, shard int").parquet(path)
+    e.select("text").mapInArrow(_passages(spark.sparkContext.broadcast(common), min_words, shards), "shard int, cls long, n int, starts binary, passages string, histogram binary, bag binary").write.partitionBy("shard").parquet(path)
+    kept = spark.read.schema("cls long, n int, starts binary, passages string, histogram binary, bag binary, shard int").parquet(path)
     there = [r[0] for r in kept.select("shard").distinct().collect()]
     found = spark.createDataFrame([], f"id {gid}, cls long, coverage double, bag binary")
     for shard in sorted(there):
