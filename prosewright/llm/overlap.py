@@ -109,9 +109,20 @@ def may_reach(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, na: np
     return out
 
 
-def _passages(counts, min_words: int, shards: int):
+def shared_table(path: str, columns: list[str]) -> pa.Table:
+    """A Parquet table of the shared folder, read inside a worker."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return ds.dataset(inner, filesystem=system, format="parquet").to_table(columns=columns)
+
+
+def _passages(counts: str, min_words: int, shards: int):
     def run(batches):
-        codes, common = WordCodes(), counts.value
+        t = shared_table(counts, ["bucket", "n"])
+        codes, common = WordCodes(), np.zeros(_BUCKETS + _WINDOWS, np.int32)
+        common[t.column("bucket").to_numpy()] = np.minimum(t.column("n").to_numpy(), 2**31 - 1)
         for b in batches:
             t = Texts(b.column(0).to_pylist(), codes, min_words)
             if not t.n:
@@ -138,11 +149,8 @@ class _Shard:
 
     def __init__(self, path: str, shard: int):
         import ahocorasick
-        import pyarrow.dataset as ds
-        import pyarrow.fs as fs
 
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        t = ds.dataset(f"{inner}/shard={shard}", filesystem=system, format="parquet").to_table(columns=["cls", "n", "starts", "passages", "histogram"])
+        t = shared_table(f"{path}/shard={shard}", ["cls", "n", "starts", "passages", "histogram"])
         cls, one = np.unique(t.column("cls").to_numpy(), return_index=True)  # copies may come from several batches
         t = t.take(pa.array(one))
         self.cls, self.n = cls, t.column("n").to_numpy()
@@ -260,13 +268,12 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, eval_id: str = "sam
     e = evals.where(F.col("text").isNotNull() & F.col(eval_id).isNotNull())
     g = train.where(F.col("text").isNotNull() & F.col(train_id).isNotNull()).select(train_id, "text")
     eid, gid = dict(evals.dtypes)[eval_id], dict(train.dtypes)[train_id]
-    sums = e.select("text").mapInArrow(_counts(min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a bounded number of counters
-    common = np.zeros(_BUCKETS + _WINDOWS, np.int32)
-    common[sums["bucket"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
+    common = shared_path(spark, "counts")  # a bounded number of counters
+    e.select("text").mapInArrow(_counts(min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).write.parquet(common)
     chars = e.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // (6 * EVERY * SHARD_PASSAGES)))
     path = shared_path(spark, "passages")
-    e.select("text").mapInArrow(_passages(spark.sparkContext.broadcast(common), min_words, shards), "shard int, cls long, n int, starts binary, passages string, histogram binary, bag binary").write.partitionBy("shard").parquet(path)
+    e.select("text").mapInArrow(_passages(common, min_words, shards), "shard int, cls long, n int, starts binary, passages string, histogram binary, bag binary").write.partitionBy("shard").parquet(path)
     kept = spark.read.schema("cls long, n int, starts binary, passages string, histogram binary, bag binary, shard int").parquet(path)
     there = [r[0] for r in kept.select("shard").distinct().collect()]
     found = spark.createDataFrame([], f"id {gid}, cls long, coverage double, bag binary")
