@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from prosewright.functions.words import clean_name, is_blank, mix64, words_column
 from prosewright.operators.ranking import running_total
@@ -132,7 +133,7 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> n
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def permuted(j: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permute(j.to_numpy(), n.to_numpy(), key.to_numpy()))
 
