@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from prosewright.functions.textprims import ALNUM, WS, byte_prefix, count_of, lines, ltrim, ratio, rtrim, tokens, trim, unescape_newlines
 
@@ -35,8 +36,16 @@ HEADING = r"^#+ .*\S|^[=\-*~^\"'`]{3,}$"
 LIST_ITEM = rf"^(?:[-*•] |[0-9]+[.)] )[^{WS}]"
 SECTION = r"^\[[A-Za-z0-9_ .\-]+\]$"
 
-# Columns of shared primitives; dropped from the result.
-S, R, L, T, NE, W, N, K, M = (F.col(c) for c in ("_s", "_r", "_l", "_t", "_ne", "_w", "_chars", "_n", "_m"))
+class _Primitives:
+    """Columns of shared primitives by name; they are dropped from the result. Made on use, as a Column needs a session."""
+
+    names = ("s", "r", "l", "t", "ne", "w", "chars", "n", "m")
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"_{name}")
+
+
+P = _Primitives()
 
 
 def _share(hits: Callable[[Column], Column], of: Column, by: Column) -> Column:
@@ -49,14 +58,14 @@ def _most(values: Column, of: Column | None = None) -> Column:
 
 
 def _line_length_cv() -> Column:
-    sizes = F.transform(L, lambda x: F.octet_length(x).cast("double"))
+    sizes = F.transform(P.l, lambda x: F.octet_length(x).cast("double"))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.size(L)
-    var = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(L)
-    return F.when((F.size(L) < 2) | (mean < 1), F.lit(0.0)).otherwise(F.sqrt(var) / mean)
+    mean = total / F.size(P.l)
+    var = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(P.l)
+    return F.when((F.size(P.l) < 2) | (mean < 1), F.lit(0.0)).otherwise(F.sqrt(var) / mean)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_entropy(texts: pd.Series) -> pd.Series:
     """Shannon entropy of the characters of each text, in bits; 0 for null and empty ones."""
 
@@ -77,12 +86,12 @@ def _columns_before(line: Column) -> Column:
 
 def _delimiter_consistency() -> Column:
     def one(d: str) -> Column:
-        per = F.transform(L, lambda x: count_of(x, d))
+        per = F.transform(P.l, lambda x: count_of(x, d))
         # the most frequent count; of several the one seen first
         best = F.array_max(F.transform(F.array_distinct(per), lambda v: F.struct(F.size(F.filter(per, lambda c: c == v)).alias("f"), (-F.array_position(per, v)).alias("p"), v.alias("v"))))
-        return F.when(best["v"] > 0, best["f"] / F.size(L)).otherwise(F.lit(0.0))
+        return F.when(best["v"] > 0, best["f"] / F.size(P.l)).otherwise(F.lit(0.0))
 
-    return F.when(F.size(L) < 3, F.lit(0.0)).otherwise(F.greatest(*[one(d) for d in DELIMITERS]))
+    return F.when(F.size(P.l) < 3, F.lit(0.0)).otherwise(F.greatest(*[one(d) for d in DELIMITERS]))
 
 
 def _is_key_value(t: Column) -> Column:
@@ -92,17 +101,17 @@ def _is_key_value(t: Column) -> Column:
 
 
 def _repetitive_structure() -> Column:
-    shapes = F.transform(F.slice(L, 1, 20), lambda x: F.concat_ws(",", F.size(tokens(x)).cast("string"), *[F.contains(x, F.lit(d)).cast("string") for d in DELIMITERS]))
-    return F.when(F.size(L) < 3, F.lit(0.0)).otherwise(ratio(_most(shapes), F.size(shapes)))
+    shapes = F.transform(F.slice(P.l, 1, 20), lambda x: F.concat_ws(",", F.size(tokens(x)).cast("string"), *[F.contains(x, F.lit(d)).cast("string") for d in DELIMITERS]))
+    return F.when(F.size(P.l) < 3, F.lit(0.0)).otherwise(ratio(_most(shapes), F.size(shapes)))
 
 
 def _hyphenated() -> Column:
-    broken = F.zip_with(F.slice(L, 1, F.greatest(F.size(L) - 1, F.lit(0))), F.slice(L, 2, F.greatest(F.size(L) - 1, F.lit(0))), lambda a, b: rtrim(a).endswith("-") & ltrim(b).rlike(r"^\p{IsLowercase}"))
-    return F.when(F.size(L) < 2, F.lit(0.0)).otherwise(ratio(F.size(F.filter(broken, lambda x: x)), F.size(L) - 1))
+    broken = F.zip_with(F.slice(P.l, 1, F.greatest(F.size(P.l) - 1, F.lit(0))), F.slice(P.l, 2, F.greatest(F.size(P.l) - 1, F.lit(0))), lambda a, b: rtrim(a).endswith("-") & ltrim(b).rlike(r"^\p{IsLowercase}"))
+    return F.when(F.size(P.l) < 2, F.lit(0.0)).otherwise(ratio(F.size(F.filter(broken, lambda x: x)), F.size(P.l) - 1))
 
 
 def _short_repeated() -> Column:
-    short = F.array_sort(F.filter(T, lambda t: F.octet_length(t).between(1, 40)))
+    short = F.array_sort(F.filter(P.t, lambda t: F.octet_length(t).between(1, 40)))
     n = F.size(short)
     # in sorted order a line is repeated if it equals a neighbour
     hits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.get(short, i - 1) == F.get(short, i), F.lit(False)) | F.coalesce((i > 1) & (F.get(short, i - 1) == F.get(short, i - 2)), F.lit(False)))
@@ -114,11 +123,11 @@ def _uppercase_header() -> Column:
         letters, upper = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}")), F.regexp_count(t, F.lit(r"\p{IsUppercase}"))
         return (F.octet_length(t) <= 80) & (letters >= 3) & ((upper / letters).cast("float") >= F.lit(0.8).cast("float")) & ~t.rlike(r"[.!?]$")
 
-    return _share(hit, NE, M)
+    return _share(hit, P.ne, P.m)
 
 
 def _repeated_ngrams() -> Column:
-    grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.size(W) - 3, F.lit(0))), lambda i: F.concat_ws("\x1f", F.get(W, i), F.get(W, i + 1), F.get(W, i + 2))))
+    grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.size(P.w) - 3, F.lit(0))), lambda i: F.concat_ws("\x1f", F.get(P.w, i), F.get(P.w, i + 1), F.get(P.w, i + 2))))
     n = F.size(grams)
     # counts over the sorted array: distinct ones, and those whose second occurrence this is
     state = F.aggregate(
@@ -131,7 +140,7 @@ def _repeated_ngrams() -> Column:
             (s["repeated"] + F.when((g == s["last"]) & (s["run"] == 1), 1).otherwise(0)).alias("repeated"),
         ),
     )
-    return F.when(F.size(W) < 3, F.lit(0.0)).otherwise(ratio(state["repeated"], state["distinct"]))
+    return F.when(F.size(P.w) < 3, F.lit(0.0)).otherwise(ratio(state["repeated"], state["distinct"]))
 
 
 def _multiple_of(base: int) -> Callable[[Column], Column]:
@@ -139,7 +148,7 @@ def _multiple_of(base: int) -> Callable[[Column], Column]:
 
 
 def _indentation() -> Column:
-    levels = F.transform(F.filter(L, lambda x: x.rlike(rf"^{WS}+[^{WS}]")), _columns_before)
+    levels = F.transform(F.filter(P.l, lambda x: x.rlike(rf"^{WS}+[^{WS}]")), _columns_before)
     n = F.size(levels)
     best = F.greatest(*[F.size(F.filter(levels, _multiple_of(b))) for b in (2, 3, 4)])
     return F.when(n < 3, F.lit(0.0)).otherwise(ratio(best, n))
@@ -147,75 +156,75 @@ def _indentation() -> Column:
 
 def _code_fences() -> Column:
     state = F.aggregate(
-        T,
+        P.t,
         F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n")),
         lambda s, t: F.when(t.startswith("```"), F.struct((~s["inside"]).alias("inside"), s["n"].alias("n"))).otherwise(F.struct(s["inside"].alias("inside"), (s["n"] + s["inside"].cast("int")).alias("n"))),
     )
-    return ratio(state["n"], K)
+    return ratio(state["n"], P.n)
 
 
 def _prose_paragraphs() -> Column:
     is_line = lambda t: (F.octet_length(t) > 40) & ~t.rlike(r"[|{}\t]") & ~t.startswith("#")
     state = F.aggregate(
-        T,
+        P.t,
         F.struct(F.lit(0).alias("run"), F.lit(0).alias("n")),
         lambda s, t: F.when(is_line(t), F.struct((s["run"] + 1).alias("run"), s["n"].alias("n"))).otherwise(F.struct(F.lit(0).alias("run"), (s["n"] + F.when(s["run"] >= 3, s["run"]).otherwise(0)).alias("n"))),
     )
-    return ratio(state["n"] + F.when(state["run"] >= 3, state["run"]).otherwise(0), K)
+    return ratio(state["n"] + F.when(state["run"] >= 3, state["run"]).otherwise(0), P.n)
 
 
 def _per_mille(count: Column) -> Column:
-    return ((count.cast("double") / N).cast("float") * F.lit(1000.0).cast("float")).cast("double")
+    return ((count.cast("double") / P.chars).cast("float") * F.lit(1000.0).cast("float")).cast("double")
 
 
 #: feature -> expression over the shared primitives; the order is the model's input order.
 FEATURES: dict[str, Callable[[], Column]] = {
     "line_length_cv": _line_length_cv,
-    "char_entropy": lambda: char_entropy(S),
-    "leading_whitespace_ratio": lambda: _share(lambda x: _columns_before(x) > 2, L, K),
-    "tab_density": lambda: ratio(count_of(S, "\t"), N),
-    "sentence_punctuation_rate": lambda: ratio(F.regexp_count(S, F.lit(SENTENCE_END)), F.greatest(F.size(W), F.lit(1))),
-    "paragraph_break_rate": lambda: ratio(count_of(S, "\n\n"), K),
-    "alpha_ratio": lambda: ratio(F.regexp_count(S, F.lit(f"[{ALNUM} ]")), N),
-    "line_uniqueness": lambda: ratio(F.size(F.array_distinct(F.slice(L, 1, 500))), F.greatest(F.size(F.slice(L, 1, 500)), F.lit(1))),
-    "short_line_ratio": lambda: _share(lambda t: F.octet_length(t).between(1, 14), T, K),
-    "symbol_ratio": lambda: ratio(F.regexp_count(S, F.lit(SYMBOL)), N),
+    "char_entropy": lambda: char_entropy(P.s),
+    "leading_whitespace_ratio": lambda: _share(lambda x: _columns_before(x) > 2, P.l, P.n),
+    "tab_density": lambda: ratio(count_of(P.s, "\t"), P.chars),
+    "sentence_punctuation_rate": lambda: ratio(F.regexp_count(P.s, F.lit(SENTENCE_END)), F.greatest(F.size(P.w), F.lit(1))),
+    "paragraph_break_rate": lambda: ratio(count_of(P.s, "\n\n"), P.n),
+    "alpha_ratio": lambda: ratio(F.regexp_count(P.s, F.lit(f"[{ALNUM} ]")), P.chars),
+    "line_uniqueness": lambda: ratio(F.size(F.array_distinct(F.slice(P.l, 1, 500))), F.greatest(F.size(F.slice(P.l, 1, 500)), F.lit(1))),
+    "short_line_ratio": lambda: _share(lambda t: F.octet_length(t).between(1, 14), P.t, P.n),
+    "symbol_ratio": lambda: ratio(F.regexp_count(P.s, F.lit(SYMBOL)), P.chars),
     "delimiter_consistency": _delimiter_consistency,
-    "json_brace_depth": lambda: ratio(F.regexp_count(S, F.lit(r"[{}\[\]]")), N),
-    "key_value_ratio": lambda: _share(_is_key_value, T, K),
-    "xml_tag_ratio": lambda: _share(lambda x: x.rlike(r"</?\p{IsAlphabetic}"), L, K),
-    "log_line_ratio": lambda: _share(lambda t: t.rlike(LOG_START), T, K),
-    "comment_ratio": lambda: _share(lambda t: t.rlike(COMMENT_START), T, K),
-    "numeric_field_ratio": lambda: _share(lambda w: F.replace(w, F.lit(","), F.lit("")).rlike(NUMBER), W, F.size(W)),
+    "json_brace_depth": lambda: ratio(F.regexp_count(P.s, F.lit(r"[{}\[\]]")), P.chars),
+    "key_value_ratio": lambda: _share(_is_key_value, P.t, P.n),
+    "xml_tag_ratio": lambda: _share(lambda x: x.rlike(r"</?\p{IsAlphabetic}"), P.l, P.n),
+    "log_line_ratio": lambda: _share(lambda t: t.rlike(LOG_START), P.t, P.n),
+    "comment_ratio": lambda: _share(lambda t: t.rlike(COMMENT_START), P.t, P.n),
+    "numeric_field_ratio": lambda: _share(lambda w: F.replace(w, F.lit(","), F.lit("")).rlike(NUMBER), P.w, F.size(P.w)),
     "repetitive_structure_score": _repetitive_structure,
     "hyphenated_line_break_ratio": _hyphenated,
     "short_repeated_line_ratio": _short_repeated,
-    "page_number_density": lambda: _share(lambda t: t.rlike(PAGE), T, K),
-    "label_value_line_ratio": lambda: _share(lambda t: t.rlike(LABEL_VALUE), T, K),
-    "table_fragment_score": lambda: ratio(F.size(F.filter(L, lambda x: (trim(x) != "") & ((F.regexp_count(x, F.lit(r"[,|\t;]")) >= 2) | x.rlike(SPACED)))), M),
+    "page_number_density": lambda: _share(lambda t: t.rlike(PAGE), P.t, P.n),
+    "label_value_line_ratio": lambda: _share(lambda t: t.rlike(LABEL_VALUE), P.t, P.n),
+    "table_fragment_score": lambda: ratio(F.size(F.filter(P.l, lambda x: (trim(x) != "") & ((F.regexp_count(x, F.lit(r"[,|\t;]")) >= 2) | x.rlike(SPACED)))), P.m),
     "uppercase_header_ratio": _uppercase_header,
     "dictionary_word_ratio": lambda: F.lit(0.0),  # see with_features
-    "encoding_error_ratio": lambda: ratio(sum((count_of(S, m) for m in MOJIBAKE), count_of(S, "�")), N),
+    "encoding_error_ratio": lambda: ratio(sum((count_of(P.s, m) for m in MOJIBAKE), count_of(P.s, "�")), P.chars),
     "repeated_ngram_ratio": _repeated_ngrams,
-    "sentence_coherence_score": lambda: _share(lambda t: t.rlike(r"(?s)^\p{IsUppercase}(?:.*[.!?])$"), NE, M),
-    "avg_words_per_line": lambda: ratio(F.size(W), M),
-    "operator_density": lambda: _per_mille(sum((count_of(S, o) for o in OPERATORS[1:]), count_of(S, OPERATORS[0]))),
-    "inline_markup_count": lambda: _per_mille(F.regexp_count(S, F.lit(MARKUP))),
+    "sentence_coherence_score": lambda: _share(lambda t: t.rlike(r"(?s)^\p{IsUppercase}(?:.*[.!?])$"), P.ne, P.m),
+    "avg_words_per_line": lambda: ratio(F.size(P.w), P.m),
+    "operator_density": lambda: _per_mille(sum((count_of(P.s, o) for o in OPERATORS[1:]), count_of(P.s, OPERATORS[0]))),
+    "inline_markup_count": lambda: _per_mille(F.regexp_count(P.s, F.lit(MARKUP))),
     "indentation_consistency": _indentation,
-    "markup_heading_ratio": lambda: _share(lambda t: t.rlike(HEADING), NE, M),
+    "markup_heading_ratio": lambda: _share(lambda t: t.rlike(HEADING), P.ne, P.m),
     "code_fence_density": _code_fences,
     "prose_paragraph_ratio": _prose_paragraphs,
-    "semicolon_line_ending_ratio": lambda: _share(lambda t: t.endswith(";"), NE, M),
-    "list_item_ratio": lambda: _share(lambda x: ltrim(x).rlike(LIST_ITEM), F.filter(L, lambda x: trim(x) != ""), M),
-    "parenthesis_density": lambda: _per_mille(F.regexp_count(S, F.lit(r"[()]"))),
-    "section_header_ratio": lambda: _share(lambda t: t.rlike(SECTION), NE, M),
+    "semicolon_line_ending_ratio": lambda: _share(lambda t: t.endswith(";"), P.ne, P.m),
+    "list_item_ratio": lambda: _share(lambda x: ltrim(x).rlike(LIST_ITEM), F.filter(P.l, lambda x: trim(x) != ""), P.m),
+    "parenthesis_density": lambda: _per_mille(F.regexp_count(P.s, F.lit(r"[()]"))),
+    "section_header_ratio": lambda: _share(lambda t: t.rlike(SECTION), P.ne, P.m),
     "json_lines_ratio": lambda: _json_lines(),
-    "shebang_present": lambda: ltrim(S).startswith("#!").cast("double"),
+    "shebang_present": lambda: ltrim(P.s).startswith("#!").cast("double"),
 }
 
 
 def _json_lines() -> Column:
-    full = F.filter(F.transform(lines(R), trim), lambda t: t != "")
+    full = F.filter(F.transform(lines(P.r), trim), lambda t: t != "")
     return ratio(F.size(F.filter(full, lambda t: t.startswith("{") & t.endswith("}"))), F.size(full))
 
 
@@ -249,10 +258,10 @@ def with_features(df: DataFrame, text_col: str = "text", names: Iterable[str] |
     for name in names:
         value = FEATURES[name]()
         if name == "dictionary_word_ratio" and wordlist is not None:
-            words = dictionary_tokens(W)
+            words = dictionary_tokens(P.w)
             known = F.filter(words, lambda w: w.isin(*sorted(set(wordlist))))
             value = ratio(F.size(known), F.size(words))
         new[name] = F.when(F.length("_r") == 0, F.lit(0.0)).otherwise(value).cast("float")
     if line_count:
-        new["line_count"] = F.when(F.length("_r") == 0, F.lit(0)).otherwise(K)
+        new["line_count"] = F.when(F.length("_r") == 0, F.lit(0)).otherwise(P.n)
     return d.withColumns(new).drop(*PRIMITIVES)

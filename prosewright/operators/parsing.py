@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from prosewright.functions.labels import VALID_SUB_TYPES
 from prosewright.functions.textprims import trim
@@ -115,7 +116,7 @@ def _recovered(reply: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def array_items(replies: pd.Series) -> pd.Series:
     """JSON items of noisy replies; texts stay as they are, other items as JSON."""
     return replies.map(_recovered, na_action=None)
