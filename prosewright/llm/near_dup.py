@@ -25,10 +25,10 @@ from prosewright.functions.words import WordCodes, bag_tokens, mix64, words
 from prosewright.operators.components import connected_components
 from prosewright.session import cut, stored
 
-SAMPLES, ROWS, BANDS = 128, 6, 24
+SAMPLES, ROWS, BANDS = 128, 5, 28
 SKETCH_BITS = 256
-#: XOR population count up to which a pair of sketches passes: about 2.4 standard deviations above the mean at similarity 0.7.
-MAX_POP = 78
+#: XOR population count up to which a pair of sketches passes: more than two standard deviations above the mean at similarity 0.7.
+MAX_POP = 76
 
 
 def _parameters(seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

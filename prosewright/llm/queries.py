@@ -133,3 +133,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
+
+
+def _sql() -> dict[str, str]:
+    from prosewright.llm.oracle import SQL as sql
+
+    return dict(sql)
+
+
+SQL = _sql()
