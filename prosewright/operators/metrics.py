@@ -113,8 +113,8 @@ def escalation(df: DataFrame, by: str = "sub_type", agrees: str = "tier1_agrees"
 
 def annotator_agreement(votes: DataFrame, key: str, label: str, flag: str) -> DataFrame:
     """Per label over rows several annotators flagged (long table, one row per record, annotator and label): mean share of the majority, share of unanimous rows, share of split ones."""
-    rows = votes.groupBy(key, label).agg(F.count_if(F.col(flag) == 1).alias("ones"), F.count(F.lit(1)).alias("k"))
-    share = F.greatest(F.col("ones"), F.col("k") - F.col("ones")) / F.col("k")
+    rows = votes.groupBy(key, label).agg(F.count_if(F.col(flag) == 1).alias("_ones"), F.count(F.lit(1)).alias("_k"))
+    share = F.greatest(F.col("_ones"), F.col("_k") - F.col("_ones")) / F.col("_k")
     return rows.groupBy(label).agg(F.avg(share).alias("mean_agreement"), F.avg((share == 1).cast("double")).alias("unanimous_rate"), F.avg((share < 1).cast("double")).alias("split_rate"))
 
 

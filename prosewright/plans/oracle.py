@@ -184,7 +184,10 @@ SQL: dict[str, str] = {
       count(*) FILTER (WHERE det <> truth AND det <> pred) AS disagrees_with_both, count(*) FILTER (WHERE truth <> pred AND det = pred) AS mislabel_candidates, count(*) FILTER (WHERE truth <> pred AND det = truth) AS model_errors FROM x)
       SELECT *, errors - mislabel_candidates - model_errors AS ambiguous, round({ratio('total - errors + mislabel_candidates', 'total')}, 4) AS estimated_accuracy FROM n""",
     "class_weights": f"WITH g AS ({_GOLD}), c AS (SELECT sub AS sub_type, count(*) AS n FROM g WHERE sub IS NOT NULL GROUP BY 1) SELECT sub_type, n, round(sum(n) OVER () / (count(*) OVER () * CAST(n AS DOUBLE)), 6) AS weight FROM c",
-    "feature_moments": "WITH f AS (SELECT alpha_ratio::DOUBLE AS a, sentence_punctuation_rate::DOUBLE AS b, dictionary_word_ratio::DOUBLE AS c, line_count::DOUBLE AS d FROM feature_vector WHERE alpha_ratio IS NOT NULL AND sentence_punctuation_rate IS NOT NULL AND dictionary_word_ratio IS NOT NULL AND alpha_ratio < 1e30 AND sentence_punctuation_rate < 1e30 AND dictionary_word_ratio < 1e30), l AS (SELECT 'alpha_ratio' AS feature, a AS v FROM f UNION ALL SELECT 'sentence_punctuation_rate', b FROM f UNION ALL SELECT 'dictionary_word_ratio', c FROM f UNION ALL SELECT 'line_count', d FROM f) SELECT feature, round(avg(v), 5) AS mean, round(CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END, 5) AS std FROM l GROUP BY 1",
+    "feature_moments": """WITH f0 AS MATERIALIZED (SELECT alpha_ratio::DOUBLE AS a, sentence_punctuation_rate::DOUBLE AS b, dictionary_word_ratio::DOUBLE AS c, line_count::DOUBLE AS d FROM feature_vector),
+      f AS (SELECT * FROM f0 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND CAST(a AS VARCHAR) <> 'nan' AND CAST(b AS VARCHAR) <> 'nan' AND CAST(c AS VARCHAR) <> 'nan'),
+      l AS (SELECT 'alpha_ratio' AS feature, a AS v FROM f UNION ALL SELECT 'sentence_punctuation_rate', b FROM f UNION ALL SELECT 'dictionary_word_ratio', c FROM f UNION ALL SELECT 'line_count', d FROM f)
+      SELECT feature, round(avg(v), 5) AS mean, round(CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END, 5) AS std FROM l GROUP BY 1""",
     "plan_summary": "SELECT count(*) AS entries, CAST(sum(coalesce(target_count, 0)) AS BIGINT) AS target, CAST(coalesce(sum(target_count) FILTER (WHERE synthetic), 0) AS BIGINT) AS synthetic_target, CAST(coalesce(sum(target_count) FILTER (WHERE NOT synthetic), 0) AS BIGINT) AS real_target FROM (SELECT DISTINCT * FROM source_plan)",
     "nearest_cosine": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS z FROM e), d AS (SELECT a.vec_id, b.vec_id AS nn, 1 - list_dot_product(a.x, b.x) / (a.z * b.z) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), nn) AS k FROM d) SELECT vec_id, nn, round(d, 4) AS distance FROM r WHERE k = 1",
     "marginalised_scores": """WITH s AS (SELECT ['plain', 'markdown', 'python', 'sql', 'shell', 'csv', 'json', 'yaml'] AS subs, ['prose', 'prose', 'code', 'code', 'code', 'structured', 'structured', 'structured'] AS cats), u AS (SELECT vec_id, unnest(subs) AS sub, unnest(cats) AS cat, unnest(range(1, 9)) AS i, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS x FROM embeddings, s),
