@@ -20,22 +20,23 @@ from prosewright.session import cut
 
 
 def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", block: int = 2048) -> DataFrame:
-    """(id, nn, d): nearest other row by cosine distance or squared Euclidean distance. Null vectors and vectors of another length than the first are left out; fewer than two rows give none.
+    """(id, nn, d): nearest other row by cosine distance or squared Euclidean distance. Null vectors and vectors of another length than the one of the least id are left out; fewer than two rows give none.
 
     Blocks of `block` rows are paired up; each task holds two of them.
     """
     v = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    n = v.count()
+    n, size = v.agg(F.count(F.lit(1)), F.min_by(F.size("x"), "id")).first()
+    v = v.where(F.size("x") == F.lit(size or 0))
     blocks = max(1, -(-n // block))
     v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("b", "o", "id", "x")
     right = v.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("b", "o", "id", "x")
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def compare(both: pd.DataFrame) -> pd.DataFrame:
+        a, b = both[both["side"] == 0], both[both["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "nn": [], "d": []})
-        size = len(a["x"].iloc[0])
-        a, b = a[a["x"].map(len) == size].sort_values("id"), b[b["x"].map(len) == size].sort_values("id")
+        a, b = a.sort_values("id"), b.sort_values("id")
         p, q = np.array(a["x"].tolist()), np.array(b["x"].tolist())
         if metric == "cosine":
             p, q = p / np.maximum(1e-12, np.linalg.norm(p, axis=1, keepdims=True)), q / np.maximum(1e-12, np.linalg.norm(q, axis=1, keepdims=True))
@@ -44,10 +45,13 @@ def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", blo
             d = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
         d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         k = np.round(d, 9).argmin(axis=1)
-        out = pd.DataFrame({"id": a["id"].to_numpy(), "nn": b["id"].to_numpy()[k], "d": d[np.arange(len(k)), k]})
-        return out[np.isfinite(out["d"])]
+        at = np.arange(len(k))
+        found = np.isfinite(d[at, k])
+        exact = d[at, k] if metric == "cosine" else ((p - q[k]) ** 2).sum(axis=1)  # the expanded form loses digits
+        return pd.DataFrame({"id": a["id"].to_numpy(), "nn": b["id"].to_numpy()[k], "d": exact})[found]
 
-    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(compare, "id long, nn long, d double")
+    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    found = sides.groupBy("b", "o").applyInPandas(compare, "id long, nn long, d double")
     return found.groupBy("id").agg(F.min_by(F.struct("nn", "d"), F.struct(F.round("d", 9), "nn")).alias("x")).select("id", "x.nn", "x.d")
 
 
