@@ -1,7 +1,7 @@
 """Connected components by hooking and shortcutting over a parent table.
 
-Each round hooks every vertex to its least neighbour, follows each pointer once more (shortcutting), and renames the
-edges by the new parents. Edges inside a part vanish, so the edge table shrinks from round to round. Nothing but a row
+Each round hooks every vertex to its least neighbour, doubles the pointers until all trees are flat (shortcutting), and
+renames the edges by the new parents. Edges inside a part vanish, so the edge table shrinks from round to round. Nothing but a row
 count reaches the driver.
 """
 
@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from prosewright.session import cut
 
 
+def _shortcut(parent: DataFrame, max_rounds: int) -> DataFrame:
+    """Pointers doubled until each points at a root: as many steps as the logarithm of the deepest tree."""
+    parent = cut(parent)
+    for _ in range(max_rounds):
+        above = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))
+        jumped = cut(parent.join(above, "p", "left").select("x", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+        if jumped.where("moved").isEmpty():
+            return parent
+        parent = jumped.select("x", "p")
+    raise RuntimeError("pointers did not settle; raise max_rounds")
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root): root is the least vertex of v's component.
 
@@ -26,10 +38,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int
     for _ in range(max_rounds):
         if e.isEmpty():
             break
-        # least neighbour of every vertex that has a lesser one
-        hooked = e.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p"))
-        above = hooked.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        parent = cut(hooked.join(above, "p", "left").select("x", F.coalesce("pp", "p").alias("p")))
+        # least neighbour of every vertex that has a lesser one: a forest, as pointers only go down
+        parent = e.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p"))
+        parent = _shortcut(parent, max_rounds)
         pu, pv = parent.select(F.col("x").alias("u"), F.col("p").alias("pu")), parent.select(F.col("x").alias("v"), F.col("p").alias("pv"))
         moved = (
             e.join(pu, "u", "left")
