@@ -60,11 +60,12 @@ def related_groups(df: DataFrame, id_col: str = "sample_id", template: str = "pr
     return keyed.distinct().join(roots, on, "left").groupBy("id").agg(F.min(F.coalesce("root", "id")).alias("root"))
 
 
-def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int = 1 << 26) -> list[dict[int, int]]:
+def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int = 1 << 20) -> list[dict[int, int]]:
     """For each target in turn, how many components of each size to take, so that their total is closest to it.
 
     sizes: size -> how many components have it. Subset sums are bits of one integer; multiplicities are entered in
-    binary pieces. Sizes are measured in units of more than 1 only where all sizes together exceed max_bits.
+    binary pieces. Pieces are measured in units of more than 1 only where all sizes together exceed max_bits; what rounding
+    then leaves is made up from sizes that fit.
     """
     left = {s: n for s, n in sizes.items() if s > 0 and n > 0}
     unit = max(1, -(-sum(s * n for s, n in left.items()) // max_bits))
@@ -83,7 +84,7 @@ def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int =
         reach, trail = 1, []
         for s, k in pieces:
             trail.append(reach)
-            reach = (reach | (reach << (max(1, round(s / unit)) * k))) & limit
+            reach = (reach | (reach << round(s * k / unit))) & limit
         below = reach & ((1 << (goal + 1)) - 1)
         low = below.bit_length() - 1
         above = reach >> (goal + 1)
@@ -96,9 +97,15 @@ def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int =
             if at >= 0 and (before >> at) & 1:
                 continue
             taken[s] = taken.get(s, 0) + k
-            at -= max(1, round(s / unit)) * k
+            at -= round(s * k / unit)
         for s, k in taken.items():
             left[s] -= k
+        if unit > 1:
+            off = round(target) - sum(s * k for s, k in taken.items())
+            for s in sorted(left, reverse=True):
+                k = min(left[s], off // s) if off > 0 else -min(taken.get(s, 0), -off // s)
+                if k:
+                    taken[s], left[s], off = taken.get(s, 0) + k, left[s] - k, off - s * k
         out.append(taken)
     return out
 

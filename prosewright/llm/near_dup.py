@@ -29,6 +29,7 @@ SAMPLES, ROWS, BANDS = 128, 5, 28
 SKETCH_BITS = 256
 #: XOR population count up to which a pair of sketches passes: more than two standard deviations above the mean at similarity 0.7.
 MAX_POP = 76
+PART_MB = 32
 
 
 def _parameters(seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -213,11 +214,12 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     """(members, links): members (id, cls) of all texts with at least min_words words; links (a, b, similarity), a < b, between classes of different token sets.
 
     Rows of one cls have the same words equally often. Null, empty and shorter texts are in no class. The thresholds of
-    MAX_POP hold for similarities of 0.7 and more. parts: target partitions of the buckets, by default the session's
-    shuffle partitions times 2; each is held by one task, so it should grow with the data.
+    MAX_POP hold for similarities of 0.7 and more. parts: target partitions of the buckets; each is held by one task, so by
+    default there are enough that one holds about PART_MB, and at least twice the session's shuffle partitions.
     """
     spark = df.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(df.count() * BANDS * _ENTRY.itemsize / (PART_MB * 1e6)))
     text = df.where(F.col(text_col).isNotNull())
     id_type = dict(df.dtypes)[id_col]
     entries = text.select(text_col).mapInArrow(_entries(parts, min_words, seed), "part int, entries binary")

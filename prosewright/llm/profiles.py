@@ -149,8 +149,9 @@ def _normed(x: np.ndarray, smooth: float = 0.02) -> np.ndarray:
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence (bits) of each row of p with each row of q."""
     p, q = p[:, None, :], q[None, :, :]
-    m = (p + q) / 2
-    return ((p * np.log2(p / m)).sum(axis=2) + (q * np.log2(q / m)).sum(axis=2)) / 2
+    tiny = 1e-300  # a class of no weight adds nothing
+    m = np.log2(np.maximum((p + q) / 2, tiny))
+    return ((p * (np.log2(np.maximum(p, tiny)) - m)).sum(axis=2) + (q * (np.log2(np.maximum(q, tiny)) - m)).sum(axis=2)) / 2
 
 
 class Profiles:
