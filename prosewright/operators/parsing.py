@@ -125,3 +125,17 @@ def array_items(replies: pd.Series) -> pd.Series:
 def preview(text: Column, n: int = 150) -> Column:
     """The first n characters on one line."""
     return F.replace(F.substring(text, 1, n), F.lit("\n"), F.lit("\\n"))
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A template with {name} replaced by columns; null values become empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def one_section(text: Column, seed: int = 42, least: int = 50) -> Column:
+    """One of a text's paragraphs of at least `least` characters, chosen by hash of the text; null if there is none."""
+    parts = F.filter(F.transform(F.split(text, "\n\n"), trim), lambda x: F.length(x) >= least)
+    return F.get(parts, F.pmod(F.xxhash64(F.lit(seed), text), F.greatest(F.size(parts), F.lit(1)).cast("long")).cast("int"))
