@@ -132,7 +132,7 @@ def group_split(df: DataFrame, proportions: dict[str, float] | None = None, seed
             rows.append((s, a, a + k, name))
             start[s] = a + k
     plan = spark.createDataFrame(rows, "size_ long, lo long, hi long, split string")
-    ranked = running_total(parts, ["size"], "root", seed=seed, name="rank")
+    ranked = running_total(parts, ["size"], "root", seed=seed, bins=max(64, max(hist.values(), default=0) // 100_000), name="rank")
     dealt = ranked.join(plan, (F.col("size") == F.col("size_")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
     split = dealt.select("root", F.coalesce("split", F.lit(names[0])).alias("split"))
     return members.join(split, "root").select("id", "root", "split")

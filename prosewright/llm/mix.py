@@ -147,4 +147,5 @@ def mix_sources(rows: DataFrame, plan: DataFrame, block: int = 16, seed: int = 5
     d = d.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).where("epoch < max_repeat")
     d = d.withColumn("block", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64("name", "epoch", F.lit(seed))))
     d = d.select("shard", "slot", "name", "epoch", "block")
-    return d.join(pack_blocks(rows, block, seed, bins), ["name", "block"]).select("shard", "slot", "name", "epoch", "block", "id", "from", "to")
+    most = totals.agg(F.max("n_rows")).first()[0] or 0
+    return d.join(pack_blocks(rows, block, seed, max(bins, most // 100_000)), ["name", "block"]).select("shard", "slot", "name", "epoch", "block", "id", "from", "to")

@@ -11,7 +11,9 @@ becomes a set of tokens (word, how many times seen so far), of which `SAMPLES` M
 3. Candidates (few of them false) are verified exactly on the token sets.
 
 The result is links between classes, and the class of each row; copies are never expanded into pairs here. LSH is
-probabilistic: README gives the measured recall. Every bucket is worked through whole, in blocks.
+probabilistic: README gives the measured recall. Every bucket is compared whole. One with more than HOT entries (many
+texts that differ, but hardly) is put aside by the task that meets it, then cut into blocks, and every pair of blocks is
+a group of its own, so no task ever holds such a bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SKETCH_BITS = 256
 #: XOR population count up to which a pair of sketches passes: more than two standard deviations above the mean at similarity 0.7.
 MAX_POP = 76
 PART_MB = 32
+#: Entries from which a bucket is cut into blocks, and the memory a task fills before it looks for such buckets.
+HOT, HELD_MB = 20_000, 96
 
 
 def _parameters(seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -91,34 +95,62 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
 _ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("cls", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
 
 
+def _batch_entries(b: pa.RecordBatch, codes: WordCodes, min_words: int, parameters: tuple) -> np.ndarray | None:
+    """All bucket entries of a batch of texts."""
+    mul, add, picks = parameters
+    t = Texts(b.column(0).to_pylist(), codes, min_words)
+    if not t.n:
+        return None
+    cls = t.classes()
+    _, one = np.unique(cls, return_index=True)  # copies in one batch enter once
+    m = minhashes(t, mul, add)[:, one]
+    e = np.empty((BANDS, len(one)), _ENTRY)
+    e["cls"], e["n"], e["sketch"] = cls[one], t.lengths[one], odd_sketches(m)
+    for k, pick in enumerate(picks):
+        h = np.full(len(one), np.uint64(k + 1))
+        for r in pick:
+            h = mix64(h ^ m[r].astype(np.uint64)) + np.uint64(r)
+        e["key"][k] = (h >> np.uint64(32)).astype(np.uint32)
+    return e.ravel()
+
+
+def _split(e: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Entries grouped by a number: the numbers, and the entries of each as bytes."""
+    order = np.argsort(by, kind="stable")
+    e, by = e[order], by[order]
+    at = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    return by[at], [e[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(e)))]
+
+
 def _entries(parts: int, min_words: int, seed: int):
-    mul, add, picks = _parameters(seed)
+    parameters = _parameters(seed)
 
     def run(batches):
         codes = WordCodes()
         for b in batches:
-            t = Texts(b.column(0).to_pylist(), codes, min_words)
-            if not t.n:
+            e = _batch_entries(b, codes, min_words, parameters)
+            if e is not None:
+                part, blobs = _split(e, (e["key"] % np.uint32(parts)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+    return run
+
+
+def _hot_entries(hot, min_words: int, seed: int):
+    """Entries of the buckets put aside only: (key, n, entries), one row per batch and bucket."""
+    parameters = _parameters(seed)
+
+    def run(batches):
+        codes = WordCodes()
+        for b in batches:
+            e = _batch_entries(b, codes, min_words, parameters)
+            if e is None:
                 continue
-            cls = t.classes()
-            _, one = np.unique(cls, return_index=True)  # copies in one batch enter once
-            m = minhashes(t, mul, add)[:, one]
-            e = np.empty((BANDS, len(one)), _ENTRY)
-            e["cls"], e["n"], e["sketch"] = cls[one], t.lengths[one], odd_sketches(m)
-            for k, pick in enumerate(picks):
-                h = np.full(len(one), np.uint64(k + 1))
-                for r in pick:
-                    h = mix64(h ^ m[r].astype(np.uint64)) + np.uint64(r)
-                e["key"][k] = (h >> np.uint64(32)).astype(np.uint32)
-            e = e.ravel()
-            part = (e["key"] % np.uint32(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
-            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            ends = np.append(at[1:], len(e))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[at].astype(np.int32)), pa.array([e[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["part", "entries"]
-            )
+            e = e[np.isin(e["key"], hot.value)]
+            if len(e):
+                key, blobs = _split(e, e["key"].astype(np.int64))
+                n = [len(x) // _ENTRY.itemsize for x in blobs]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "n", "entries"])
 
     return run
 
@@ -150,31 +182,109 @@ def _bucket_pairs(e: np.ndarray, threshold: float, max_pop: int, step: int = 1 <
         gap += 1
 
 
-def _candidates(threshold: float, max_pop: int):
+def _distinct(held: list[bytes]) -> np.ndarray:
+    """Entries of several blobs, once each, by key."""
+    e = np.unique(np.frombuffer(b"".join(held), np.dtype((np.void, _ENTRY.itemsize)))).view(_ENTRY)
+    return e[np.argsort(e["key"], kind="stable")]
+
+
+def _pair_batches(found):
+    """Distinct pairs in record batches, from arrays of them."""
+    pairs: list[np.ndarray] = []
+    size = 0
+
+    def batch(p):
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    for a, b in found:
+        pairs.append(np.stack([a, b], axis=1))
+        size += len(a)
+        if size > 2_000_000:
+            pairs = [np.unique(np.concatenate(pairs), axis=0)]
+            size = len(pairs[0])
+            if size > 1_000_000:
+                yield batch(pairs[0])
+                pairs, size = [], 0
+    if pairs:
+        yield batch(np.unique(np.concatenate(pairs), axis=0))
+
+
+def _candidates(threshold: float, max_pop: int, hot: int, held_mb: float):
+    """Pairs of one partition's buckets, and (key, null) for buckets too large to be held."""
+
     def run(batches):
-        held = [x.as_py() for b in batches for x in b.column(0)]
+        held: list[bytes] = []
+        size, aside = 0, np.empty(0, np.uint32)
+
+        def large(e):
+            key, n = np.unique(e["key"], return_counts=True)
+            return key[n > hot]
+
+        for b in batches:
+            for x in b.column(0):
+                x = x.as_py()
+                if len(aside):
+                    e = np.frombuffer(x, _ENTRY)
+                    x = e[~np.isin(e["key"], aside)].tobytes()
+                held.append(x)
+                size += len(x)
+                if size > held_mb * 1e6:
+                    e = _distinct(held)
+                    aside = np.union1d(aside, large(e))
+                    e = e[~np.isin(e["key"], aside)]
+                    held, size = [e.tobytes()], 0  # what is left counts anew, so that this is not done for every blob
         if not held:
             return
-        e = np.unique(np.frombuffer(b"".join(held), np.dtype((np.void, _ENTRY.itemsize)))).view(_ENTRY)
+        e = _distinct(held)
         held.clear()
-        e = e[np.argsort(e["key"], kind="stable")]
-        pairs: list[np.ndarray] = []
-        size = 0
-        for a, b in _bucket_pairs(e, threshold, max_pop):
-            pairs.append(np.stack([a, b], axis=1))
-            size += len(a)
-            if size > 2_000_000:
-                pairs, size = [np.unique(np.concatenate(pairs), axis=0)], 0
-                if len(pairs[0]) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0][:, 0]), pa.array(pairs[0][:, 1])], names=["a", "b"])
-                    pairs = []
-        if pairs:
-            p = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        aside = np.union1d(aside, large(e))
+        if len(aside):
+            e = e[~np.isin(e["key"], aside)]
+            yield pa.RecordBatch.from_arrays([pa.array(aside.astype(np.int64)), pa.nulls(len(aside), pa.int64())], names=["a", "b"])
+        yield from _pair_batches(_bucket_pairs(e, threshold, max_pop))
 
     return run
 
 
+def _block_pairs(threshold: float, max_pop: int):
+    """Pairs between two blocks of one bucket (or within one block)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        blobs = t.column("entries").to_pylist()
+        left, right = (_distinct([x for x, s in zip(blobs, side) if s == k]) if (side == k).any() else None for k in (0, 1))
+        if right is None or left is None:  # a block with itself comes as side 0 only
+            e = left if left is not None else right
+            found = _pair_batches(_bucket_pairs(e, threshold, max_pop)) if t.column("i")[0].as_py() == t.column("j")[0].as_py() else iter(())
+        else:
+            found = _pair_batches(_cross_pairs(left, right, threshold, max_pop))
+        batches = list(found)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        return pa.Table.from_batches(batches, schema) if batches else schema.empty_table()
+
+    return run
+
+
+def _cross_pairs(x: np.ndarray, y: np.ndarray, threshold: float, max_pop: int):
+    for k in range(len(x)):
+        ok = (np.minimum(x["n"][k], y["n"]) >= threshold * np.maximum(x["n"][k], y["n"])) & (x["cls"][k] != y["cls"])
+        c = y[ok]
+        c = c[np.bitwise_count(c["sketch"] ^ x["sketch"][k]).sum(axis=1, dtype=np.int64) <= max_pop]
+        if len(c):
+            yield np.minimum(c["cls"], x["cls"][k]), np.maximum(c["cls"], x["cls"][k])
+
+
+def _hot_pairs(text: DataFrame, keys: list[int], min_words: int, seed: int, threshold: float) -> DataFrame:
+    """Candidates of the buckets put aside: each is cut into blocks of about HOT entries, every two blocks are a group."""
+    hot = text.sparkSession.sparkContext.broadcast(np.array(sorted(keys), np.uint32))  # at most one key for HOT entries
+    e = stored(text.mapInArrow(_hot_entries(hot, min_words, seed), "key long, n long, entries binary"), "hot")
+    blocks = e.groupBy("key").agg(F.ceil(F.sum("n") / HOT).cast("int").alias("blocks"))
+    e = e.join(F.broadcast(blocks), "key").withColumn("block", F.pmod(F.xxhash64("entries"), F.col("blocks")).cast("int"))
+    left = e.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "entries", F.lit(0).alias("side"))
+    right = e.where("block > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "entries", F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block_pairs(threshold, MAX_POP), "a long, b long")
+
+
 def _bags(min_words: int, with_id: bool):
     def run(batches):
         codes = WordCodes()
@@ -223,8 +333,12 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     text = df.where(F.col(text_col).isNotNull())
     id_type = dict(df.dtypes)[id_col]
     entries = text.select(text_col).mapInArrow(_entries(parts, min_words, seed), "part int, entries binary")
-    found = entries.repartition(parts, "part").select("entries").mapInArrow(_candidates(threshold, MAX_POP), "a long, b long")
+    found = entries.repartition(parts, "part").select("entries").mapInArrow(_candidates(threshold, MAX_POP, HOT, HELD_MB), "a long, b long")
     pairs = stored(found.distinct(), "candidates")
+    aside = [r["a"] for r in pairs.where("b IS NULL").select("a").collect()]
+    pairs = pairs.where("b IS NOT NULL")
+    if aside:
+        pairs = stored(pairs.unionByName(_hot_pairs(text.select(text_col), aside, min_words, seed, threshold)).distinct(), "candidates")
     pair = text.select(F.col(id_col), F.col(text_col))
     bags = pair.mapInArrow(_bags(min_words, False), "cls long, bag binary")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()

@@ -169,3 +169,13 @@ def test_item_blocks(spark):
     d = spark.createDataFrame([(1, item)], "doc_id long, text string")
     assert leakage.leaked_passages(d, i, max_items_mb=0.0001).count() == 6
     assert leakage.leaked_passages(d.union(d), i).count() == 6
+
+
+def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Texts that differ by one word each share their buckets; with small limits these are put aside and cut into blocks."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:30] + [f"n{k}"] + base[30:])) for k in range(120)]
+    monkeypatch.setattr(near_dup, "HOT", 25)
+    monkeypatch.setattr(near_dup, "HELD_MB", 0.01)
+    got = {tuple(r) for r in near_dup.row_pairs(*near_dup.near_duplicates(frame(spark, rows).repartition(6))).collect()}
+    assert got == {(i, j) for i in range(120) for j in range(i + 1, 120)}
