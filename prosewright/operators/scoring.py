@@ -20,8 +20,9 @@ DETECTION_THRESHOLD = 0.3
 
 def standardised(features: Column, mean: list[float], std: list[float]) -> Column:
     """z-scores; a standard deviation of 0 gives 0; as many as there are means."""
-    pairs = F.arrays_zip(F.slice(features, 1, len(mean)), F.array(*map(F.lit, mean)).alias("m"), F.array(*map(F.lit, std)).alias("s"))
-    return F.transform(pairs, lambda x: F.when(x["2"] == 0, F.lit(0.0)).otherwise((x["0"].cast("double") - x["1"]) / F.nullif(x["2"], F.lit(0.0))))
+    m, d = F.array(*map(F.lit, mean)), F.array(*map(F.lit, std))
+    one = lambda v, i: F.when(F.get(d, i) == 0, F.lit(0.0)).otherwise((v.cast("double") - F.get(m, i)) / F.nullif(F.get(d, i), F.lit(0.0)))
+    return F.transform(F.slice(features, 1, len(mean)), one)
 
 
 def softmax(logits: Column) -> Column:

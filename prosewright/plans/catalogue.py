@@ -12,7 +12,7 @@ from prosewright.functions.words import clean_name, is_blank
 from prosewright.operators import dedup, filters, metrics, parsing, rules, sampling, scoring, validators, voting
 from prosewright.operators.routing import field_categories, route
 from prosewright.plans import feature_sql as fs
-from prosewright.session import cut, table
+from prosewright.session import table
 from prosewright.sources import generators
 
 WHOLE = None  # no sample: features of whole texts
@@ -365,16 +365,15 @@ def generated_documents(spark, d):
 
 def stream_categories(spark, d):
     """Documents read as a stream, classified, and counted by week of fetching."""
-    from prosewright.streaming.classify import windowed_categories
-
-    path = f"{d}/documents.parquet"
-    schema = table(spark, d, "documents").select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("fetched_at")).schema
     import uuid
 
-    name = f"stream_{uuid.uuid4().hex}"
-    raw = spark.readStream.schema(table(spark, d, "documents").schema).format("parquet")
-    stream = raw.load(path if not path.endswith(".parquet") or _is_folder(spark, path) else f"{d}/*ocuments.parquet").select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
-    del schema
+    from prosewright.streaming.classify import windowed_categories
+
+    path, name = f"{d}/documents.parquet", f"stream_{uuid.uuid4().hex}"
+    # a stream reads folders or patterns: a table of one file is named by a pattern that only it fits
+    source = path if _is_folder(spark, path) else f"{d}/[d]ocuments.parquet"
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)
+    stream = stream.select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     q = windowed_categories(stream, "fetched_at", "7 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("window.start").alias("start"), "category", "n")

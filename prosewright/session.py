@@ -39,6 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` partitioned by keys and cut from its lineage, such that later plans know the partitioning and need no shuffle for windows or sums by these keys.
+
+    An adaptive plan forgets its partitioning at a checkpoint, so this one is made without.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -18,12 +18,6 @@ def config(tmp_path):
     return ModelConfig.load(str(tmp_path / "c.json"))
 
 
-def model():
-    import numpy as np
-
-    return lambda x: np.tile([2.0, 1.0, 1.9, 3.0, -3.0], (len(x), 1))
-
-
 def test_rules_only(spark):
     c = Classifier(spark)
     assert [r["category"] for r in c.classify_batch([PROSE, ""])] == ["prose", "prose"]
@@ -31,6 +25,11 @@ def test_rules_only(spark):
 
 
 def test_model(spark, config):
+    def model():
+        import numpy as np
+
+        return lambda x: np.tile([2.0, 1.0, 1.9, 3.0, -3.0], (len(x), 1))
+
     assert config.sub_types == ["plain", "csv", "markdown"]
     d = spark.createDataFrame([(1, PROSE), (2, ""), (3, "hi you")], "i int, text string")
     c = Classifier(spark, config, model)
