@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosewright.functions.words import clean_name
-from prosewright.session import cut
+from prosewright.session import cut, cut_by
 
 
 def vote_label() -> Column:
@@ -45,10 +45,18 @@ def last_votes(log: DataFrame) -> DataFrame:
     return v.groupBy("row_id", "annotator").agg(last.alias("x")).select("row_id", "annotator", "x.label", "x.original")
 
 
-def _step(votes: DataFrame, r: DataFrame, c: float, kappa: float) -> DataFrame:
-    """One corrected power step: (annotator, new, shared)."""
+#: Annotators up to which their table is sent to all tasks; beyond, votes and annotators are shuffled to meet.
+BROADCAST_ANNOTATORS = 50_000
+
+
+def _with_annotators(votes: DataFrame, r: DataFrame, n: int) -> DataFrame:
+    return votes.join(F.broadcast(r) if n <= BROADCAST_ANNOTATORS else r, "annotator")
+
+
+def _step(votes: DataFrame, r: DataFrame, c: float, kappa: float, n: int) -> DataFrame:
+    """One corrected power step: (annotator, new, shared). Votes are partitioned by row, so the sums per row need no shuffle."""
     row, row_label = Window.partitionBy("row_id"), Window.partitionBy("row_id", "label")
-    x = votes.join(r.select("annotator", "r", "keeps"), "annotator").withColumn("x", F.col("kept") - F.col("keeps")).withColumn("o", 1 - F.col("keeps"))
+    x = _with_annotators(votes, r.select("annotator", "r", "keeps"), n).withColumn("x", F.col("kept") - F.col("keeps")).withColumn("o", 1 - F.col("keeps"))
     x = x.withColumn("u", F.sum(F.col("r") * F.col("o")).over(row)).withColumn("v", F.sum(F.col("r") * F.col("x")).over(row))
     x = x.withColumn("q", F.sum(F.col("r") * F.col("r")).over(row)).withColumn("k", F.count(F.lit(1)).over(row)).withColumn("sl", F.sum("r").over(row_label)).where("k > 1")
     own = F.col("r")
@@ -64,20 +72,20 @@ def reliability(votes: DataFrame, rounds: int = 3, steps: int = 8, tolerance: fl
     constant; it is taken from the consensus, and both are refined in `rounds`. `votes` (of last_votes) must be cut from
     its lineage by the caller; it is read once a step. An empty log gives an empty table.
     """
-    votes = votes.withColumn("kept", F.coalesce((F.col("label") == F.col("original")).cast("double"), F.lit(0.0)))
+    votes = cut_by(votes.withColumn("kept", F.coalesce((F.col("label") == F.col("original")).cast("double"), F.lit(0.0))), "row_id")
     q = votes.where("kept = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
     c = float(q["nn"]) / float(q["n"]) ** 2 if q["n"] else 0.0
     labels = votes.select("label").distinct().count()
     r = cut(votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), F.avg("kept").alias("keeps")).withColumn("r", F.lit(0.7)).withColumn("shared", F.lit(0).cast("long")))
-    wrong = 0.1 if votes.where("kept = 1").limit(1).count() else 1.0
+    wrong, people = 0.1 if votes.where("kept = 1").limit(1).count() else 1.0, r.count()
     for _ in range(rounds):
         kappa = max(1e-6, wrong * (2 - wrong) - c * wrong * wrong)
         for _ in range(steps):
-            new = _step(votes, r, c, kappa)
+            new = _step(votes, r, c, kappa, people)
             n = r.select("annotator", "votes", "keeps", F.col("r").alias("old")).join(new, "annotator", "left")
             to = F.greatest(F.lit(0.001), F.least(F.lit(0.99), F.coalesce("new", F.lit(0.5))))
-            # damped: the plain step can swing between two vectors
-            r = cut(n.select("annotator", "votes", "keeps", "old", ((F.col("old") + to) / 2).alias("r"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared")))
+            # the plain step overshoots in scale (twice too large gives half too small): the geometric mean settles it
+            r = cut(n.select("annotator", "votes", "keeps", "old", F.sqrt(F.col("old") * to).alias("r"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared")))
             change = r.agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
             if change is None or change < tolerance:
                 break
