@@ -9,9 +9,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Least stored bytes a partition is made for.
+SPREAD_BYTES = 512 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data directory (one file or a folder of part files)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table `name` of a data directory (one file or a folder of part files), spread over the cores if it comes in too few pieces."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, read from files, with as many partitions as there are cores if its files give fewer and are large enough for more.
+
+    A Parquet file of one row group is one task however much work its texts are; dealing a small table out costs less. Tables of as many pieces as cores, so any large table, stay as they are.
+    """
+    spark = df.sparkSession
+    cores, have = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if have >= cores:
+        return df
+    jvm, conf, size = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for f in df.inputFiles()[: 4 * cores]:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        size += p.getFileSystem(conf).getFileStatus(p).getLen()
+    want = min(cores, size // SPREAD_BYTES)
+    return df.repartition(int(want)) if want > have else df
 
 
 def shared_dir(spark: SparkSession) -> str:
