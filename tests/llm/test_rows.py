@@ -215,6 +215,7 @@ def test_residue(spark):
         (1000, "404 Not Found"), (1001, "Please enable JavaScript to view this page."), (1002, "Dear {{ first_name }},\n\n" + sentence.format("old", "spring")), (1003, "Lorem ipsum dolor sit amet consectetur."),
         (1004, "HTTP 503: Service unavailable\nThe page x_1 is resting now."), (1005, "404 Not Found\n\nThe page x_2 is resting now."), (1006, "HTTP 404: Page missing\nThe page x_3 is resting now."), (1007, "The page x_4 is resting now."),
         (1008, "Your text goes here."), (1009, "The seat for [YOUR NAME] is kept until noon."),
+        (1010, '"We {0} the visitor," said the guide, "and left the town in the evening." ' + sentence.format("old", "spring")), (1011, "Too many requests from your network."),
     ]
     plain = [
         (2000, "from jinja import Template\nx = Template('Hello {{ name }}')\ny = render(x)\nprint(y)"), (2001, "\n".join(f"10.0.0.{i} - - [2024-01-01 10:00:00] \"GET /a HTTP/1.1\" 404 12" for i in range(9))),
