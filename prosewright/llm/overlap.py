@@ -1,13 +1,18 @@
 """Same or near-same records across splits.
 
+Candidates come from an exact prefix filter on word multisets: the words of all texts are put in one order, rarest first,
+and a pair of the wanted similarity must have a word in common so early in both that enough words follow it. No pair is
+lost by that, however its words were edited or moved. A bound by token histograms thins the candidates; what is left is
+verified exactly on the word multisets.
+
 Of every evaluation text some passages of WINDOW words are chosen, those fewest others share, and written in a
-normalised form of three letters a word. They are sharded so that the Aho-Corasick automaton of a shard fits a worker,
-and every training text is scanned by each shard's automaton. The matched intervals of a training text are merged into
-the share of an evaluation text they cover; pairs with enough coverage are verified exactly on their word multisets.
+normalised form of three letters a word. An Aho-Corasick automaton of the passages of a batch's candidates scans their
+training texts, and the matched intervals are merged into the share of an evaluation text they cover, which decides on no
+pair. Evaluation texts are sharded so that the index and passages of a shard fit a worker.
 
-Evaluation texts with the same words equally often are one class, expanded at the end; training copies are scanned one
-by one, so neither can form a hot group. A shard is at most SHARD_PASSAGES passages, read from the shared folder; the
-work is training words x shards, and nothing of either side is collected.
+Evaluation texts with the same words equally often are one class, expanded at the end; training copies are looked up one
+by one, so neither can form a hot group. A shard is at most SHARD_PASSAGES passages, read from the shared folder; every
+training text meets every shard, and nothing of either side is collected.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ WINDOW = 3
 #: One chosen passage for so many words.
 EVERY = 6
 SHARD_PASSAGES = 1_500_000
-#: Share of an evaluation text that must be covered for a pair to be verified.
-LEAST_COVER = 0.1
+#: Training texts looked up at a time, and the entries of the prefix index taken up at once.
+LOOKUP_TEXTS, LOOKUP_ENTRIES = 256, 1 << 21
 #: Buckets of the token histograms that bound a pair's similarity from above.
 BINS = 128
 
@@ -109,6 +114,68 @@ def may_reach(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, na: np
     return out
 
 
+def _spans(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+class PrefixIndex:
+    """Which evaluation texts may reach the threshold with a training text. Never without one that does.
+
+    Words are ordered by the number of evaluation texts that hold them, then by code. If the first word common to two
+    texts of n and m words is the i-th of one and the j-th of the other (from 0), they have at most n - i and m - j words
+    in common, and need threshold / (1 + threshold) * (n + m). So each place of a word has a greatest length of the other
+    text, beyond which it needn't be looked at; where that is under the least length the threshold allows, it isn't kept.
+    """
+
+    def __init__(self, bags: list[np.ndarray], threshold: float, step: int = 8192):
+        self.threshold, self.n = threshold, np.array([len(x) for x in bags], np.int64)
+        self.words, df = np.unique(np.concatenate(bags) if bags else np.empty(0, np.uint32), return_counts=True)
+        self.rank = np.empty(len(df), np.uint64)
+        self.rank[np.argsort(df, kind="stable")] = np.arange(len(df), dtype=np.uint64)
+        key, owner, longest = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for s in range(0, len(bags), step):
+            own, rank, _, most = self._places(np.concatenate(bags[s : s + step]), self.n[s : s + step])
+            key.append((rank << np.uint64(32)) | self.n[s + own].astype(np.uint64))
+            owner.append((s + own).astype(np.int32)), longest.append(most)
+        order = np.argsort(key := np.concatenate(key), kind="stable")
+        self.key, self.owner, self.longest = key[order], np.concatenate(owner)[order], np.concatenate(longest)[order]
+
+    def _places(self, bags: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, rank of the word, least and greatest length of the other text) of each place to look at; words no evaluation text holds come first and are left out."""
+        at = np.minimum(np.searchsorted(self.words, bags), len(self.words) - 1)
+        known = self.words[at] == bags
+        both = (np.repeat(np.arange(len(n), dtype=np.uint64), n)[known] << np.uint64(32)) | self.rank[at[known]]
+        both.sort()
+        own = (both >> np.uint64(32)).astype(np.int64)
+        k = np.bincount(own, minlength=len(n))
+        left = (k[own] - _spans(k)).astype(float)
+        size = n[own]
+        least = np.ceil(self.threshold * size - 1e-6).astype(np.int64)
+        most = np.floor(left * ((1 + self.threshold) / self.threshold) - size + 1e-6).astype(np.int64)
+        ok = most >= least
+        return own[ok], both[ok] & np.uint64(0xFFFFFFFF), least[ok], most[ok]
+
+    def candidates(self, bags: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(training text, evaluation text) by number; bags holds the words of the training texts of n words one after the other."""
+        if not len(self.key) or not len(n):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own, rank, least, most = self._places(bags, n)
+        rank <<= np.uint64(32)
+        lo = np.searchsorted(self.key, rank | least.astype(np.uint64))
+        w = np.searchsorted(self.key, rank | most.astype(np.uint64), "right") - lo
+        block = np.cumsum(w) // LOOKUP_ENTRIES
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(w)]
+        out = [np.empty(0, np.int64)]
+        for a, b in zip(cuts, cuts[1:]):
+            entry = np.repeat(lo[a:b], w[a:b]) + _spans(w[a:b])
+            text = np.repeat(own[a:b], w[a:b])
+            ok = self.longest[entry] >= n[text]
+            out.append(np.unique(text[ok] * len(self.n) + self.owner[entry[ok]]))
+        pairs = out[1] if len(out) == 2 else np.unique(np.concatenate(out))
+        return pairs // len(self.n), pairs % len(self.n)
+
+
 def shared_table(path: str, columns: list[str]) -> pa.Table:
     """A Parquet table of the shared folder, read inside a worker."""
     import pyarrow.dataset as ds
@@ -145,88 +212,106 @@ def _passages(counts: str, min_words: int, shards: int):
 
 
 class _Shard:
-    """The automaton of one shard and, for each distinct passage, the evaluation texts and places it comes from."""
-
-    def __init__(self, path: str, shard: int):
-        import ahocorasick
+    """The prefix index of one shard and the passages of its evaluation texts."""
 
-        t = shared_table(f"{path}/shard={shard}", ["cls", "n", "starts", "passages", "histogram"])
+    def __init__(self, path: str, shard: int, threshold: float):
+        t = shared_table(f"{path}/shard={shard}", ["cls", "n", "starts", "passages", "histogram", "bag"])
         cls, one = np.unique(t.column("cls").to_numpy(), return_index=True)  # copies may come from several batches
         t = t.take(pa.array(one))
-        self.cls, self.n = cls, t.column("n").to_numpy()
+        self.cls, self.n = cls, t.column("n").to_numpy().astype(np.int64)
         self.histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, BINS)
         starts = t.column("starts").to_pylist()
-        size = 3 * WINDOW
-        passages = np.frombuffer("".join(t.column("passages").to_pylist()).encode("ascii"), f"S{size}")
-        distinct, number = np.unique(passages, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        self.text = np.repeat(np.arange(len(starts), dtype=np.int32), [len(x) // 4 for x in starts])[order]
-        self.pos = np.frombuffer(b"".join(starts), np.int32)[order]
-        self.first = np.searchsorted(number[order], np.arange(len(distinct) + 1))
-        del passages, number, order, starts, t
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, p in enumerate(distinct.tolist()):
-            self.automaton.add_word(p.decode("ascii"), k)
-        self.empty = not len(distinct)
-        if not self.empty:
-            self.automaton.make_automaton()
-
-
-_SHARD: dict[tuple[str, int], _Shard] = {}
-
-
-def _shard(path: str, shard: int) -> _Shard:
-    """The worker's automaton; only the last one used is kept."""
-    if (path, shard) not in _SHARD:
+        self.first = np.cumsum([0, *(len(x) // 4 for x in starts)])
+        self.pos = np.frombuffer(b"".join(starts), np.int32)
+        self.passages = np.frombuffer("".join(t.column("passages").to_pylist()).encode("ascii"), f"S{3 * WINDOW}")
+        bags = t.column("bag").to_pylist()
+        del t, starts
+        self.index = PrefixIndex([np.frombuffer(x, np.uint32) for x in bags], threshold)
+
+
+_SHARD: dict[tuple[str, int, float], _Shard] = {}
+
+
+def _shard(path: str, shard: int, threshold: float) -> _Shard:
+    """The worker's shard; only the last one used is kept."""
+    if (path, shard, threshold) not in _SHARD:
         _SHARD.clear()
-        _SHARD[path, shard] = _Shard(path, shard)
-    return _SHARD[path, shard]
+        _SHARD[path, shard, threshold] = _Shard(path, shard, threshold)
+    return _SHARD[path, shard, threshold]
+
+
+def _near(s: _Shard, t: Texts, short: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(training text, evaluation text) that may reach the threshold, in this order."""
+    own, mates = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    of_train = histograms(t)
+    ends = np.append(t.starts, len(short))
+    for k in range(0, t.n, LOOKUP_TEXTS):
+        end = min(t.n, k + LOOKUP_TEXTS)
+        i, j = s.index.candidates(short[ends[k] : ends[end]], t.lengths[k:end])
+        ok = may_reach(of_train, s.histogram, k + i, j, t.lengths, s.n, threshold)
+        own.append(k + i[ok]), mates.append(j[ok])
+    return np.concatenate(own), np.concatenate(mates)
+
+
+def _coverage(s: _Shard, t: Texts, txt: np.ndarray, ev: np.ndarray) -> np.ndarray:
+    """Share of the evaluation text that the passages found in the training text cover, of each pair; pairs are sorted.
+
+    One automaton holds the passages of all evaluation texts of these pairs, so it is as large as the pairs of a batch make it.
+    """
+    import ahocorasick
+
+    mates = np.unique(ev)
+    k = s.first[mates + 1] - s.first[mates]
+    mine = np.repeat(s.first[mates], k) + _spans(k)
+    distinct, number = np.unique(s.passages[mine], return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    holder, place = np.repeat(mates, k)[order], s.pos[mine][order]
+    first = np.searchsorted(number[order], np.arange(len(distinct) + 1))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, p in enumerate(distinct.tolist()):
+        automaton.add_word(p.decode("ascii"), i)
+    automaton.make_automaton()
+    line, hit_text, hit_pid = letters(t.codes), [], []
+    for i in np.unique(txt).tolist():
+        a = 3 * int(t.starts[i])
+        found = {p for e, p in automaton.iter(line[a : a + 3 * int(t.lengths[i])]) if e % 3 == 2}
+        hit_text += [i] * len(found)
+        hit_pid += found
+    cover = np.zeros(len(txt))
+    pid, own = np.array(hit_pid, np.int64), np.array(hit_text, np.int64)
+    n = first[pid + 1] - first[pid]
+    entry = np.repeat(first[pid], n) + _spans(n)
+    pair, wanted = np.repeat(own, n) * len(s.n) + holder[entry], txt * len(s.n) + ev
+    at = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+    ok = wanted[at] == pair
+    at, pos = at[ok], place[entry[ok]]
+    if len(at):
+        order = np.lexsort((pos, at))
+        at, pos = at[order], pos[order]
+        new = np.append(True, at[1:] != at[:-1])
+        add = np.full(len(pos), WINDOW)
+        add[1:] = np.where(new[1:], WINDOW, np.minimum(WINDOW, pos[1:] - pos[:-1]))
+        begin = np.flatnonzero(new)
+        cover[at[begin]] = np.add.reduceat(add, begin) / s.n[ev[at[begin]]]
+    return cover
 
 
 def _scan(path: str, shard: int, threshold: float, min_words: int):
     def run(batches):
         codes = WordCodes()
-        s = _shard(path, shard)
+        s = _shard(path, shard, threshold)
         for b in batches:
-            if s.empty:
-                continue
             t = Texts(b.column(1).to_pylist(), codes, min_words)
             if not t.n:
                 continue
-            hit_text, hit_pid = [], []
-            line = letters(t.codes)
-            for i, (a, n) in enumerate(zip((3 * t.starts).tolist(), (3 * t.lengths).tolist())):
-                found = {p for e, p in s.automaton.iter(line[a : a + n]) if e % 3 == 2}
-                hit_text += [i] * len(found)
-                hit_pid += found
-            if not hit_pid:
-                continue
-            pid, txt = np.array(hit_pid, np.int64), np.array(hit_text, np.int64)
-            n = s.first[pid + 1] - s.first[pid]
-            entry = np.repeat(s.first[pid], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            txt, ev, pos = np.repeat(txt, n), s.text[entry], s.pos[entry]
-            ng, ne = t.lengths[txt], s.n[ev]
-            ok = np.minimum(ng, ne) >= threshold * np.maximum(ng, ne)
-            txt, ev, pos = txt[ok], ev[ok], pos[ok]
-            if not len(txt):
-                continue
-            order = np.lexsort((pos, ev, txt))
-            txt, ev, pos = txt[order], ev[order], pos[order]
-            new = np.append(True, (txt[1:] != txt[:-1]) | (ev[1:] != ev[:-1]))
-            add = np.full(len(pos), WINDOW)
-            add[1:] = np.where(new[1:], WINDOW, np.minimum(WINDOW, pos[1:] - pos[:-1]))
-            at = np.flatnonzero(new)
-            cover = np.add.reduceat(add, at) / s.n[ev[at]]
-            at, cover = at[cover >= LEAST_COVER], cover[cover >= LEAST_COVER]
-            near = may_reach(histograms(t), s.histogram, txt[at], ev[at], t.lengths, s.n, threshold)
-            at, cover = at[near], cover[near]
-            if not len(at):
-                continue
             short = (t.tokens >> np.uint64(32)).astype(np.uint32)
-            own = txt[at]
+            own, ev = _near(s, t, short, threshold)
+            if not len(own):
+                continue
+            cover = _coverage(s, t, own, ev)
             bags = [short[t.starts[i] : t.starts[i] + t.lengths[i]].tobytes() for i in own.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(t.rows[own])), pa.array(s.cls[ev[at]]), pa.array(cover), pa.array(bags, pa.binary())], names=["id", "cls", "coverage", "bag"]
+                [b.column(0).take(pa.array(t.rows[own])), pa.array(s.cls[ev]), pa.array(cover), pa.array(bags, pa.binary())], names=["id", "cls", "coverage", "bag"]
             )
 
     return run
@@ -262,7 +347,7 @@ def cross_split_overlaps(evals: DataFrame, train: DataFrame, eval_id: str = "sam
     """(eval_id, train_id, coverage, similarity): pairs of near-same texts of the two tables.
 
     Null, empty and short texts are in no pair. coverage is the share of the evaluation text that matched passages
-    cover. An empty table on either side gives no pair.
+    cover, 0 where none is intact. An empty table on either side gives no pair.
     """
     spark = evals.sparkSession
     e = evals.where(F.col("text").isNotNull() & F.col(eval_id).isNotNull())

@@ -109,6 +109,40 @@ def test_overlaps_equal_brute_force(spark, rows):
     assert got <= want and len(want - got) <= 0.02 * len(want) and len(want) > 30
 
 
+def test_overlaps_with_no_passage_intact(spark):
+    """Edits that break all or nearly all passages: a new word at every sixth place, new words anywhere, words in another order."""
+    r, evals, train = random.Random(3), [], []
+    for i in range(60):
+        base = [r.choice(WORDS) + str(r.randrange(30)) for _ in range(r.choice([40, 41, 77, 120]))]
+        kinds = ([f"new{i}x{k}" if k % 6 == 3 else w for k, w in enumerate(base)], [f"new{i}x{k}" if r.random() < 0.17 else w for k, w in enumerate(base)], r.sample(base, len(base)))
+        evals.append((i, " ".join(kinds[i % 3])))
+        train.append((1000 + i, " ".join(base)))
+    got = {(x["sample_id"], x["row_id"]) for x in overlap.cross_split_overlaps(frame(spark, evals, "sample_id"), frame(spark, train)).collect()}
+    want = {(i, j) for i, t in evals for j, u in train if similarity(t, u) >= 0.7}
+    assert got == want and len(want) > 45
+
+
+def test_prefix_index_loses_no_pair(monkeypatch):
+    import numpy as np
+
+    from prosewright.functions.words import WordCodes
+
+    monkeypatch.setattr(overlap, "LOOKUP_ENTRIES", 50)
+    r = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = [r.choice(WORDS[:20]) for _ in range(r.randint(40, 60))]
+        texts += [" ".join(base), " ".join(base[r.randint(0, 16) :] + ["q"] * r.randint(0, 12))]
+    texts = [t for t in texts if long_enough(t)]
+    t = near_dup.Texts(texts, WordCodes(), 40)
+    short = (t.tokens >> np.uint64(32)).astype(np.uint32)
+    for threshold in (0.5, 0.7, 1.0):
+        index = overlap.PrefixIndex([short[a : a + n] for a, n in zip(t.starts, t.lengths)], threshold, step=7)
+        got = set(zip(*(x.tolist() for x in index.candidates(short, t.lengths))))
+        want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if similarity(a, b) >= threshold}
+        assert want <= got and len(want) >= len(texts)
+
+
 def test_overlaps_of_nothing(spark, rows):
     some = frame(spark, rows[:5])
     for e, g in ((some.limit(0), some), (some, some.limit(0)), (frame(spark, [(1, None)]), some)):
