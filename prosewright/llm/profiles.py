@@ -4,7 +4,8 @@ A document is cut into paragraphs. Each paragraph has two distributions: one ove
 language by rank group, other dictionary words, unknown words, numbers, mixed) and one over character classes. Both are
 compared by Jensen-Shannon divergence with profiles: natural prose of each language and a number of structures. The
 paragraph takes the nearest profile, the document's shares of characters by profile follow, and a document most of whose
-characters are in paragraphs nearest to a structure is no prose.
+characters are in paragraphs nearest to a structure is no prose. Basic counts of the document and the statistics that
+FeatureVector stores stand beside them where asked for.
 
 Profiles are centroids of labelled training rows, at most about `sample` rows a label, drawn by hash (the bound is a
 parameter; everything else covers all records), besides a few stated ones for structures that have no label.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosewright.functions.features import with_features
 from prosewright.functions.words import clean_name, is_blank
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -66,6 +68,10 @@ def _char_table() -> np.ndarray:
 _CHARS = _char_table()
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n[ \t\r\n]*")
 _TOKEN = re.compile(r"[^\W_]+")
+#: FeatureVector's statistics, by the core's definitions.
+STORED = ("alpha_ratio", "symbol_ratio", "sentence_punctuation_rate", "dictionary_word_ratio")
+#: What may end a sentence, and what may stand behind it.
+_ENDS, _CLOSING = tuple(".!?…。！？؟।"), "'\"’”»)]"
 
 
 class Dictionary:
@@ -120,14 +126,20 @@ def paragraphs(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return out, np.array(row, np.int64)
 
 
-def distributions(parts: list[str], d: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word classes in the language that fits best, character classes, number of that language) of each paragraph, as counts."""
+def line_ends(text: str | None) -> tuple[int, int]:
+    """(lines that end a sentence, lines) of a text; blank lines don't count."""
+    lines = [x for x in map(str.strip, (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")) if x]
+    return sum(x.rstrip(_CLOSING).endswith(_ENDS) for x in lines), len(lines)
+
+
+def distributions(parts: list[str], d: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word classes in the language that fits best, character classes, number of that language, characters in words) of each paragraph, as counts."""
     n = len(parts)
-    flat, counts = [], []
+    flat, counts, inside = [], [], []
     for p in parts:
         w = _TOKEN.findall(p.lower())
         flat += d.ids(w)
-        counts.append(len(w))
+        counts.append(len(w)), inside.append(len("".join(w)))
     owner = np.repeat(np.arange(n), counts)
     per = np.bincount(owner * d.size + np.array(flat, np.int64), minlength=n * d.size).reshape(n, d.size)
     by = np.tensordot(per, d.to_class, 1)  # paragraph x language x class
@@ -137,7 +149,7 @@ def distributions(parts: list[str], d: Dictionary) -> tuple[np.ndarray, np.ndarr
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _CHARS[np.minimum(codes, 0xFFFF)].astype(np.int64)
     chars = np.bincount(np.repeat(np.arange(n), lengths) * N_CHAR + kind, minlength=n * N_CHAR).reshape(n, N_CHAR)
-    return words, chars, lang
+    return words, chars, lang, np.array(inside, np.int64)
 
 
 def _normed(x: np.ndarray, smooth: float = 0.02) -> np.ndarray:
@@ -172,7 +184,7 @@ class Profiles:
     def fit(rows: list[tuple[str, str]], d: Dictionary) -> "Profiles":
         """Centroids of labelled texts (text, kind). Rows nearer to another kind's centroid are left out of a second round, as labels may be wrong."""
         texts = [t for t, _ in rows]
-        words, chars, lang = distributions([t or " " for t in texts], d)
+        words, chars, lang, _ = distributions([t or " " for t in texts], d)
         kinds = [k if k not in PROSE else f"{k}:{LANGUAGES[g]}" for (_, k), g in zip(rows, lang.tolist())]
         w, c = _normed(words), _normed(chars)
         keep = np.ones(len(rows), bool)
@@ -227,16 +239,27 @@ def fit_profiles(train: DataFrame, d: Dictionary, sample: int = 120, seed: int =
     return Profiles.fit([(r["text"], LABELS[r["label"]]) for r in got], d)
 
 
-def structure(df: DataFrame, profiles: Profiles, d: Dictionary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def structure(df: DataFrame, profiles: Profiles, d: Dictionary, id_col: str = "doc_id", text_col: str = "text", statistics: bool = False) -> DataFrame:
     """(id, profile, divergence, prose_share, n_paragraphs) of every row with text that isn't blank.
 
     profile: the one most characters are nearest to; divergence: mean over characters; prose_share: share of characters
     in paragraphs nearest to prose or notices. Null, empty and blank texts have no row; repeated ids keep each row.
+
+    With statistics, every row comes out, and also has n_words, mean_word_length (characters), line_end_ratio (share of
+    lines that end a sentence, blank lines not counted), common_word_ratio (share of words that are function words of
+    their paragraph's language), and STORED and line_count of the whole text as the core defines them. Null, empty and
+    blank texts then have no paragraph and no word, a null profile, divergence and prose_share, and 0 for the ratios
+    (of STORED, what the core gives).
     """
     spark = df.sparkSession
     id_type = dict(df.dtypes)[id_col]
     held = spark.sparkContext.broadcast((profiles, d))
     names = sorted(set(profiles.names))
+    schema = f"id {id_type}, profile string, divergence double, prose_share double, n_paragraphs int"
+    rows_in = df.select(id_col, text_col)
+    if statistics:
+        rows_in = with_features(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), names=STORED, sample_bytes=None, wordlist=d.number).select("id", "text", *STORED, "line_count")
+        schema += ", n_words long, mean_word_length double, line_end_ratio double, common_word_ratio double" + "".join(f", {c} float" for c in STORED) + ", line_count int"
 
     def run(batches):
         p, words = held.value
@@ -245,24 +268,36 @@ def structure(df: DataFrame, profiles: Profiles, d: Dictionary, id_col: str = "d
         for b in batches:
             texts = b.column(1).to_pylist()
             parts, row = paragraphs(texts)
-            if not parts:
+            if not parts and not statistics:
                 continue
-            w, c, lang = distributions(parts, words)
+            w, c, lang, inside = distributions(parts, words)
             near, far = p.nearest(w, c, lang)
             size = c.sum(axis=1) - c[:, _SPACE] - c[:, _LINE]
-            rows = np.unique(row)
+            rows = np.arange(len(texts)) if statistics else np.unique(row)
             at = np.searchsorted(rows, row)
-            total = np.maximum(1, np.bincount(at, size))
-            by = np.bincount(at * len(names) + number[near], size, minlength=len(rows) * len(names)).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(rows)),
-                    pa.array([names[i] for i in by.argmax(axis=1)]),
-                    pa.array(np.bincount(at, size * far) / total),
-                    pa.array(np.bincount(at, size * prose[near]) / total),
-                    pa.array(np.bincount(at).astype(np.int32)),
-                ],
-                names=["id", "profile", "divergence", "prose_share", "n_paragraphs"],
-            )
-
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, profile string, divergence double, prose_share double, n_paragraphs int")
+            k = len(rows)
+            n = np.bincount(at, minlength=k)
+            none = n == 0
+            total = np.maximum(1, np.bincount(at, size, k))
+            by = np.bincount(at * len(names) + number[near], size, minlength=k * len(names)).reshape(-1, len(names))
+            out = [
+                b.column(0).take(pa.array(rows)),
+                pa.array([names[i] for i in by.argmax(axis=1)], pa.string(), mask=none) if k else pa.array([], pa.string()),
+                pa.array(np.bincount(at, size * far, k) / total, mask=none),
+                pa.array(np.bincount(at, size * prose[near], k) / total, mask=none),
+                pa.array(n.astype(np.int32)),
+            ]
+            if statistics:
+                n_words = np.bincount(at, w.sum(axis=1), k)
+                ends = np.array([line_ends(t) for t in texts], np.int64).reshape(-1, 2)
+                out += [
+                    pa.array(n_words.astype(np.int64)),
+                    pa.array(np.bincount(at, inside, k) / np.maximum(1, n_words)),
+                    pa.array(ends[:, 0] / np.maximum(1, ends[:, 1])),
+                    pa.array(np.bincount(at, w[:, : len(RANK_GROUPS)].sum(axis=1), k) / np.maximum(1, n_words)),
+                    *b.columns[2:],
+                ]
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    columns = [x.split()[0] for x in schema.split(", ")]
+    return rows_in.mapInArrow(run, schema)

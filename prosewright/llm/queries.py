@@ -98,10 +98,10 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
 
-def _structure(spark, d):
+def _structure(spark, d, statistics=False):
     words = profiles.dictionary(table(spark, d, "wordlist"))
     fitted = profiles.fit_profiles(table(spark, d, "golden_train"), words)
-    return profiles.structure(table(spark, d, "documents"), fitted, words)
+    return profiles.structure(table(spark, d, "documents"), fitted, words, statistics=statistics)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return _structure(spark, d).withColumnRenamed("id", "doc_id")
+    """Profile and statistics of every document, also of null and blank ones."""
+    return _structure(spark, d, statistics=True).withColumnRenamed("id", "doc_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -203,6 +203,32 @@ def test_profiles_find_structure(spark, small):
     assert profiles.structure(d.limit(0), fitted, words).isEmpty()
 
 
+def test_profile_statistics(spark, small):
+    words = profiles.Dictionary([("the", "en", 1), ("and", "en", 2), ("river", "en", None)])
+    fitted = profiles.fit_profiles(spark.read.parquet(f"{small}/golden_train.parquet"), words)
+    texts = ["The river rose, and the\ntown said: \"No more!\"\r\n\r\n  12 a_b\rEnd.", None, "", " \n\t", "###", "The river.\n\nThe the and xyz"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in profiles.structure(d, fitted, words, statistics=True).collect()}
+    assert set(got) == set(range(6))
+    r = got[0]
+    assert (r["n_words"], r["n_paragraphs"], r["line_end_ratio"]) == (13, 2, 0.5) and r["mean_word_length"] == pytest.approx(39 / 13) and r["common_word_ratio"] == pytest.approx(3 / 13)
+    assert got[5]["common_word_ratio"] == pytest.approx(4 / 6) and got[5]["dictionary_word_ratio"] == pytest.approx(5 / 6) and got[5]["line_end_ratio"] == 0.5
+    for i in (1, 2, 3):
+        assert [got[i][c] for c in ("profile", "divergence", "prose_share")] == [None] * 3
+        assert [got[i][c] for c in ("n_paragraphs", "n_words", "mean_word_length", "line_end_ratio", "common_word_ratio", "symbol_ratio", "dictionary_word_ratio")] == [0] * 7
+    assert got[4]["n_words"] == 0 and got[4]["profile"] and got[4]["symbol_ratio"] > 0 and got[4]["line_count"] == 1
+    plain = {x["id"]: x for x in profiles.structure(d, fitted, words).collect()}
+    assert set(plain) == {0, 4, 5} and all(plain[i][c] == got[i][c] for i in plain for c in plain[i].asDict())
+    assert profiles.structure(d.where("doc_id in (1, 2)"), fitted, words, statistics=True).count() == 2
+
+
+def test_profiles_query_gives_every_document_its_statistics(spark, small):
+    from prosewright.llm.queries import p7_profiles
+
+    got, docs = p7_profiles(spark, small), spark.read.parquet(f"{small}/documents.parquet")
+    assert {*profiles.STORED, "n_words", "mean_word_length", "line_end_ratio", "common_word_ratio"} <= set(got.columns) and got.count() == docs.count()
+
+
 def test_divergence():
     p = np.array([[0.5, 0.5], [1.0, 0.0]])
     assert profiles.divergence(p, p).round(6).tolist() == [[0.0, 0.311278], [0.311278, 0.0]]
