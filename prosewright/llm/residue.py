@@ -4,7 +4,10 @@ Learning is from positive and unlabelled records. A record is cut into passages
 each slot a template may have left). Some passages are trusted: they match one of a few plain seed patterns in a place
 where they can't be quoted. A naive Bayes model of words and word pairs starts from these against all others and is
 refined by expectation-maximization: the unlabelled passages enter both classes by their posterior, trusted ones stay.
-Then every passage is scored, and a record is a case if one of its passages is.
+Then every passage is scored, and a record is a case if one of its passages is. In
+long paragraphs, where a message may only be quoted, quoted words are features of their own, and the model decides on
+each sentence as on other passages. For learning such sentences count among the others; entering both classes by their
+posterior, they would draw junk of numbers and letters after them. Seeds are not tried on them; dummy Latin is.
 
 Passages on lines shaped like program text, log records, settings or table rows are no content of their own and are
 never scored: code that holds a template and logs that record an error are no cases.
@@ -44,6 +47,9 @@ _SHAPED = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?…:])\s+|\n+")
 _TOKEN = re.compile(r"§\w+|[^\W_]+(?:[_-][^\W_]+)+|[^\W\d_]*\d[^\W_]*|[^\W\d_]+|©")
 
+#: The tokens of a long paragraph, with quotation marks and the ends of its sentences (as _SENTENCE has them, hard-wrapped lines joined).
+_LONG_TOKEN = re.compile(_TOKEN.pattern + r"|[\"“”«»„]|[.!?…:](?=\s)|\n(?![ \t]*[^\W\d_A-Z])")
+
 #: Seeds: how a sentence of a short paragraph opens, or what it holds.
 SEEDS = re.compile(
     r"^\W*(?:(?:http|error|status|erreur|fehler)\b[\w ]{0,12}\b[45]\d\d\b|[45]\d\d\b[ -]*(?:not found|page missing|forbidden|bad (?:request|gateway)|server fault|internal server error|unavailable|slow down|unauthorized|request timeout|gateway timeout)"
@@ -58,10 +64,13 @@ SLOT_TEXT = re.compile(r"\b(?:insert|your|add|enter|choose|to come|goes? here|co
 DUMMY = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
 
 #: Marks of passages: trusted; beside a trusted one in a tiny record; in another tiny record; never residue unless trusted
-#: (a sentence of a long paragraph, where a message would only be quoted, or a passage of hardly any words).
-TRUSTED, MATE, TINY_ROW, ORDINARY = 1, 2, 3, 4
+#: (a passage of hardly any words); a sentence of a long paragraph, which is scored but never teaches what residue is.
+TRUSTED, MATE, TINY_ROW, ORDINARY, LONG = 1, 2, 3, 4, 5
 
 _CODES: dict[str, int] = {}
+#: Codes of a sentence's end and of a quotation mark, and what makes a word's code that of the word quoted.
+_BREAK, _QUOTE, _QUOTED = -1, zlib.crc32("§q".encode()), zlib.crc32("§quoted".encode())
+_DUMMY_CODES = frozenset(zlib.crc32(w.encode()) for w in DUMMY)
 
 
 def _code(token: str) -> int:
@@ -70,6 +79,11 @@ def _code(token: str) -> int:
         if len(_CODES) > 400_000:
             _CODES.clear()
         t = token.lower()
+        if t in ".!?…:\n":
+            c = _CODES[token] = _BREAK
+            return c
+        if t in "\"“”«»„":
+            t = "§q"
         if t[0].isdigit():
             t = t if len(t) == 3 and t[0] in "45" else "§n"
         elif "_" in t or (any(ch.isdigit() for ch in t) and t[0] != "§"):
@@ -94,8 +108,6 @@ def shaped_lines(lines: list[str], slots: bool) -> list[bool]:
 
 
 _WORD = re.compile(r"[^\W_]+")
-_FILLER = ("lorem", "ipsum", "dolor", "consectetur")
-_FILLER_WORD = re.compile(rf"\b(?:{'|'.join(_FILLER)})\b", re.I)
 _WRAPPED = re.compile(r"(?<=[^\s.!?:…])[ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
 SHORT = 30  # words of a short paragraph
 LEAST_WORDS = 3  # of a passage that is scored
@@ -103,7 +115,7 @@ TINY = 60  # words of a record that may be nothing but a message
 
 
 def passages(text: str) -> list[tuple[str, str]]:
-    """(kind, passage) of a record: 'o' a long paragraph, 's' a sentence of one where dummy Latin occurs, 'p' of a short one, 'w' a slot with its surroundings ('w+': of a form or text that is no chance)."""
+    """(kind, passage) of a record: 'o' a long paragraph, 'p' a sentence of a short one, 'w' a slot with its surroundings ('w+': of a form or text that is no chance)."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
     slots = bool(_SLOT_START.search(text)) and bool(_SLOT.search(text))
@@ -113,8 +125,6 @@ def passages(text: str) -> list[tuple[str, str]]:
     if len(full) >= 4 and n_shaped >= 0.5 * len(full):
         return []
     plain = "\n".join("" if s else x for x, s in zip(lines, shaped)) if n_shaped else text
-    lower = text.lower()
-    filler = any(w in lower for w in _FILLER) and bool(_FILLER_WORD.search(text))
     out = []
     if slots:
         for m in _SLOT.finditer(plain):
@@ -133,24 +143,55 @@ def passages(text: str) -> list[tuple[str, str]]:
         if not block.strip():
             continue
         if len(block) > 12 * SHORT or len(_WORD.findall(block)) > SHORT:
-            if filler:
-                out += [("s", x) for x in _SENTENCE.split(_WRAPPED.sub(" ", block)) if x.strip()]
-            else:
-                out.append(("o", block))
+            out.append(("o", block))
         else:
             out += [("p", x) for x in _SENTENCE.split(_WRAPPED.sub(" ", block)) if x.strip()]
     return out
 
 
+def is_filler(dummy: int, words: int) -> bool:
+    return dummy >= 4 or (dummy >= 2 and 2 * dummy >= words)
+
+
+def _coded(tokens: list[str]) -> list[int]:
+    try:
+        return [_CODES[x] for x in tokens]
+    except KeyError:
+        get = _CODES.get
+        return [_code(x) if c is None else c for x in tokens for c in (get(x),)]
+
+
+def _long_sentences(block: str):
+    """(codes, mark, words) of each sentence of a long paragraph."""
+    codes = _coded(_LONG_TOKEN.findall(block))
+    codes.append(_BREAK)
+    plain = codes
+    maybe = not _DUMMY_CODES.isdisjoint(codes)
+    if _QUOTE in codes:
+        plain, marks = codes.copy(), [k for k, c in enumerate(codes) if c == _QUOTE]
+        for a, b in zip(marks[::2], marks[1::2]):
+            codes[a + 1 : b] = [c ^ _QUOTED if c > 0 else c for c in codes[a + 1 : b]]
+    start, last = 0, len(codes)
+    while start < last:
+        end = codes.index(_BREAK, start)
+        if end > start:
+            s = codes[start:end]
+            quotes = s.count(_QUOTE)
+            named = len(s) - quotes - s.count(0)
+            if len(s) > quotes:
+                filler = maybe and is_filler(sum(c in _DUMMY_CODES for c in plain[start:end]), named)
+                yield s, TRUSTED if filler else LONG if named >= LEAST_WORDS else ORDINARY, len(s) - quotes
+        start = end + 1
+
+
 def trusted(kind: str, passage: str) -> bool:
     """Is the passage a sure positive? Slots no text has by chance, dummy Latin, and seed phrases in short paragraphs."""
     if kind == "w+":
         return True
-    if kind in "wo":
+    if kind == "w":
         return False
     ws = [w.lower() for w in re.findall(r"[^\W\d_]+", passage)]
-    dummy = sum(w in DUMMY for w in ws)
-    if dummy >= 4 or (dummy >= 2 and 2 * dummy >= len(ws)):
+    if is_filler(sum(w in DUMMY for w in ws), len(ws)):
         return True
     return kind == "p" and len(ws) <= 20 and bool(SEEDS.search(passage.strip()))
 
@@ -158,24 +199,23 @@ def trusted(kind: str, passage: str) -> bool:
 def _features(batch_id: pa.Array, texts: list[str | None]) -> tuple:
     """Passages of a batch: (row of the record, trusted, lengths, features)."""
     row, trust, flat, length = [], [], [], []
-    find, get = _TOKEN.findall, _CODES.get
+    find = _TOKEN.findall
     for i, t in enumerate(texts):
         if not t or not t.strip():
             continue
         at, words_ = len(row), 0
         for kind, p in passages(t):
+            if kind == "o":
+                for codes, mark, n in _long_sentences(p):
+                    flat += codes
+                    row.append(i), length.append(len(codes)), trust.append(mark)
+                    words_ += n
+                continue
             tokens = find(p)
             if not tokens:
                 continue
-            ordinary = kind in "so"
-            if kind == "p":
-                ordinary = sum(x.isalpha() for x in tokens) < LEAST_WORDS
-            try:
-                flat += [_CODES[x] for x in tokens]
-            except KeyError:
-                for x in tokens:
-                    c = get(x)
-                    flat.append(_code(x) if c is None else c)
+            ordinary = kind == "p" and sum(x.isalpha() for x in tokens) < LEAST_WORDS
+            flat += _coded(tokens)
             row.append(i), length.append(len(tokens))
             trust.append(TRUSTED if trusted(kind, p) else ORDINARY if ordinary else 0)
             words_ += len(tokens)
@@ -251,9 +291,11 @@ def _counts(model):
         for b in batches:
             f, passage, t, _ = _unpack(b)
             if model is None:  # tiny records without a seed are left out of both classes at first, their like in others' half
-                p, n = np.choose(t, [0.0, 1.0, 0.5, 0.0, 0.0]), (t != TINY_ROW).astype(float)
+                p, n = np.choose(t, [0.0, 1.0, 0.5, 0.0, 0.0, 0.0]), (t != TINY_ROW).astype(float)
             else:
-                p, n = _marked(t, _posterior(model.value[0], model.value[1], f, passage, len(t))), np.ones(len(t))
+                p = _marked(t, _posterior(model.value[0], model.value[1], f, passage, len(t)))
+                p[t == LONG] = 0
+                n = np.ones(len(t))
             pos += np.bincount(f, p[passage], minlength=_MASK + 1)
             all_ += np.bincount(f, n[passage], minlength=_MASK + 1)
         k = np.flatnonzero(all_)

@@ -252,3 +252,18 @@ def test_residue(spark):
     got = {r["id"] for r in residue.template_residue(d).collect()}
     assert {i for i, _ in cases} - {1007} <= got and not got & {i for i, _ in normal + plain}
     assert residue.template_residue(d.limit(0)).isEmpty()
+
+
+def test_residue_in_long_paragraphs(spark):
+    """Messages in a long paragraph or a page squeezed to one line are found; the same ones quoted there are not."""
+    r, words = random.Random(8), "old harbour bridge river market winter garden letter baker sailor field morning stone lantern".split()
+    sentence = lambda: "The " + " ".join(r.choices(words, k=9)) + " stayed."
+    messages = ["Please enable JavaScript to view this page.", "Too many requests from your network.", "Access denied by the server."]
+    quoting = "The sign on the door said \"{}\" and people wrote about it."
+    rows = [(i, messages[i % 3]) for i in range(90)] + [(100 + i, " ".join(sentence() for _ in range(8))) for i in range(300)]
+    found = [(1000 + i, " ".join([sentence(), sentence(), sentence(), m, sentence(), sentence()])) for i, m in enumerate(messages)]
+    found += [(1003, " ".join([*(sentence() for _ in range(5)), "Sed elit magna tempor labore sit aliqua."]))]
+    quoted = [(2000 + i, " ".join([sentence(), sentence(), sentence(), quoting.format(m[:-1]), sentence(), sentence()])) for i, m in enumerate(messages)]
+    d = spark.createDataFrame(rows + found + quoted, "doc_id long, text string")
+    got = {x["id"] for x in residue.template_residue(d).collect()}
+    assert got == {*range(90), *(i for i, _ in found)}
