@@ -360,7 +360,7 @@ def generated_documents(spark, d):
     for kind in generators.KINDS:
         g = generators.generate(spark, kind, 20)
         out = g if out is None else out.unionByName(g)
-    return rules.classify(out).select("id", "source", "sub_type", "classification.category")
+    return rules.classify(out, sample_bytes=WHOLE).select("id", "source", "sub_type", "classification.category")
 
 
 def stream_categories(spark, d):
@@ -374,7 +374,7 @@ def stream_categories(spark, d):
     source = path if _is_folder(spark, path) else f"{d}/[d]ocuments.parquet"
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)
     stream = stream.select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
-    q = windowed_categories(stream, "fetched_at", "7 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = windowed_categories(stream, "fetched_at", "7 days", sample_bytes=WHOLE).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("window.start").alias("start"), "category", "n")
 

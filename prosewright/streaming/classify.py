@@ -9,13 +9,13 @@ from prosewright.operators.rules import classify
 from prosewright.operators.voting import pending
 
 
-def classified_stream(stream: DataFrame, text_col: str = "text") -> DataFrame:
-    return classify(stream, text_col)
+def classified_stream(stream: DataFrame, text_col: str = "text", sample_bytes: int | None = 10_000) -> DataFrame:
+    return classify(stream, text_col, sample_bytes=sample_bytes)
 
 
-def windowed_categories(stream: DataFrame, time_col: str, window: str = "1 hour", late: str = "1 day", text_col: str = "text") -> DataFrame:
-    """(window, category, n) of documents by event time; later ones than `late` are left out."""
-    d = classify(stream.withWatermark(time_col, late), text_col)
+def windowed_categories(stream: DataFrame, time_col: str, window: str = "1 hour", late: str = "1 day", text_col: str = "text", sample_bytes: int | None = 10_000) -> DataFrame:
+    """(window, category, n) of documents by event time; later ones than `late` are left out. sample_bytes None: by their whole texts."""
+    d = classify(stream.withWatermark(time_col, late), text_col, sample_bytes=sample_bytes)
     return d.groupBy(F.window(time_col, window), F.col("classification.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 

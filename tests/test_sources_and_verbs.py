@@ -100,6 +100,24 @@ def test_stream(spark, small):
     assert a == b
 
 
+def test_queries_classify_whole_texts(spark, tmp_path, monkeypatch):
+    """A text whose first 10,000 bytes are of another category than the whole."""
+    import datetime as dt
+
+    from prosewright.operators.rules import classify
+    from prosewright.plans import catalogue
+
+    text = "The river was closed for the winter, and the people of the town walked along it. " * 130 + "\n" + "\n".join(f"        if (x[{i}] == y->{{z}}) {{ a += b[{i}] * (c & 0x{i:x}); }}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text, dt.datetime(2024, 1, 1))], "doc_id long, text string, fetched_at timestamp")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (whole,), (part,) = (classify(docs, sample_bytes=n).select("classification.category").first() for n in (None, 10_000))
+    assert whole != part
+    assert [(r["category"], r["n"]) for r in catalogue.stream_categories(spark, str(tmp_path)).collect()] == [(whole, 1)]
+    monkeypatch.setattr(catalogue.generators, "KINDS", ["long"])
+    monkeypatch.setattr(catalogue.generators, "generate", lambda *_: docs.selectExpr("doc_id AS id", "'x' AS source", "'y' AS sub_type", "text"))
+    assert [r["category"] for r in catalogue.generated_documents(spark, str(tmp_path)).collect()] == [whole]
+
+
 def test_entry_and_names(spark, small):
     import __spark_entry__ as e
 
