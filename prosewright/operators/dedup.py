@@ -56,7 +56,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", blo
 
 
 def dropped(neighbours: DataFrame, threshold: float, max_rounds: int = 1000) -> DataFrame:
-    """(id): rows to drop, from (id, nn, d), strictly under the threshold."""
+    """(id): rows to drop, from (id, nn, d), strictly under the threshold. Chains that max_rounds don't decide are an error."""
     near = cut(neighbours.where(F.col("d") < threshold).select("id", "nn"))
     gone = near.where("nn < id").select("id")
     # a row that names a later one drops it if the row itself is kept: decide chains from their starts
@@ -70,6 +70,8 @@ def dropped(neighbours: DataFrame, threshold: float, max_rounds: int = 1000) ->
         out = cut(sure.select(F.col("nn").alias("id")).distinct())
         gone = cut(gone.unionByName(out).distinct())
         names = cut(names.join(sure.select("id"), "id", "left_anti").join(out, "id", "left_anti"))
+    if not names.isEmpty():
+        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     return gone
 
 

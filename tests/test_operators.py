@@ -190,3 +190,13 @@ def test_running_total(spark):
     for _, rows in total.groupby("g", dropna=False):
         rows = rows.sort_values(["b", "w"])
         assert rows["b"].iloc[0] == 0 and rows["b"].max() + rows.loc[rows["b"].idxmax(), "w"] <= rows["w"].sum()
+
+
+def test_undecided_rows_are_an_error(spark):
+    """Every row of a chain names the next one; one round decides two of them."""
+    from prosewright.operators import dedup
+
+    chain = spark.createDataFrame([(i, i + 1, 0.0) for i in range(6)], "id long, nn long, d double")
+    assert {r["id"] for r in dedup.dropped(chain, 0.1, max_rounds=3).collect()} == {1, 3, 5}
+    with pytest.raises(RuntimeError):
+        dedup.dropped(chain, 0.1, max_rounds=2)
