@@ -13,6 +13,8 @@ hashed order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,13 @@ def related_groups(df: DataFrame, id_col: str = "sample_id", template: str = "pr
     return keyed.distinct().join(roots, on, "left").groupBy("id").agg(F.min(F.coalesce("root", "id")).alias("root"))
 
 
-def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int = 1 << 20) -> list[dict[int, int]]:
+def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int = 1 << 26) -> list[dict[int, int]]:
     """For each target in turn, how many components of each size to take, so that their total is closest to it.
 
     sizes: size -> how many components have it. Subset sums are bits of one integer; multiplicities are entered in
     binary pieces. Pieces are measured in units of more than 1 only where all sizes together exceed max_bits; what rounding
-    then leaves is made up from sizes that fit.
+    then leaves is made up from sizes that fit. Of the bitsets on the way, one in about the square root of the pieces is
+    kept, and those between are made again on the way back.
     """
     left = {s: n for s, n in sizes.items() if s > 0 and n > 0}
     unit = max(1, -(-sum(s * n for s, n in left.items()) // max_bits))
@@ -81,9 +84,10 @@ def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int =
                 n -= take
                 k *= 2
         limit = (1 << (2 * goal + 2)) - 1
-        reach, trail = 1, []
-        for s, k in pieces:
-            trail.append(reach)
+        reach, kept, step = 1, [], math.isqrt(len(pieces)) + 1
+        for i, (s, k) in enumerate(pieces):
+            if i % step == 0:
+                kept.append(reach)
             reach = (reach | (reach << round(s * k / unit))) & limit
         below = reach & ((1 << (goal + 1)) - 1)
         low = below.bit_length() - 1
@@ -93,11 +97,15 @@ def closest_counts(sizes: dict[int, int], targets: list[float], max_bits: int =
             high = goal + 1 + ((above & -above).bit_length() - 1)
             at = high if high - goal < goal - low else low
         taken: dict[int, int] = {}
-        for (s, k), before in zip(reversed(pieces), reversed(trail)):
-            if at >= 0 and (before >> at) & 1:
-                continue
-            taken[s] = taken.get(s, 0) + k
-            at -= round(s * k / unit)
+        while kept:
+            trail, block = [kept.pop()], pieces[step * len(kept) : step * (len(kept) + 1)]
+            for s, k in block[:-1]:
+                trail.append((trail[-1] | (trail[-1] << round(s * k / unit))) & limit)
+            for (s, k), before in zip(reversed(block), reversed(trail)):
+                if at >= 0 and (before >> at) & 1:
+                    continue
+                taken[s] = taken.get(s, 0) + k
+                at -= round(s * k / unit)
         for s, k in taken.items():
             left[s] -= k
         if unit > 1:

@@ -100,6 +100,16 @@ def test_closest_counts_are_closest():
     assert sum(s * k for s, k in group_split.closest_counts({10**6: 100}, [3 * 10**7], max_bits=1000)[0].items()) == 3 * 10**7
 
 
+def test_closest_counts_of_more_than_a_million_records():
+    r = random.Random(6)
+    for _ in range(5):
+        sizes = {r.randrange(100_001, 200_000, 2): 1 for _ in range(18)}
+        target = sum(r.sample(sorted(sizes), 8))
+        assert sum(sizes) > 1 << 20
+        (took,) = group_split.closest_counts(sizes, [target])
+        assert sum(s * k for s, k in took.items()) == target
+
+
 def test_cube(spark):
     cells = cube.plan_cells(plan(spark, ("a", 60, "prose", "plain", False, None, 1), ("b", 40, "code", "SQL", False, None, 1), ("c", 1, "code", "go", False, None, 1)))
     g = golden(spark)
