@@ -21,6 +21,10 @@ def _tokens(table: str, key: str) -> str:
 
 _NEAR = "HAVING 1.7 * count(*) >= 0.7 * (any_value(a.n) + any_value(b.n)) - 1e-6"
 
+#: (item_id, k, g) and (doc_id, k, g): the words of every passage of 13, and the place of its first.
+_GRAMS = """i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM holdout_items), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+      gi AS (SELECT item_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)), gd AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13))"""
+
 SQL: dict[str, str] = {
     "p1_found": f"WITH t AS ({_tokens('golden_train', 'row_id')}) SELECT a.id AS row_id_a, b.id AS row_id_b FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id AND a.n <= 1.43 * b.n AND b.n <= 1.43 * a.n GROUP BY a.id, b.id {_NEAR}",
     "p5_found": f"WITH s AS ({_tokens('eval_samples', 'sample_id')}), t AS ({_tokens('golden_train', 'row_id')}) SELECT a.id AS sample_id, b.id AS row_id FROM s a JOIN t b ON a.tok = b.tok AND a.n <= 1.43 * b.n AND b.n <= 1.43 * a.n GROUP BY a.id, b.id {_NEAR}",
@@ -35,7 +39,8 @@ SQL: dict[str, str] = {
     "p4_found": f"""WITH c AS (SELECT {_cn('category')} AS category, {_cn('sub_type')} AS sub_type, sum(target_count) AS t FROM (SELECT DISTINCT * FROM source_plan) GROUP BY 1, 2),
       u AS (SELECT c.category, c.sub_type, c.t, count(g.row_id) AS n FROM c LEFT JOIN (SELECT row_id, {_cn('category')} AS a, {_cn('sub_type')} AS b FROM golden_train WHERE {_FULL}) g ON g.a = c.category AND g.b = c.sub_type GROUP BY ALL)
       SELECT category, sub_type FROM u WHERE n < (SELECT sum(n) FROM u) * 0.5 * (t / CAST((SELECT sum(t) FROM c) AS DOUBLE))""",
-    "p9_found": """WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM holdout_items), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
-      gi AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)), gd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13))
-      SELECT DISTINCT item_id, doc_id FROM gi JOIN gd USING (g)""",
+    "p9_found": f"WITH {_GRAMS} SELECT DISTINCT item_id, doc_id FROM gi JOIN gd USING (g)",
+    "p9_items": f"""WITH {_GRAMS}, h AS (SELECT DISTINCT item_id, doc_id, gi.k AS a, gd.k - gi.k AS lane FROM gi JOIN gd USING (g)),
+      r AS (SELECT item_id, doc_id, count(*) + 12 AS n FROM (SELECT *, a - row_number() OVER (PARTITION BY item_id, doc_id, lane ORDER BY a) AS run FROM h) GROUP BY item_id, doc_id, lane, run)
+      SELECT item_id, split, content_domain, documents, longest FROM holdout_items JOIN (SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(n) AS INT) AS longest FROM r GROUP BY 1) USING (item_id)""",
 }

@@ -122,6 +122,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "holdout_items")).select("item_id", "doc_id")
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages of which up to two characters differ."""
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "holdout_items"), edits=2, exact=False)
+
+
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked, into how many documents, and their longest passage."""
     items = table(spark, d, "holdout_items").select("item_id", "split", "content_domain")

@@ -183,11 +183,65 @@ def test_leaks_equal_brute_force(spark):
     assert (92, 2002) in got and (92, 2003) not in got
 
 
+def _edits(a, text):
+    """The least edits with which a stands anywhere in text (Sellers)."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def _edited(r, text, n):
+    """n single-character edits, spread evenly."""
+    at = [round((k + 0.5) * len(text) / n) for k in range(n)]
+    for k in reversed(at):
+        kind = r.randrange(3)
+        text = text[:k] + ("" if kind == 0 else r.choice("qxz")) + text[k + (kind < 2) :]
+    return text
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_leaks_with_edits_equal_brute_force(spark, edits):
+    r = random.Random(edits)
+    short = ["a", "bo", "cat", "dune", "el", "fir", "go", "hi", "ink", "jo", "kit", "lo"]
+    items = [(i, " ".join(r.choices(short if i % 2 else WORDS, k=13 + i % 3))) for i in range(16)]
+    docs = []
+    for d in range(64):
+        w = " ".join(items[d % 16][1].split()[:13])
+        docs.append((1000 + d, " ".join(r.choices(WORDS, k=6)) + " " + _edited(r, w, 1 + d // 16) + " " + " ".join(r.choices(WORDS, k=6))))
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["item_id"], x["doc_id"]) for x in leakage.leaked_passages(d, i, edits=edits, exact=False).collect()}
+    flat = {x: " ".join(re.findall(r"[^\W_]+", t.lower())) for x, t in docs}
+    want = set()
+    for k, t in items:
+        w = t.split()
+        for s in range(len(w) - 12):
+            want |= {(k, x) for x, u in flat.items() if (k, x) not in want and x % 1000 % 16 == k and _edits(" ".join(w[s : s + 13]), u) <= edits}
+    assert got >= want and {g for g in got if g[1] % 1000 % 16 == g[0]} == want
+    assert len(want) >= 14 * edits
+    assert all(any(_edits(" ".join(dict(items)[k].split()[s : s + 13]), flat[x]) <= edits for s in range(len(dict(items)[k].split()) - 12)) for k, x in got - want)
+
+
 def test_leaks_with_edits(spark):
     item = "the old harbour wall was measured again in spring and found to be sound by all who looked at it closely"
     doc = "They say the old harbour wal was measured again in spring and found to be sound by all who lookd at it closely indeed"
     i, d = spark.createDataFrame([(1, item)], "item_id long, text string"), spark.createDataFrame([(5, doc), (6, "nothing of the kind here at all")], "doc_id long, text string")
-    assert [r["doc_id"] for r in leakage.leaked_passages(d, i, edits=2, q=8).collect()] == [5]
+    assert [tuple(r) for r in leakage.leaked_passages(d, i, edits=2, q=8, exact=False).collect()] == [(1, 5, 21)]
+    assert [tuple(r) for r in leakage.leaked_passages(d, i).collect()] == [(1, 5, 13)]
+
+
+def test_leaks_with_many_hits(spark, monkeypatch):
+    """A text that repeats what every item holds is taken up a few items at a time."""
+    monkeypatch.setattr(leakage, "HITS", 500)
+    same = " ".join(WORDS[:20])
+    items = [(k, same + f" end{k}") for k in range(9)] + [(9, "b " * 30)]
+    docs = [(100, (same + " ") * 12), (101, "b " * 400), (102, same), (103, "b " * 12)]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(x["item_id"], x["doc_id"]) for x in leakage.leaked_passages(d, i).collect()}
+    assert got == {(k, x) for k in range(9) for x in (100, 102)} | {(9, 101)}
 
 
 def test_leaks_of_nothing(spark):
