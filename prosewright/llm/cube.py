@@ -9,16 +9,15 @@ partitions and flown again, and the landing decides the last one of each cell by
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.words import clean_name, is_blank
+from prosewright.functions.words import clean_name, is_blank, mix64
 from prosewright.session import cut
 
-_ROWS = "id long, cell int, p double, state int"
+_ROWS = "id long, cell long, p double, state int"
 
 
 def plan_cells(plan: DataFrame) -> DataFrame:
@@ -36,71 +35,72 @@ def cell_rows(df: DataFrame, cells: DataFrame, id_col: str = "row_id") -> DataFr
 
 
 def cell_targets(rows: DataFrame, cells: DataFrame, fraction: float = 0.5, least: int = 10) -> DataFrame:
-    """Cells with their rows, targets and the inclusion probability of each row.
+    """Cells, numbered, with their rows, targets and the inclusion probability of each row.
 
-    The sample is to hold fraction x all usable rows. A cell with fewer rows than its target (`short`) gives all; a
-    cell whose target is under `least` gives that many, or all it has.
+    The sample is to hold fraction x all usable rows. A cell with fewer rows than its target gives all; a cell whose target is under `least` gives that many, or all it has.
     """
     n = rows.groupBy("category", "sub_type").agg(F.count(F.lit(1)).alias("n_rows"))
     t = cells.join(n, ["category", "sub_type"], "left").fillna(0, ["n_rows"])
     everything = Window.partitionBy(F.lit(1))  # one row per plan cell
     t = t.withColumn("target", F.sum("n_rows").over(everything) * F.lit(fraction) * F.col("share"))
-    t = t.withColumn("short", F.col("n_rows") < F.col("target"))
+    t = t.withColumn("cell", F.row_number().over(everything.orderBy("category", "sub_type")).cast("long"))
     wanted = F.least(F.col("n_rows").cast("double"), F.greatest(F.col("target"), F.lit(float(least))))
     return t.withColumn("p", F.coalesce(F.try_divide(wanted, F.col("n_rows")), F.lit(0.0)))
 
 
+def _step(seed: int, level: int, ids: np.ndarray, cells: np.ndarray, p: np.ndarray) -> int:
+    """One flight step of all pairs of neighbouring open records of a cell: moves p in place and returns the number of pairs.
+
+    The direction is drawn by a hash of seed, level and the two ids, so that it does not depend on batches.
+    """
+    order = np.argsort(cells, kind="stable")
+    c = cells[order]
+    begin = np.append(True, c[1:] != c[:-1])
+    place = np.arange(len(c)) - np.maximum.accumulate(np.where(begin, np.arange(len(c)), 0))
+    first = np.flatnonzero((place % 2 == 0) & np.append(c[1:] == c[:-1], False))
+    i, j = order[first], order[first + 1]
+    a, b = p[i], p[j]
+    up, down = np.minimum(1 - a, b), np.minimum(a, 1 - b)
+    drawn = mix64(mix64(ids[i].view(np.uint64) + np.uint64(seed * 64 + level)) ^ ids[j].view(np.uint64)) >> np.uint64(11)
+    rise = drawn.astype(float) / (1 << 53) * (up + down) < down
+    p[i], p[j] = np.where(rise, a + up, a - down), np.where(rise, b - up, b + down)
+    return len(first)
+
+
 def _fly(seed: int, level: int):
     def flight(batches):
-        import random
-
-        open_: dict[int, tuple[int, float]] = {}
-        rng = None
+        none = np.empty(0, np.int64)
+        held = (none, none, none.astype(float))
         for b in batches:
-            if rng is None and len(b):
-                rng = random.Random(zlib.crc32(f"{seed}:{level}:{b.id.iloc[0]}".encode()))
-            ids, cells, ps, states = b.id.to_list(), b.cell.to_list(), b.p.to_list(), []
-            out_id, out_cell, out_state = [], [], []
-            for i, c, p in zip(ids, cells, ps):
-                held = open_.get(c)
-                if p <= 1e-9 or p >= 1 - 1e-9:
-                    out_id.append(i), out_cell.append(c), out_state.append(int(p > 0.5))
-                    continue
-                if held is None:
-                    open_[c] = (i, p)
-                    continue
-                j, q = held
-                # move p and q in opposite directions until one is 0 or 1
-                up, down = min(1 - p, q), min(p, 1 - q)
-                if rng.random() * (up + down) < down:
-                    p, q = p + up, q - up
-                else:
-                    p, q = p - down, q + down
-                rest = None
-                for k, v in ((i, p), (j, q)):
-                    if v <= 1e-9 or v >= 1 - 1e-9:
-                        out_id.append(k), out_cell.append(c), out_state.append(int(v > 0.5))
-                    else:
-                        rest = (k, v)
-                if rest is None:
-                    open_.pop(c)
-                else:
-                    open_[c] = rest
-            yield pd.DataFrame({"id": out_id, "cell": out_cell, "p": [0.0] * len(out_id), "state": out_state})
-        if open_:
-            yield pd.DataFrame([(i, c, p, 2) for c, (i, p) in open_.items()], columns=["id", "cell", "p", "state"])
+            ids, cells, p = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held))
+            p = p.copy()
+            while True:
+                open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+                now = p[open_]
+                if not _step(seed, level, ids[open_], cells[open_], now):
+                    break
+                p[open_] = now
+            decided = np.ones(len(p), bool)
+            decided[open_] = False
+            held = ids[open_], cells[open_], p[open_]
+            yield _rows(ids[decided], cells[decided], p[decided], (p[decided] > 0.5).astype(np.int32))
+        if len(held[0]):
+            yield _rows(*held, np.full(len(held[0]), 2, np.int32))
 
     return flight
 
 
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "cell", "p", "state"])
+
+
 def cube_sample(rows: DataFrame, targets: DataFrame, seed: int = 3, fan_in: int = 8) -> DataFrame:
     """(id, category, sub_type): the sampled rows. Rows of repeated ids are drawn one by one; an empty table gives an empty sample."""
-    key = [F.hash("category", "sub_type").alias("cell")]
-    t = targets.select("category", "sub_type", "p")
-    left = rows.join(F.broadcast(t), ["category", "sub_type"]).select("id", *key, "p").where("p > 0")
+    t = targets.select("category", "sub_type", "cell", "p")
+    left = rows.join(F.broadcast(t), ["category", "sub_type"]).select(F.col("id").cast("long").alias("id"), "cell", "p").where("p > 0")
     parts, level, decided = max(1, left.rdd.getNumPartitions()), 0, []
     while True:
-        flown = cut(left.mapInPandas(_fly(seed, level), _ROWS))
+        flown = cut(left.mapInArrow(_fly(seed, level), _ROWS))
         decided.append(flown.where("state = 1").select("id", "cell"))
         left = flown.where("state = 2").select("id", "cell", "p")
         if parts == 1:
@@ -112,12 +112,12 @@ def cube_sample(rows: DataFrame, targets: DataFrame, seed: int = 3, fan_in: int
     chosen = decided[0]
     for d in decided[1:]:
         chosen = chosen.unionByName(d)
-    names = targets.select("category", "sub_type", F.hash("category", "sub_type").alias("cell"))
-    return chosen.join(F.broadcast(names), "cell").select("id", "category", "sub_type")
+    return chosen.join(F.broadcast(targets.select("category", "sub_type", "cell")), "cell").select("id", "category", "sub_type")
 
 
 def cube_report(sample: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per cell: rows, target, sampled rows, the residual (sampled less the expected count) and whether the target can't be met."""
+    """Per cell: rows, target, sampled rows, the residual (sampled less the expected count), and `short`: all its rows are in the sample, and fewer than the target."""
     got = sample.groupBy("category", "sub_type").agg(F.count(F.lit(1)).alias("sampled"))
     r = targets.join(got, ["category", "sub_type"], "left").fillna(0, ["sampled"])
-    return r.select("category", "sub_type", "n_rows", F.round("target", 6).alias("target"), "sampled", F.round(F.col("sampled") - F.col("p") * F.col("n_rows"), 6).alias("residual"), "short")
+    short = (F.col("sampled") >= F.col("n_rows")) & (F.col("sampled") < F.col("target"))
+    return r.select("category", "sub_type", "n_rows", F.round("target", 6).alias("target"), "sampled", F.round(F.col("sampled") - F.col("p") * F.col("n_rows"), 6).alias("residual"), short.alias("short"))

@@ -12,7 +12,7 @@ from prosewright.session import cut, table
 
 def _mix_inputs(spark, d, weight=None):
     plan = mix.distinct_plan(table(spark, d, "source_plan"))
-    return mix.usable_rows(table(spark, d, "golden_train"), plan, weight=weight), plan
+    return cut(mix.usable_rows(table(spark, d, "golden_train"), plan, weight=weight)), plan
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_mix(spark: SparkSession, d: str) -> DataFrame:
     rows, plan = _mix_inputs(spark, d, mix.words_weight())
-    return mix.mix_sources(cut(rows), plan, block=1024)
+    return mix.mix_sources(rows, plan, block=1024)
+
+
+def p2_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Filled slots of each source in the mix by words; none for sources that fill none."""
+    return p2_mix(spark, d).groupBy("name").agg(F.count_distinct("slot").alias("slots"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +66,12 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return cube.cube_report(cube.cube_sample(rows, targets), targets)
 
 
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each cell's sampled rows are within 1 of what is expected of it."""
+    r = p4_report(spark, d)
+    return r.select("category", "sub_type", "n_rows", "target", "short", (F.abs("residual") < 1).alias("balanced"))
+
+
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     rows, targets = _cube_inputs(spark, d)
     return cube.cube_sample(rows, targets).withColumnRenamed("id", "row_id")

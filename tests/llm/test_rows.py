@@ -35,7 +35,20 @@ def test_mix_report(spark):
     for k in n:
         assert rep[k]["n_rows"] == n[k]
         assert rep[k]["short"] == (n[k] * repeat[k] < total * share[k] / 120)
-        assert rep[k]["drawn_units"] <= n[k] * repeat[k]
+        assert min(total * share[k] / 120, n[k] * repeat[k]) <= rep[k]["drawn_units"] <= n[k] * repeat[k]
+
+
+def test_mix_fills_each_slot_once(spark):
+    p = mix.distinct_plan(plan(spark, *PLAN))
+    rows = mix.usable_rows(golden(spark), p)
+    totals, slots = mix.mix_slots(rows, p, block=2, shard_slots=8)
+    need = {r["name"]: r["slots"] for r in totals.collect()}
+    got = {}
+    for r in slots.collect():
+        got.setdefault(r["name"], []).extend(range(r["first"], r["first"] + r["n"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(n)) for k, n in need.items() if n}
+    per = slots.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in per) == sum(need.values()) and max(r["n"] for r in per) <= 8
 
 
 def test_mix_never_repeats_too_often(spark):
@@ -120,6 +133,7 @@ def test_cube(spark):
     assert s.select("id").distinct().count() == s.count()
     assert all(abs(r["residual"]) <= 1.0 for r in rep.values())
     assert rep["code", "go"]["short"] and rep["code", "go"]["n_rows"] == 0
+    assert all(abs(x["residual"]) < 1 for x in rep.values())
     assert cube.cube_sample(rows.limit(0), cube.cell_targets(rows.limit(0), cells)).isEmpty()
 
 
