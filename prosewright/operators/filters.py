@@ -16,9 +16,18 @@ BOUNDARY_PAIRS = [f"{a}_{b}" for i, a in enumerate(CATEGORIES) for b in CATEGORI
 LENGTH_BUCKETS = ["short", "medium", "long"]
 SYNTHETIC_SOURCE = "unknown"
 
-_GENERATED = (
-    r"(?i)^(?://\s*Code generated|#\s*AUTO[- ]GENERATED|/\*\s*AUTO\s+GENERATED|#\s*This file is auto-generated|//\s*DO NOT EDIT|#\s*DO NOT EDIT|/\*\s*DO NOT EDIT|<!--\s*AUTO[- ]GENERATED)"
-)
+# How the first line of a generated file begins, letter case ignored.
+GENERATED = [
+    r"^//\s*Code generated",
+    r"^#\s*AUTO[- ]GENERATED",
+    r"^/\*\s*AUTO\s+GENERATED",
+    r"^#\s*This file is auto-generated",
+    r"^//\s*DO NOT EDIT",
+    r"^#\s*DO NOT EDIT",
+    r"^/\*\s*DO NOT EDIT",
+    r"^<!--\s*AUTO[- ]GENERATED",
+]
+_GENERATED = "(?i)" + "|".join(GENERATED)
 
 
 def _full_lines(text: Column) -> Column:
@@ -81,7 +90,7 @@ def reclassify(df: DataFrame, text: str = "text", into: str = "reclassified", wo
     names = ["sentence_coherence_score", "dictionary_word_ratio", "alpha_ratio", "key_value_ratio", "comment_ratio", "delimiter_consistency"]
     d = with_features(df.withColumn("_text", F.replace(F.col(text), F.lit("\\n"), F.lit("\\ n"))), "_text", names, None, wordlist, line_count=False)
     c = {n: F.col(n) for n in names}
-    rule = (
+    rule = (  # Fixed values: the bounds.
         F.when((c["sentence_coherence_score"] > 0.3) & (c["dictionary_word_ratio"] > 0.5), "prose")
         .when((c["key_value_ratio"] > 0.3) | (c["delimiter_consistency"] > 0.5), "structured")
         .when(c["comment_ratio"] > 0.2, "code")

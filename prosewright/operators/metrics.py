@@ -127,7 +127,11 @@ def injected_recall(votes: DataFrame, key: str, source: str = "audit_source", ma
     return labels.join(found, "label", "left")
 
 
-def gate(agreement: DataFrame, recall: DataFrame, least_agreement: float = 0.995, least_recall: float = 0.90) -> DataFrame:
+# The gate's least agreement and recall.
+LEAST_AGREEMENT, LEAST_RECALL = 0.995, 0.90
+
+
+def gate(agreement: DataFrame, recall: DataFrame, least_agreement: float = LEAST_AGREEMENT, least_recall: float = LEAST_RECALL) -> DataFrame:
     """(label, passes): agreement is enough or missing, and recall is enough; missing recall fails."""
     j = recall.join(agreement, "label", "left")
     ok = F.coalesce((F.col("mean_agreement") >= least_agreement) | F.isnan("mean_agreement"), F.lit(True)) & F.coalesce(F.col("recall") >= least_recall, F.lit(False))

@@ -28,7 +28,7 @@ def rule_tier() -> Column:
     cv, lead, tab, punct, alpha, symbol = (F.col(c) for c in RULE_FEATURES)
     n = F.col("line_count")
     says = lambda text, *cols: F.format_string(text, *[c.cast("double") for c in cols])
-    return (
+    return (  # Fixed values: bounds and confidences.
         F.when((alpha == 0) & (punct == 0), _answer("prose", 0.0, "empty or no content"))
         .when((n >= 5) & (cv < _f(0.15)) & (symbol < _f(0.10)) & ((tab > _f(0.03)) | (punct < _f(0.01))), _answer("structured", 0.98, says("even lines: cv=%.2f symbols=%.2f", cv, symbol)))
         .when((lead > _f(0.3)) & (symbol > _f(0.08)) & (punct < _f(0.02)), _answer("code", 0.98, says("indented: lead=%.2f symbols=%.2f", lead, symbol)))

@@ -1,7 +1,6 @@
 """Deterministic sampling and splitting. Order is by md5 of seed and id, so results do not depend on partitions.
 
-Ranks within a group go through operators.ranking only where a group may be hot; here each is a window over (group,
-model) or over the ids alone.
+Places within a group are counted by bins (operators.ranking), so no group, however large, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -9,27 +8,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosewright.operators.ranking import binned_rank, hex_bin, salted_join
+from prosewright.operators.subsets import closest_counts
+from prosewright.session import cut
+
+#: Places of one (group, model) pair that stratified orders together.
+PLACES = 4096
+
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def _ranked(df: DataFrame, group: list[str], id_col: str, seed: int, name: str) -> DataFrame:
+    """df plus each row's place in its group, in hashed order."""
+    h = hash_order(id_col, seed)
+    return binned_rank(df, group, hex_bin(h), [h, F.col(id_col)], name)
+
+
 def stratified(df: DataFrame, key: str, n: int, id_col: str, model: str | None = "model", seed: int = 42, remainder: bool = False) -> DataFrame:
     """n records a group, taken round-robin over models (a null model is one of its own); all of smaller groups. remainder: the others instead."""
-    h = hash_order(id_col, seed)
-    m = F.coalesce(F.col(model), F.lit("__none__")) if model else F.lit("")
-    d = df.withColumn("_m", m).withColumn("_h", h)
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_m").orderBy("_h", id_col)))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_r", "_m", "_h", id_col)))
-    return d.where(F.col("_k") > n if remainder else F.col("_k") <= n).drop("_m", "_h", "_r", "_k")
+    if model is None:
+        d = _ranked(df, [key], id_col, seed, "_k")
+    else:
+        d = _ranked(df.withColumn("_m", F.coalesce(F.col(model), F.lit("__none__"))), [key, "_m"], id_col, seed, "_r")
+        d = binned_rank(d, [key], F.floor(F.col("_r") / PLACES), [F.col("_r"), F.col("_m"), F.col(id_col)], "_k")
+    return d.where(F.col("_k") > n if remainder else F.col("_k") <= n).select(*df.columns)
 
 
 def capped(df: DataFrame, keys: list[tuple[str, int]], id_col: str, seed: int = 42) -> DataFrame:
     """At most so many records per value of each key, one cap after the other."""
     d = df
     for key, most in keys:
-        w = Window.partitionBy(key).orderBy(hash_order(id_col, seed), id_col)
-        d = d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+        d = _ranked(d, [key], id_col, seed, "_k").where(F.col("_k") <= most).drop("_k")
     return d
 
 
@@ -46,7 +57,7 @@ def floor_allocation(counts: DataFrame, key: str, n: int, least: int = 50) -> Da
 def stratified_with_floor(df: DataFrame, key: str, n: int, id_col: str, least: int = 50, seed: int = 42) -> DataFrame:
     """About n records: at least `least` of each group (or all), the rest in proportion. Null is a group."""
     alloc = floor_allocation(df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")), key, n, least).select(F.col(key).alias("_g"), "alloc")
-    d = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(hash_order(id_col, seed), id_col)))
+    d = _ranked(df, [key], id_col, seed, "_k")
     return d.join(F.broadcast(alloc), F.col(key).eqNullSafe(F.col("_g"))).where(F.col("_k") <= F.col("alloc")).select(*df.columns)
 
 
@@ -103,40 +114,58 @@ def first_passing(df: DataFrame, passes: Column, n: int, order: Column, skips_pe
 
 
 def train_validation(df: DataFrame, label: str, id_col: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """df plus `split`: `fraction` of each label's records (rounded) is validation."""
-    w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(hash_order(id_col, seed), id_col))
-    return df.withColumn("split", F.when(k <= F.round(F.count(F.lit(1)).over(w) * fraction), "validation").otherwise("train"))
+    """df plus `split`: `fraction` of each label's records (rounded) is validation. Null is a label."""
+    wanted = df.groupBy(F.col(label).alias("_l")).agg(F.round(F.count(F.lit(1)) * fraction).alias("_want"))
+    d = salted_join(_ranked(df, [label], id_col, seed, "_k"), wanted.withColumnRenamed("_l", label), [label], [id_col])
+    return d.select(*df.columns, F.when(F.col("_k") <= F.col("_want"), "validation").otherwise("train").alias("split"))
+
+
+# How far the validation share of a grouped split may be off, at least and at most, and as a part of it.
+GROUPED_OFF = (0.02, 0.05, 0.25)
+#: Groups up to which the validation groups' table is sent to all tasks; beyond, rows and groups are shuffled to meet.
+BROADCAST_GROUPS = 100_000
 
 
 def grouped_split(df: DataFrame, group: str, label: str, fraction: float = 0.2, seed: int = 42) -> DataFrame | None:
-    """df plus `split`, whole groups on one side, close to `fraction` of the rows and to the overall label mix; None if no choice of groups comes close enough.
+    """df plus `split`, whole groups on one side: of all choices of groups, the total closest to `fraction` of the rows.
 
-    Group totals (one row per group and label) are searched on the driver: a few hundred seeded trials.
+    Which totals can be made is decided on group sizes alone (a bitset of subset sums); among groups of one size those
+    whose labels are mixed most like the whole table go to validation, then by hash. Null is no group and goes to train;
+    None where there are fewer than two groups or the closest total is too far off. Only the table of sizes (at most
+    about the square root of twice the rows) reaches the driver.
     """
-    import numpy as np
-
-    t = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    names = sorted(t[group].dropna().unique())
-    if len(names) < 2:
+    t = cut(df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = t.groupBy("g").agg(F.sum("n").alias("size"))
+    have = {r["size"]: r["k"] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("k")).collect()}
+    total, groups = sum(s * k for s, k in have.items()), sum(have.values())
+    if groups < 2:
         return None
-    m = t.pivot_table(index=group, columns=label, values="n", fill_value=0).loc[names].to_numpy(float)
-    total, rng, best = m.sum(), np.random.default_rng(seed), None
-    mix = m.sum(axis=0) / total
-    trials = max(64, min(512, len(names) * 32))
-    per = max(4, min(32, trials // max(1, len(names) - 1)))
-    for k in range(1, len(names)):
-        for _ in range(per):
-            pick = rng.permutation(len(names))[:k]
-            val = m[pick].sum(axis=0)
-            train = m.sum(axis=0) - val
-            off = abs(val.sum() / total - fraction)
-            drift = np.abs(train / max(train.sum(), 1) - mix).mean() + np.abs(val / max(val.sum(), 1) - mix).mean()
-            if best is None or (off, drift) < best[0]:
-                best = ((off, drift), [names[i] for i in pick])
-    if best is None or best[0][0] > max(0.02, min(0.05, fraction * 0.25)):
+    (taken,) = closest_counts(have, [total * fraction])
+    taken = {s: k for s, k in taken.items() if k}
+    if not taken:
+        taken = {min(have): 1}
+    elif sum(taken.values()) == groups:
+        taken[min(taken)] -= 1
+    off = abs(sum(s * k for s, k in taken.items()) / total - fraction)
+    least, most, part = GROUPED_OFF
+    if off > max(least, min(most, fraction * part)):
         return None
-    return df.withColumn("split", F.when(F.col(group).isin(best[1]), "validation").otherwise("train"))
+    spark = df.sparkSession
+    # how unlike the whole a group's labels are mixed: half the sum of |share in the group - share in all|, labels it lacks included
+    share = t.groupBy(F.col("l").alias("l_")).agg((F.sum("n") / total).alias("all"))
+    j = t.join(share, F.col("l").eqNullSafe(F.col("l_"))).join(sizes.withColumnRenamed("g", "g_"), F.col("g") == F.col("g_"))
+    here = F.col("n") / F.col("size")
+    unlike = j.groupBy("g", "size").agg(((F.sum(F.abs(here - F.col("all"))) + 1 - F.sum("all")) / 2).alias("unlike"))
+    h = hash_order("g", seed)
+    step = F.floor(F.col("unlike") * 255).cast("int")
+    placed = binned_rank(unlike, ["size"], step * 4096 + hex_bin(h), [step, h, F.col("g")], "place")
+    wanted = spark.createDataFrame([(s, k) for s, k in taken.items()], "size_ long, k long")
+    chosen = placed.join(F.broadcast(wanted), F.col("size") == F.col("size_")).where("place <= k").select(F.col("g").alias("_g"), F.lit("validation").alias("split"))
+    if sum(taken.values()) <= BROADCAST_GROUPS:
+        d = df.join(F.broadcast(chosen), F.col(group) == F.col("_g"), "left").drop("_g")
+    else:
+        d = salted_join(df, chosen.withColumnRenamed("_g", group), [group], df.columns)
+    return d.withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def quota(total: int, parts: int) -> list[int]:

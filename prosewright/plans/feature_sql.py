@@ -7,6 +7,7 @@ WSC = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 ALPHA = r"\p{L}\p{Nl}\x{93a}\x{93b}\x{93e}-\x{94c}\x{94e}\x{94f}\x{955}-\x{957}\x{900}-\x{903}\x{345}"
 ALNUM = ALPHA + r"\p{N}"
 DELIMS = ["','", "'|'", "chr(9)", "';'"]
+# Fixed values, as in functions.features.
 MOJIBAKE = ["Ã©", "Ã¨", "Ã¼", "Ã¶", "Ã¤", "Â°", "Â©", "â\u0080\u0093", "â\u0080\u0099", "â\u0080\u009c", "â\u0080\u009d"]
 OPERATORS = ["==", "!=", ">=", "<=", "&&", "||", "=>", "->", "+=", "-=", "*=", "/=", "**", "<<", ">>", "::"]
 

@@ -107,6 +107,55 @@ def test_grouped_split_keeps_groups(spark):
     assert sampling.grouped_split(d.withColumn("g", F.lit("one")), "g", "y") is None
 
 
+def test_grouped_split_is_the_closest_of_all(spark):
+    from itertools import combinations
+
+    r = random.Random(3)
+    for trial in range(3):
+        sizes = [r.randint(1, 12) for _ in range(7)]
+        rows = [(f"s{g}", r.choice("xyz")) for g, n in enumerate(sizes) for _ in range(n)]
+        d = spark.createDataFrame([(i, *x, "clash") for i, x in enumerate(rows)], "id int, g string, y string, place string")
+        s = sampling.grouped_split(d, "g", "y", 0.3)
+        best = min(abs(sum(c) / len(rows) - 0.3) for k in range(1, 7) for c in combinations(sizes, k))
+        if s is None:
+            assert best > 0.05
+        else:
+            assert abs(s.where("split = 'validation'").count() / len(rows) - 0.3) == pytest.approx(best)
+    # of groups of one size, the one mixed like the whole goes to validation; null is no group
+    rows = [("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("c", "y"), (None, "x"), (None, None)]
+    s = sampling.grouped_split(spark.createDataFrame(rows, "g string, y string"), "g", "y", 1 / 3)
+    assert {x["g"] for x in s.where("split = 'validation'").collect()} == {"b"} and s.count() == 8
+    assert sampling.grouped_split(d.limit(0), "g", "y") is None
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_grouped_split_beyond_a_broadcast(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sampling, "BROADCAST_GROUPS", broadcast)
+    d = spark.createDataFrame([(i, f"s{i % 5}" if i % 7 else None, "x") for i in range(210)], "id int, g string, y string")
+    s = sampling.grouped_split(d, "g", "y")
+    assert s.count() == 210 and s.where("split = 'validation'").count() == 36 and s.where("g is null and split = 'validation'").isEmpty()
+
+
+def test_places_in_hot_groups(spark):
+    """One group holds nine tenths of the rows; ids repeat and may be null."""
+    from prosewright.operators import ranking
+
+    n = 4000
+    d = spark.createDataFrame([(i if i % 50 else None, "hot" if i % 10 else [None, "b"][i % 20 // 10], f"m{i % 3}" if i % 11 else None) for i in range(n)], "id int, g string, model string")
+    got = sampling._ranked(d, ["g"], "id", 1, "k").groupBy("g").agg(F.count_distinct("k").alias("d"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 3 and all(r["lo"] == 1 and r["d"] == r["hi"] == r["n"] for r in got)
+    for places in (7, 4096):
+        sampling.PLACES, old = places, sampling.PLACES
+        s = sampling.stratified(d, "g", 400, "id")
+        sampling.PLACES = old
+        assert {r["g"]: r["n"] for r in s.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()} == {"hot": 400, "b": 200, None: 200}
+        assert all(abs(r["n"] - 100) <= 1 for r in s.where("g = 'hot'").groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect())
+    t = sampling.train_validation(d, "g", "id", 0.25)
+    assert {r["g"]: r["n"] for r in t.where("split = 'validation'").groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()} == {"hot": 900, "b": 50, None: 50} and t.count() == n
+    table = spark.createDataFrame([("hot", 1), (None, 2)], "g string, x int")
+    assert {(r["g"], r["x"]): r["n"] for r in ranking.salted_join(d, table, ["g"], ["id"]).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")).collect()} == {("hot", 1): 3600, (None, 2): 200, ("b", None): 200}
+
+
 def test_first_passing_gives_up(spark):
     d = spark.createDataFrame([(i,) for i in range(100)], "i int")
     assert [r[0] for r in sampling.first_passing(d, F.col("i") % 10 == 0, 3, F.col("i")).orderBy("i").collect()] == [0, 10, 20]
