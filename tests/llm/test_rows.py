@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosewright.llm import consensus, cube, group_split, mix, profiles, residue, token_ids
+from prosewright.operators import subsets
 
 
 def plan(spark, *rows):
@@ -92,6 +93,14 @@ def test_groups(spark):
     assert group_split.related_groups(d.limit(0)).isEmpty()
 
 
+def test_groups_of_a_hot_template(spark):
+    """Nine tenths of the rows share their keys, others have none."""
+    rows = [(i, "T", "m", "d") if i % 10 else (i, None, "m", "d") for i in range(500)]
+    d = spark.createDataFrame(rows, "sample_id long, prompt_template string, model string, content_domain string")
+    got = {r["id"]: r["root"] for r in group_split.related_groups(d).collect()}
+    assert got == {i: 1 if i % 10 else i for i in range(500)}
+
+
 def test_split_keeps_groups_and_proportions(spark):
     r = random.Random(4)
     rows = [(i, f"t{min(40, int(r.expovariate(0.05)))}", f"m{r.randrange(3)}", None) for i in range(400)]
@@ -107,10 +116,10 @@ def test_closest_counts_are_closest():
     from itertools import product
 
     for sizes, target in (({5: 2, 3: 3}, 9), ({7: 1}, 3), ({1: 4, 10: 1}, 6), ({}, 5), ({4: 3}, 6)):
-        (took,) = group_split.closest_counts(sizes, [target])
+        (took,) = subsets.closest_counts(sizes, [target])
         best = min((abs(sum(k * s for k, s in zip(c, sizes)) - target) for c in product(*[range(n + 1) for n in sizes.values()])), default=target)
         assert abs(sum(s * k for s, k in took.items()) - target) == best and all(k <= sizes[s] for s, k in took.items())
-    assert sum(s * k for s, k in group_split.closest_counts({10**6: 100}, [3 * 10**7], max_bits=1000)[0].items()) == 3 * 10**7
+    assert sum(s * k for s, k in subsets.closest_counts({10**6: 100}, [3 * 10**7], max_bits=1000)[0].items()) == 3 * 10**7
 
 
 def test_closest_counts_of_more_than_a_million_records():
@@ -119,7 +128,7 @@ def test_closest_counts_of_more_than_a_million_records():
         sizes = {r.randrange(100_001, 200_000, 2): 1 for _ in range(18)}
         target = sum(r.sample(sorted(sizes), 8))
         assert sum(sizes) > 1 << 20
-        (took,) = group_split.closest_counts(sizes, [target])
+        (took,) = subsets.closest_counts(sizes, [target])
         assert sum(s * k for s, k in took.items()) == target
 
 
