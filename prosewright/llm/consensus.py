@@ -7,10 +7,14 @@ coincide, two votes a, b contribute
     [same label, not the shown one] - c (1 - m_a)(1 - m_b) + (x_a - m_a)(x_b - m_b).
 
 Its mean over the rows both labelled is about r_a r_b times a constant of the log, r being the chance that an annotator
-knows the right label; one who always keeps, or always guesses, agrees with nobody beyond chance. The leading
-eigenvector of this matrix, corrected for how many rows each pair shares, gives r. The matrix is never formed and no
-pair of votes is emitted: an annotator's product with it is a sum over their votes of totals per row and per (row,
-label), and so is the overlap correction; each power step is one sparse join of votes and annotators.
+knows the right label; one who always keeps, or always guesses, agrees with nobody beyond chance. With S the sums and N
+the numbers of shared rows of each pair, and D an annotator's shared rows with all others, the leading eigenvector u of
+D^-1/2 S D^-1/2 gives r as D^-1/2 u: the overlap correction, as a pair counts by how much it shares. The scale of r
+is the one with which the r_a r_b come closest to the means, pairs weighted by N.
+
+S and N are never formed and no pair of votes is emitted: an annotator's product with them is a sum over their votes of
+totals per row and per (row, label). Votes are put once into blocks of rows; a power step is one pass over the blocks with
+the vector sent to all tasks, and gives a number for each annotator. Steps go on until the vector is settled.
 
 A vote's weight is the log of how much likelier the vote is if its label is right, for an annotator who knows the
 label with r, and else keeps the shown one with h or picks any of the labels. Without a shown label all this is the
@@ -19,11 +23,13 @@ plain form (m = 0, h = 0).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosewright.functions.words import clean_name
-from prosewright.session import cut, cut_by
+from prosewright.session import stored
 
 
 def vote_label() -> Column:
@@ -47,68 +53,165 @@ def last_votes(log: DataFrame) -> DataFrame:
 
 #: Annotators up to which their table is sent to all tasks; beyond, votes and annotators are shuffled to meet.
 BROADCAST_ANNOTATORS = 50_000
-
-
-def _with_annotators(votes: DataFrame, r: DataFrame, n: int) -> DataFrame:
-    return votes.join(F.broadcast(r) if n <= BROADCAST_ANNOTATORS else r, "annotator")
-
-
-def _step(votes: DataFrame, r: DataFrame, c: float, kappa: float, n: int) -> DataFrame:
-    """One corrected power step: (annotator, new, shared). Votes are partitioned by row, so the sums per row need no shuffle."""
-    row, row_label = Window.partitionBy("row_id"), Window.partitionBy("row_id", "label")
-    x = _with_annotators(votes, r.select("annotator", "r", "keeps"), n).withColumn("x", F.col("kept") - F.col("keeps")).withColumn("o", 1 - F.col("keeps"))
-    x = x.withColumn("u", F.sum(F.col("r") * F.col("o")).over(row)).withColumn("v", F.sum(F.col("r") * F.col("x")).over(row))
-    x = x.withColumn("q", F.sum(F.col("r") * F.col("r")).over(row)).withColumn("k", F.count(F.lit(1)).over(row)).withColumn("sl", F.sum("r").over(row_label)).where("k > 1")
-    own = F.col("r")
-    same = F.when(F.col("kept") == 0, F.col("sl") - own).otherwise(F.lit(0.0))
-    part = same - c * F.col("o") * (F.col("u") - F.col("o") * own) + F.col("x") * (F.col("v") - F.col("x") * own)
-    return x.groupBy("annotator").agg((F.sum(part) / (kappa * F.sum(F.col("q") - own * own))).alias("new"), F.sum(F.col("k") - 1).alias("shared"))
-
-
-def reliability(votes: DataFrame, rounds: int = 3, steps: int = 8, tolerance: float = 2e-3) -> DataFrame:
-    """(annotator, votes, shared, keeps, reliability, habit): reliability 1 always knows, 0 never; habit: how often one who doesn't know keeps the shown label.
-
-    An annotator who shares no row with others stays near 0.5. The share of rows whose shown label is wrong sets the
-    constant; it is taken from the consensus, and both are refined in `rounds`. `votes` (of last_votes) must be cut from
-    its lineage by the caller; it is read once a step. An empty log gives an empty table.
+#: The vector of a power step has a number for each annotator, on the driver and in every task; more than this are an error.
+MOST_ANNOTATORS = 2_000_000
+
+
+def _with_annotators(votes: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    return votes.join(F.broadcast(table) if n <= BROADCAST_ANNOTATORS else table, "annotator")
+
+
+def _packed(batches):
+    """Votes of the rows of a batch, side by side: votes a row, annotator, number of the (row, label) pair, kept."""
+    for b in batches:
+        lists = b.column(0)
+        n, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        who, label, kept = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("who", "label", "kept"))
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((label, row))
+        new = np.append(True, (row[order][1:] != row[order][:-1]) | (label[order][1:] != label[order][:-1])) if len(order) else np.empty(0, bool)
+        pair = np.empty(len(row), np.int32)
+        pair[order] = np.cumsum(new) - 1
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (n.astype(np.int32), who.astype(np.int32), pair, kept.astype(np.int8))], names=["n", "who", "pair", "kept"])
+
+
+def _blocks(batches):
+    """(row, annotator, (row, label) pair, kept) of the votes of each block, as arrays."""
+    for b in batches:
+        for n, who, pair, kept in zip(*(c.to_pylist() for c in b.columns)):
+            n = np.frombuffer(n, np.int32)
+            yield np.repeat(np.arange(len(n)), n), np.frombuffer(who, np.int32), np.frombuffer(pair, np.int32), np.frombuffer(kept, np.int8).astype(float)
+
+
+def _products(held, c: float):
+    """Per annotator: (S x), (N x^2) and D, summed over one task. held: (x, rate of keeping) of all annotators."""
+
+    def run(batches):
+        x, m = held.value
+        s, q, d = (np.zeros(len(x)) for _ in range(3))
+        for row, who, pair, kept in _blocks(batches):
+            if not len(row):
+                continue
+            own, away, dev = x[who], 1 - m[who], kept - m[who]
+            rows, pairs = row[-1] + 1, pair.max() + 1
+            u, v = np.bincount(row, own * away, rows), np.bincount(row, own * dev, rows)
+            same = (1 - kept) * (np.bincount(pair, own, pairs)[pair] - own)
+            s += np.bincount(who, same - c * away * (u[row] - away * own) + dev * (v[row] - dev * own), len(x))
+            q += np.bincount(who, np.bincount(row, own * own, rows)[row] - own * own, len(x))
+            d += np.bincount(who, np.bincount(row, minlength=rows)[row] - 1, len(x))
+        k = np.flatnonzero(d)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(s[k]), pa.array(q[k]), pa.array(d[k])], names=["who", "s", "q", "d"])
+
+    return run
+
+
+def _weights(r, h, kept, labels: float):
+    """The log of how much likelier a vote is if its label is right, by the voter's reliability and habit."""
+    guess = (1 - r) * (kept * h + (1 - h) / labels) + 1e-4
+    return np.log((r + guess) / guess)
+
+
+def _changed(held, labels: float, wrong: float):
+    """(rows, rows whose consensus isn't the shown label) of one task."""
+
+    def run(batches):
+        r, h = held.value
+        rows = changed = 0
+        for row, who, pair, kept in _blocks(batches):
+            if not len(row):
+                continue
+            score = np.bincount(pair, _weights(r[who], h[who], kept, labels))
+            shown, of = np.zeros(len(score)), np.empty(len(score), np.int64)
+            shown[pair], of[pair] = kept, row
+            if wrong < 1:
+                score += shown * np.log((1 - wrong) / (wrong / labels))
+            best = np.full(row[-1] + 1, -np.inf)
+            np.maximum.at(best, of, score)
+            stays = np.bincount(of, (score >= best[of] - 1e-9) * shown) > 0
+            rows, changed = rows + len(best), changed + int((~stays).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([changed])], names=["n", "changed"])
+
+    return run
+
+
+def _leading(step, people: int, tolerance: float, most: int):
+    """(x, S x, N x^2, D) at the leading eigenvector: x = D^-1/2 u. A half of the eigenvalue is added to the diagonal, so that an equally large negative one doesn't keep the steps from settling."""
+    x = np.ones(people)
+    shift = None
+    for _ in range(most):
+        s, q, d = step(x)
+        live = d > 0
+        if not live.any():
+            return x, s, q, d
+        value = float((x * s).sum() / max((d * x * x).sum(), 1e-300))
+        shift = abs(value) / 2
+        y = np.where(live, s / np.maximum(d, 1) + shift * x, 0.0)
+        size = np.sqrt((d * y * y).sum())
+        old = np.sqrt((d * x * x).sum())
+        if size == 0:
+            return np.zeros(people), s, q, d
+        if np.abs(y / size - np.where(live, x, 0) / old).max() <= tolerance * np.abs(y / size).max():
+            return x, s, q, d
+        x = y / size
+    raise RuntimeError(f"reliabilities not settled after {most} power steps")
+
+
+def trust(votes: DataFrame, tolerance: float = 1e-4, most_steps: int = 500) -> tuple[DataFrame, float]:
+    """(annotators, wrong): (annotator, votes, shared, keeps, reliability, habit), and the share of rows whose shown label is wrong.
+
+    reliability: 1 always knows, 0 never; habit: how often one who doesn't know keeps the shown label; shared: pairs of
+    votes with others. Who shares no row with others gets 0.5. The eigenvector needs no constant; its scale needs `wrong`,
+    which the consensus then gives anew, until it is settled (or comes back to a value it had). `votes` (of last_votes)
+    must be cut from its lineage by the caller. An empty log gives an empty table.
     """
-    votes = cut_by(votes.withColumn("kept", F.coalesce((F.col("label") == F.col("original")).cast("double"), F.lit(0.0))), "row_id")
-    q = votes.where("kept = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    c = float(q["nn"]) / float(q["n"]) ** 2 if q["n"] else 0.0
-    labels = votes.select("label").distinct().count()
-    r = cut(votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), F.avg("kept").alias("keeps")).withColumn("r", F.lit(0.7)).withColumn("shared", F.lit(0).cast("long")))
-    wrong, people = 0.1 if votes.where("kept = 1").limit(1).count() else 1.0, r.count()
-    for _ in range(rounds):
+    spark = votes.sparkSession
+    votes = votes.withColumn("kept", F.coalesce(F.col("label") == F.col("original"), F.lit(False)).cast("int"))
+    away = votes.where("kept = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    c = float(away["nn"]) / float(away["n"]) ** 2 if away["n"] else 0.0
+    labels = float(max(2, votes.select("label").distinct().count()))
+    each = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), F.avg("kept").alias("keeps")).orderBy("annotator").limit(MOST_ANNOTATORS + 1).collect()
+    if len(each) > MOST_ANNOTATORS:
+        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+    people, keeps = len(each), np.array([r["keeps"] for r in each], float)
+    schema = "annotator string, votes long, shared long, keeps double, reliability double, habit double"
+    if not people:
+        return spark.createDataFrame([], schema), 0.0
+    number = spark.createDataFrame([(r["annotator"], i) for i, r in enumerate(each)], "annotator string, who int")
+    rows = _with_annotators(votes, number, people).groupBy("row_id").agg(F.collect_list(F.struct("who", F.xxhash64("label").alias("label"), "kept")).alias("v"))  # a vote for each annotator at most
+    blocks = stored(rows.select("v").mapInArrow(_packed, "n binary, who binary, pair binary, kept binary"), "votes")
+
+    def step(x):
+        held = spark.sparkContext.broadcast((x, keeps))
+        got = blocks.mapInArrow(_products(held, c), "who int, s double, q double, d double").groupBy("who").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("d").alias("d")).toPandas()
+        held.destroy()
+        out = np.zeros((3, people))
+        out[:, got["who"].to_numpy(int)] = got[["s", "q", "d"]].to_numpy(float).T
+        return out
+
+    x, s, q, d = _leading(step, people, tolerance, most_steps)
+    if x[d > 0].sum() < 0:
+        x, s = -x, -s
+    wrong, seen = (0.1 if keeps.any() else 1.0), set()
+    while True:
         kappa = max(1e-6, wrong * (2 - wrong) - c * wrong * wrong)
-        for _ in range(steps):
-            new = _step(votes, r, c, kappa, people)
-            n = r.select("annotator", "votes", "keeps", F.col("r").alias("old")).join(new, "annotator", "left")
-            to = F.greatest(F.lit(0.001), F.least(F.lit(0.99), F.coalesce("new", F.lit(0.5))))
-            # the plain step overshoots in scale (twice too large gives half too small): the geometric mean settles it
-            r = cut(n.select("annotator", "votes", "keeps", "old", F.sqrt(F.col("old") * to).alias("r"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared")))
-            change = r.agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
-            if change is None or change < tolerance:
-                break
-        habit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("keeps") - F.col("r") * (1 - wrong)) / (1 - F.col("r"))))
-        out = r.select("annotator", "votes", "shared", "keeps", F.col("r").alias("reliability"), habit.alias("habit"))
-        found = consensus(votes, out, labels, wrong).agg(F.avg((F.col("label") != F.coalesce("original", F.lit(""))).cast("double"))).first()[0]
-        if found is None or abs(found - wrong) < 0.002:
+        much = float((x * s).sum()), float((x * x * q).sum()) * kappa
+        scale = np.sqrt(max(0.0, much[0]) / much[1]) if much[1] > 0 else 0.0
+        r = np.where(d > 0, np.clip(x * scale, 0.001, 0.99), 0.5)
+        h = np.clip((keeps - r * (1 - wrong)) / (1 - r), 0, 1)
+        held = spark.sparkContext.broadcast((r, h))
+        n = blocks.mapInArrow(_changed(held, labels, wrong), "n long, changed long").agg(F.sum("n").alias("n"), F.sum("changed").alias("changed")).first()
+        found = min(1.0, max(0.002, n["changed"] / n["n"]))
+        if abs(found - wrong) < 0.0005 or found in seen:
             break
-        wrong = min(1.0, max(0.002, found))
-    return out
+        seen.add(found)
+        wrong = found
+    out = [(e["annotator"], e["votes"], int(k), e["keeps"], float(a), float(b)) for e, k, a, b in zip(each, d, r, h)]
+    return spark.createDataFrame(out, schema), wrong
 
 
-def refined(votes: DataFrame, annotators: DataFrame, rows: DataFrame, strength: float = 10.0) -> DataFrame:
-    """Annotators with reliability and habit checked against a consensus (`rows`): reliability is the share of right votes
-    where the shown label is wrong, the spectral value counting as `strength` such votes; habit follows from the rest."""
-    v = votes.join(rows.select("row_id", F.col("label").alias("right")), "row_id").withColumn("ok", (F.col("label") == F.col("right")).cast("double"))
-    changed = F.coalesce(F.col("right") != F.col("original"), F.lit(True))
-    n = v.groupBy("annotator").agg(F.sum(F.when(changed, F.col("ok"))).alias("a1"), F.sum(changed.cast("double")).alias("n1"), F.sum(F.when(~changed, F.col("ok"))).alias("a0"), F.sum((~changed).cast("double")).alias("n0"))
-    j = annotators.join(n, "annotator", "left").fillna(0.0, ["a1", "n1", "a0", "n0"])
-    j = j.withColumn("reliability", F.least(F.lit(0.995), (F.col("a1") + strength * F.col("reliability")) / (F.col("n1") + strength)))
-    kept = (F.col("a0") + F.lit(1.0)) / (F.col("n0") + F.lit(2.0))
-    h = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (kept - F.col("reliability")) / (1 - F.col("reliability"))))
-    return j.select("annotator", "votes", "shared", "keeps", "reliability", h.alias("habit"))
+def reliability(votes: DataFrame, **kw) -> DataFrame:
+    """The annotators of `trust`."""
+    return trust(votes, **kw)[0]
 
 
 def consensus(votes: DataFrame, annotators: DataFrame, labels: int, wrong: float | None = None) -> DataFrame:
@@ -119,7 +222,8 @@ def consensus(votes: DataFrame, annotators: DataFrame, labels: int, wrong: float
     more votes, then to the first in order.
     """
     k = float(max(2, labels))
-    v = votes.join(annotators.select("annotator", "reliability", "habit"), "annotator")
+    people = annotators.select("annotator", "reliability", "habit")
+    v = _with_annotators(votes, people, people.limit(BROADCAST_ANNOTATORS + 1).count())
     kept = F.coalesce(F.col("label") == F.col("original"), F.lit(False))
     guess = (1 - F.col("reliability")) * (F.when(kept, F.col("habit")).otherwise(F.lit(0.0)) + (1 - F.col("habit")) / k) + F.lit(1e-4)
     v = v.withColumn("w", F.log((F.col("reliability") + guess) / guess))

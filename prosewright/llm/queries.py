@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosewright.llm import consensus as cons
 from prosewright.llm import cube, group_split, leakage, mix, near_dup, overlap, profiles, residue, token_ids
-from prosewright.session import cut, table
+from prosewright.session import cut, cut_by, table
 
 
 def _mix_inputs(spark, d, weight=None):
@@ -87,13 +87,9 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _consensus(spark, d):
-    votes = cut(cons.last_votes(table(spark, d, "voting_log")))
-    trust = cut(cons.reliability(votes))
-    labels = votes.select("label").distinct().count()
-    first = cut(cons.consensus(votes, trust, labels))
-    wrong = first.agg(F.avg((F.col("label") != F.coalesce("original", F.lit(""))).cast("double"))).first()[0]
-    trust = cut(cons.refined(votes, trust, first))
-    return cons.consensus(votes, trust, labels, wrong), trust
+    votes = cut_by(cons.last_votes(table(spark, d, "voting_log")), "row_id")
+    trust, wrong = cons.trust(votes)
+    return cons.consensus(votes, trust, votes.select("label").distinct().count(), wrong), trust
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -191,6 +191,24 @@ def test_consensus_trusts_those_who_know(spark):
     assert len(c) == 500 and weighted > plain and weighted > 460
 
 
+@pytest.mark.parametrize("bipartite", [False, True])
+def test_power_steps_reach_the_leading_eigenvector(bipartite):
+    r = np.random.default_rng(3)
+    n = r.integers(1, 50, (12, 12))
+    n = np.triu(n, 1) + np.triu(n, 1).T
+    if bipartite:  # annotators of one half share rows with the other half only: an equally large negative eigenvalue
+        n[:6, :6] = n[6:, 6:] = 0
+    know = r.random(12)
+    s, d = n * np.outer(know, know), n.sum(axis=1)
+    x, *_ = consensus._leading(lambda x: (s @ x, n @ (x * x), d), 12, 1e-9, 500)
+    root = np.sqrt(d)
+    u = np.linalg.eigh(s / np.outer(root, root))[1][:, -1]
+    got = root * x
+    assert np.abs(got / np.linalg.norm(got) - u * np.sign(u.sum())).max() < 1e-6
+    with pytest.raises(RuntimeError):
+        consensus._leading(lambda x: (s @ x, n @ (x * x), d), 12, 0.0, 3)
+
+
 def test_consensus_of_nothing(spark):
     v = spark.createDataFrame([], "row_id long, annotator string, label string, original string")
     trust = consensus.reliability(v)
