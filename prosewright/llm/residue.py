@@ -3,14 +3,16 @@
 Learning is from positive and unlabelled records. A record is cut into passages (sentences, and the surroundings of
 each slot a template may have left). Some passages are trusted: they match one of a few plain seed patterns in a place
 where they can't be quoted. A naive Bayes model of words and word pairs starts from these against all others and is
-refined by expectation-maximization: the unlabelled passages enter both classes by their posterior, trusted ones stay.
-Then every passage is scored, and a record is a case if one of its passages is. In
-long paragraphs, where a message may only be quoted, quoted words are features of their own, and the model decides on
-each sentence as on other passages. For learning such sentences count among the others; entering both classes by their
-posterior, they would draw junk of numbers and letters after them. Seeds are not tried on them; dummy Latin is.
+refined by expectation-maximization until the expected share of residue is settled: the unlabelled passages enter both
+classes by their posterior, trusted ones stay. Then the model scores every passage, trusted or not, and a record is a
+case if one of its passages is: what is trusted only starts the learning and decides nothing.
 
-Passages on lines shaped like program text, log records, settings or table rows are no content of their own and are
-never scored: code that holds a template and logs that record an error are no cases.
+In long paragraphs, where a message may only be quoted, quoted words are features of their own, and the model decides on
+each sentence as on other passages. So it does in records most of whose lines are shaped like program text, log records,
+settings or table rows, with a mark of their own on slots. For learning such sentences count among the others; entering
+both classes by their posterior, they would draw junk of numbers and letters after them. Seeds are not tried on them;
+dummy Latin is. The shaped lines themselves are no content of their own and no passages: code that holds a template and
+logs that record an error are no cases.
 
 Features are hashed to 2 ** FEATURE_BITS numbers, so the model and all counts that reach the driver are bounded; counts
 and posteriors are over all records. The hashed passages are written once to the shared folder and read once a step.
@@ -38,6 +40,7 @@ SLOT_SURE = rf"\{{\{{[ #/]{{0,2}}{_NAME}\}}\}}|<%=? {{0,2}}{_NAME}%>|%%{_NAME}%%
 SLOT_MAYBE = rf"\{{(?:\d|{_NAME})\}}|<[^\W\d_][\w .]{{1,38}}>|\[[^\W\d_][\w .]{{1,38}}\]|#[^\W\d_][^\W\d]{{1,38}}#|#[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+){{0,4}}#|\$[A-Z][A-Z_]+\$"
 _SLOT = re.compile(rf"(?P<sure>{SLOT_SURE})|(?P<maybe>{SLOT_MAYBE})")
 
+_SURE = re.compile(SLOT_SURE)
 _SLOT_START = re.compile(r"[{%@\[«$<#]|__")
 
 _SHAPED = re.compile(
@@ -54,7 +57,9 @@ _LONG_TOKEN = re.compile(_TOKEN.pattern + r"|[\"“”«»„]|[.!?…:](?=\s)|\
 SEEDS = re.compile(
     r"^\W*(?:(?:http|error|status|erreur|fehler)\b[\w ]{0,12}\b[45]\d\d\b|[45]\d\d\b[ -]*(?:not found|page missing|forbidden|bad (?:request|gateway)|server fault|internal server error|unavailable|slow down|unauthorized|request timeout|gateway timeout)"
     r"|access denied|your session has expired|service temporarily unavailable|this site can't be reached|your text goes here|(?:this is )?placeholder (?:copy|text)|sample text\b|content to come|to ?do:? write|click here to add|(?:heading|body copy|text|title) goes here"
-    r"|too many requests|rate limit|hier (?:steht|folgt|kommt) (?:später|noch|bald|demnächst)|texte provisoire|texto de relleno|platzhaltertext|blah blah|x{3,} x{3,}|lorem ipsum|oops\b|(?:we're |we are )?sorry\b.*\b(?:available|found|error)|(?:something went wrong|an error occurred)|verify (?:that )?you are human|(?:the )?(?:requested )?(?:page|url|resource)\b.*\b(?:could not be found|was not found|does not exist|has moved))"
+    r"|too many requests|rate limit|hier (?:steht|folgt|kommt) (?:später|noch|bald|demnächst)|texte provisoire|texto de relleno|platzhaltertext|blah blah|x{3,} x{3,}|lorem ipsum|oops\b|(?:we're |we are )?sorry\b.*\b(?:available|found|error)|(?:something went wrong|an error occurred)|verify (?:that )?you are human|(?:the )?(?:requested )?(?:page|url|resource)\b.*\b(?:could not be found|was not found|does not exist|has moved)"
+    r"|(?:die |diese )?(?:angeforderte )?seite\b.*\b(?:nicht gefunden|nicht (?:mehr )?(?:verfügbar|vorhanden)|existiert nicht)|(?:la |cette )?page\b.*\b(?:introuvable|n['’]existe (?:pas|plus)|n['’]a pas été trouvée)"
+    r"|(?:la |esta )?p[aá]gina\b.*\b(?:no existe|no (?:fue |se ha )?encontrada|no se (?:encuentra|encontró|pudo encontrar)))"
     r"|(?=.*\b(?:javascript|scripts?|scripting|cookies)\b)(?=.*\b(?:enable|activate|allow|requires?|needs?|needed|must|turn(?:ed)? (?:it )?o[nf]f?|switch(?:ed)? (?:it )?on|disabled|blocks?|depends|without|aktivieren|activer|active|activar|habilite)\b)",
     re.I | re.S,
 )
@@ -63,9 +68,9 @@ SLOT_TEXT = re.compile(r"\b(?:insert|your|add|enter|choose|to come|goes? here|co
 #: Words of dummy Latin; a passage of four and more of them, and of hardly anything else, is filler.
 DUMMY = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
 
-#: Marks of passages: trusted; beside a trusted one in a tiny record; in another tiny record; never residue unless trusted
-#: (a passage of hardly any words); a sentence of a long paragraph, which is scored but never teaches what residue is.
-TRUSTED, MATE, TINY_ROW, ORDINARY, LONG = 1, 2, 3, 4, 5
+#: Marks of passages: trusted; beside a trusted one in a tiny record; in another tiny record; a sentence of a long
+#: paragraph or a passage of a shaped record, which is scored but never teaches what residue is.
+TRUSTED, MATE, TINY_ROW, LONG = 1, 2, 3, 4
 
 _CODES: dict[str, int] = {}
 #: Codes of a sentence's end and of a quotation mark, and what makes a word's code that of the word quoted.
@@ -92,38 +97,38 @@ def _code(token: str) -> int:
     return c
 
 
-_LONG = 160
+#: What most forms of _SHAPED hold, and the forms that hold none of it.
 _MARK = re.compile(r"[;{}\\()\[\]=<>|&$\t@/*:_]|\.{4}")
+_UNMARKED = re.compile(
+    r"^\s*(?:#!|--|\"{3}|'{3}|\"[^\"]*\"\s*(?:,|$)|'[^']*'\s*(?:,|$)|import [\w.]+|from [\w.]+ import|export |elif |echo |\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|[-•] \w+$)|(?:^|\s)--?[A-Za-z]{1,2}\s"
+)
 
 
 def shaped_lines(lines: list[str], slots: bool) -> list[bool]:
     """Per line: is it shaped like program text, a log record, a setting or a table row? Slots don't count as shape."""
-    search, out = _SHAPED.search, []
-    for x in lines:
-        if len(x) > _LONG and x[-1] not in ",;" and not _MARK.search(x):
-            out.append(False)
-        else:
-            out.append(bool(search(_SLOT.sub("x", x) if slots else x)))
-    return out
+    marked, search, plain = _MARK.search, _SHAPED.search, _UNMARKED.search
+    if slots:
+        lines = [_SLOT.sub("x", x) for x in lines]
+    return [bool(search(x) if marked(x) else plain(x)) for x in lines]
 
 
 _WORD = re.compile(r"[^\W_]+")
 _WRAPPED = re.compile(r"(?<=[^\s.!?:…])[ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
 SHORT = 30  # words of a short paragraph
-LEAST_WORDS = 3  # of a passage that is scored
-TINY = 60  # words of a record that may be nothing but a message
+TINY = 60  # words of a record that may be nothing but a message; only for the first step of learning
 
 
 def passages(text: str) -> list[tuple[str, str]]:
-    """(kind, passage) of a record: 'o' a long paragraph, 'p' a sentence of a short one, 'w' a slot with its surroundings ('w+': of a form or text that is no chance)."""
+    """(kind, passage) of a record: 'o' a long paragraph (or any of a record of shaped lines), 'p' a sentence of a short one, 'w' a slot with its surroundings ('w+': of a form or text that is no chance; 's': in a record of shaped lines)."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
     slots = bool(_SLOT_START.search(text)) and bool(_SLOT.search(text))
     shaped = shaped_lines(lines, slots)
     full = [i for i, x in enumerate(lines) if x.strip()]
     n_shaped = sum(shaped[i] for i in full)
-    if len(full) >= 4 and n_shaped >= 0.5 * len(full):
-        return []
+    mostly = len(full) >= 4 and n_shaped >= 0.5 * len(full)
+    if mostly and slots:  # what may be a slot elsewhere is a header or an index here
+        shaped = shaped_lines([_SURE.sub("x", x) for x in lines], False)
     plain = "\n".join("" if s else x for x, s in zip(lines, shaped)) if n_shaped else text
     out = []
     if slots:
@@ -137,12 +142,12 @@ def passages(text: str) -> list[tuple[str, str]]:
             sure = m.group("sure") or SLOT_TEXT.search(m.group()[1:-1])
             kind = "§sure" if m.group("sure") else "§maybe" + re.sub(r"[\w .]+", "", m.group()).encode().hex()
             near = [" ".join(x if x == "§x" else "§w" + "".join(_WORD.findall(x)) for x in side) for side in (a, b)]  # words of a slot's surroundings tell nothing of sentences
-            out.append(("w+" if sure else "w", f"{near[0]} {kind} {inner} {near[1]} {edge}"))
+            out.append(("s" if mostly else "w+" if sure else "w", f"{near[0]} {kind} {inner} {near[1]} {edge}{' §code' * mostly}"))
         plain = _SLOT.sub(" ", plain)
     for block in re.split(r"\n[ \t]*\n", plain):
         if not block.strip():
             continue
-        if len(block) > 12 * SHORT or len(_WORD.findall(block)) > SHORT:
+        if mostly or len(block) > 12 * SHORT or len(_WORD.findall(block)) > SHORT:
             out.append(("o", block))
         else:
             out += [("p", x) for x in _SENTENCE.split(_WRAPPED.sub(" ", block)) if x.strip()]
@@ -180,7 +185,7 @@ def _long_sentences(block: str):
             named = len(s) - quotes - s.count(0)
             if len(s) > quotes:
                 filler = maybe and is_filler(sum(c in _DUMMY_CODES for c in plain[start:end]), named)
-                yield s, TRUSTED if filler else LONG if named >= LEAST_WORDS else ORDINARY, len(s) - quotes
+                yield s, TRUSTED if filler else LONG, len(s) - quotes
         start = end + 1
 
 
@@ -188,7 +193,7 @@ def trusted(kind: str, passage: str) -> bool:
     """Is the passage a sure positive? Slots no text has by chance, dummy Latin, and seed phrases in short paragraphs."""
     if kind == "w+":
         return True
-    if kind == "w":
+    if kind in "ws":
         return False
     ws = [w.lower() for w in re.findall(r"[^\W\d_]+", passage)]
     if is_filler(sum(w in DUMMY for w in ws), len(ws)):
@@ -214,10 +219,9 @@ def _features(batch_id: pa.Array, texts: list[str | None]) -> tuple:
             tokens = find(p)
             if not tokens:
                 continue
-            ordinary = kind == "p" and sum(x.isalpha() for x in tokens) < LEAST_WORDS
             flat += _coded(tokens)
             row.append(i), length.append(len(tokens))
-            trust.append(TRUSTED if trusted(kind, p) else ORDINARY if ordinary else 0)
+            trust.append(TRUSTED if trusted(kind, p) else LONG if kind == "s" else 0)
             words_ += len(tokens)
         if words_ <= TINY and len(row) > at:
             mate = MATE if 1 in trust[at:] else TINY_ROW
@@ -279,10 +283,6 @@ def _posterior(weights: np.ndarray, prior: float, f: np.ndarray, passage: np.nda
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def _marked(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.where(t == TRUSTED, 1.0, np.where(t == ORDINARY, 0.0, p))
-
-
 def _counts(model):
     """Sums of features by class over one task: positive and all."""
 
@@ -291,10 +291,10 @@ def _counts(model):
         for b in batches:
             f, passage, t, _ = _unpack(b)
             if model is None:  # tiny records without a seed are left out of both classes at first, their like in others' half
-                p, n = np.choose(t, [0.0, 1.0, 0.5, 0.0, 0.0, 0.0]), (t != TINY_ROW).astype(float)
+                p, n = np.choose(t, [0.0, 1.0, 0.5, 0.0, 0.0]), (t != TINY_ROW).astype(float)
             else:
-                p = _marked(t, _posterior(model.value[0], model.value[1], f, passage, len(t)))
-                p[t == LONG] = 0
+                p = _posterior(model.value[0], model.value[1], f, passage, len(t))
+                p[t == TRUSTED], p[t == LONG] = 1, 0
                 n = np.ones(len(t))
             pos += np.bincount(f, p[passage], minlength=_MASK + 1)
             all_ += np.bincount(f, n[passage], minlength=_MASK + 1)
@@ -305,7 +305,7 @@ def _counts(model):
 
 
 def _model(sums, strength: float, least: float) -> tuple[np.ndarray, float]:
-    """Weights and prior from the summed counts. A class's rate is drawn to the feature's rate in all records, by `strength` counts; features seen fewer than `least` times weigh nothing."""
+    """Weights and prior from the summed counts. A class's rate is drawn to the feature's rate in all records, by `strength` counts; features seen fewer than `least` times weigh nothing, unless they stand in residue only."""
     pos, all_ = np.zeros(_MASK + 1), np.zeros(_MASK + 1)
     pos[sums["f"].to_numpy(np.int64)], all_[sums["f"].to_numpy(np.int64)] = sums["pos"], sums["n"]
     P, N = pos.sum(), all_.sum()
@@ -315,30 +315,37 @@ def _model(sums, strength: float, least: float) -> tuple[np.ndarray, float]:
     neg = all_ - pos
     with np.errstate(divide="ignore", invalid="ignore"):
         w = np.log((pos + strength * base) / (P + strength)) - np.log((np.maximum(neg, 0) + strength * base) / (N - P + strength))
-    w[(all_ < least) | ~np.isfinite(w)] = 0
+    w[((all_ < least) & (neg > 1e-6)) | ~np.isfinite(w)] = 0
     return np.clip(w, -6, 6), float(np.log(P / (N - P)))
 
 
-def residue_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = 2, strength: float = 30.0, least: float = 3.0) -> DataFrame:
-    """(id, score, n_passages): for every record with a scored passage, the greatest posterior of its passages (1 for trusted ones).
+def residue_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1e-3, most_steps: int = 50, strength: float = 30.0, least: float = 3.0) -> DataFrame:
+    """(id, score, n_passages): for every record with a passage, the greatest posterior of its passages.
 
-    Null, blank and wholly structured records have no passage and don't come out; an empty table gives an empty result;
-    rows of a repeated id come out each.
+    Learning ends when the log odds of residue among all features move by no more than `tolerance` in a step; if they
+    still do after most_steps, that is an error. Null and blank records, and those of shaped lines only, have no passage
+    and don't come out; an empty table, or one without a trusted passage, gives scores near 0; rows of a repeated id
+    come out each.
     """
     spark = df.sparkSession
     id_type = dict(df.dtypes)[id_col]
     h = stored(df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(_hashed(id_col), f"id {id_type}, features binary, lengths binary, trusted binary"), "passages")
-    model = None
-    for _ in range(steps + 1):
+    model, odds = None, None
+    for _ in range(most_steps):
         sums = h.mapInArrow(_counts(model), "f int, pos double, n double").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toPandas()  # at most 2 ** FEATURE_BITS rows
-        model = spark.sparkContext.broadcast(_model(sums, strength, least))
+        weights, prior = _model(sums, strength, least)
+        model = spark.sparkContext.broadcast((weights, prior))
+        if odds is not None and abs(prior - odds) <= tolerance:
+            break
+        odds = prior
+    else:
+        raise RuntimeError(f"the share of residue is not settled after {most_steps} steps")
 
     def score(batches):
         for b in batches:
             f, passage, t, rec = _unpack(b)
-            p = _marked(t, _posterior(model.value[0], model.value[1], f, passage, len(t)))
             best, n = np.zeros(b.num_rows), np.bincount(rec, minlength=b.num_rows)
-            np.maximum.at(best, rec, p)
+            np.maximum.at(best, rec, _posterior(model.value[0], model.value[1], f, passage, len(t)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), pa.array(n.astype(np.int32))], names=["id", "score", "n_passages"])
 
     return h.mapInArrow(score, f"id {id_type}, score double, n_passages int")

@@ -318,3 +318,22 @@ def test_residue_in_long_paragraphs(spark):
     d = spark.createDataFrame(rows + found + quoted, "doc_id long, text string")
     got = {x["id"] for x in residue.template_residue(d).collect()}
     assert got == {*range(90), *(i for i, _ in found)}
+
+
+def test_residue_in_records_of_shaped_lines(spark):
+    """A template below program text and a message among records are found; the code's own templates and logged errors aren't."""
+    r, words = random.Random(9), "old harbour bridge river market winter garden letter baker sailor field morning stone lantern".split()
+    code = lambda: "\n".join(f"def f{r.randrange(99)}(x): return '{{{{ name }}}}' + x[{r.randrange(9)}]" for _ in range(5))
+    log = lambda: "\n".join(f"2024-01-0{r.randrange(1, 9)} 10:00:0{r.randrange(9)} worker: 404 Not Found /a{r.randrange(99)}" for _ in range(5))
+    plain = [(i, code() if i % 2 else log()) for i in range(60)] + [(1000 + i, " ".join("The " + " ".join(r.choices(words, k=9)) + " stayed." for _ in range(8))) for i in range(300)]
+    residue_ = [(200 + i, ["Dear {{ first_name }},\n\nYour visit is kept until noon.", "Please enable JavaScript to view this page.", "Too many requests from your network."][i % 3]) for i in range(60)]
+    mixed = [(300, code() + "\n\nDear {{ first_name }},\n\nYour visit is kept until noon."), (301, log() + "\n\nPlease enable JavaScript to view this page.")]
+    d = spark.createDataFrame(plain + residue_ + mixed, "doc_id long, text string")
+    got = {x["id"] for x in residue.template_residue(d).collect()}
+    assert got == {i for i, _ in residue_ + mixed}
+
+
+def test_residue_learning_must_settle(spark):
+    d = spark.createDataFrame([(i, "Access denied." if i % 3 else "The harbour was measured again in the spring.") for i in range(30)], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        residue.residue_scores(d, most_steps=1)
