@@ -43,12 +43,15 @@ _SLOT = re.compile(rf"(?P<sure>{SLOT_SURE})|(?P<maybe>{SLOT_MAYBE})")
 _SURE = re.compile(SLOT_SURE)
 _SLOT_START = re.compile(r"[{%@\[«$<#]|__")
 
-_SHAPED = re.compile(
-    r"[;{}\\]\s*$|^\s*(?:#!|//|--|/\*|@\w|\}|\)|\]|\"{3}|'{3}|\"[^\"]*\"\s*(?:[:,\]}]|$)|'[^']*'\s*(?:[:,\]}]|$))|^\s*(?:def \w+\(|class \w+[:({]|import [\w.]+|from [\w.]+ import|(?:const|let|var) \w+ ?=|function\b.*\(|return\b.*[;({]|export |elif |else:|echo )|\w\(|\w\[|=>|->|==|!=|&&|\|\||\"\$|;\s*(?:do|then|done|fi)\b|(?:^|\s)--?[A-Za-z]{1,2}\s"
-    r"|^\s*(?:\[?\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|\d\d:\d\d:\d\d)|\t|\|.*\|.*\||^\s*[\w.-]+\s*[:=]\s*[^\s]|^\s*\w+\s+\w+: [^.]*$|^\s*\[\w+\]\s*$|^\s*[-*•] \w+$|\.{4,}"
+#: How a line of program text, a log record, a setting or a table row begins, or is as a whole; what one holds; an option.
+_SHAPED_START = re.compile(
+    r"\s*(?:#!|//|--|/\*|@\w|\}|\)|\]|\"{3}|'{3}|\"[^\"]*\"\s*(?:[:,\]}]|$)|'[^']*'\s*(?:[:,\]}]|$)|def \w+\(|class \w+[:({]|import [\w.]+|from [\w.]+ import|(?:const|let|var) \w+ ?=|function\b.*\(|return\b.*[;({]|export |elif |else:|echo "
+    r"|\[?\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|\d\d:\d\d:\d\d|[\w.-]+\s*[:=]\s*[^\s]|\w+\s+\w+: [^.]*$|\[\w+\]\s*$|[-*•] \w+$)"
 )
+_SHAPED_INSIDE = re.compile(r"[;{}\\]\s*$|\w[(\[]|[=-]>|[=!]=|&&|\|\||\"\$|;\s*(?:do|then|done|fi)\b|\t|\|.*\|.*\||\.{4}")
+_OPTION = re.compile(r"(?:^|\s)--?[A-Za-z]{1,2}\s")
 _SENTENCE = re.compile(r"(?<=[.!?…:])\s+|\n+")
-_TOKEN = re.compile(r"§\w+|[^\W_]+(?:[_-][^\W_]+)+|[^\W\d_]*\d[^\W_]*|[^\W\d_]+|©")
+_TOKEN = re.compile(r"[^\W_]++(?:[_-][^\W_]++)*+|§\w+|©")
 
 #: The tokens of a long paragraph, with quotation marks and the ends of its sentences (as _SENTENCE has them, hard-wrapped lines joined).
 _LONG_TOKEN = re.compile(_TOKEN.pattern + r"|[\"“”«»„]|[.!?…:](?=\s)|\n(?![ \t]*[^\W\d_A-Z])")
@@ -97,19 +100,17 @@ def _code(token: str) -> int:
     return c
 
 
-#: What most forms of _SHAPED hold, and the forms that hold none of it.
+#: What most of those forms hold, and how lines begin that hold none of it.
 _MARK = re.compile(r"[;{}\\()\[\]=<>|&$\t@/*:_]|\.{4}")
-_UNMARKED = re.compile(
-    r"^\s*(?:#!|--|\"{3}|'{3}|\"[^\"]*\"\s*(?:,|$)|'[^']*'\s*(?:,|$)|import [\w.]+|from [\w.]+ import|export |elif |echo |\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|[-•] \w+$)|(?:^|\s)--?[A-Za-z]{1,2}\s"
-)
+_UNMARKED_START = re.compile(r"\s*(?:#!|--|\"{3}|'{3}|\"[^\"]*\"\s*(?:,|$)|'[^']*'\s*(?:,|$)|import [\w.]+|from [\w.]+ import|export |elif |echo |\d{4}-\d\d-\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|[-•] \w+$)")
 
 
 def shaped_lines(lines: list[str], slots: bool) -> list[bool]:
     """Per line: is it shaped like program text, a log record, a setting or a table row? Slots don't count as shape."""
-    marked, search, plain = _MARK.search, _SHAPED.search, _UNMARKED.search
+    marked, start, inside, unmarked, option = _MARK.search, _SHAPED_START.match, _SHAPED_INSIDE.search, _UNMARKED_START.match, _OPTION.search
     if slots:
         lines = [_SLOT.sub("x", x) for x in lines]
-    return [bool(search(x) if marked(x) else plain(x)) for x in lines]
+    return [bool((start(x) or inside(x) if marked(x) else unmarked(x)) or ("-" in x and option(x))) for x in lines]
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -283,8 +284,12 @@ def _posterior(weights: np.ndarray, prior: float, f: np.ndarray, passage: np.nda
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+#: Rows into which a task cuts its sums.
+_PIECES = 32
+
+
 def _counts(model):
-    """Sums of features by class over one task: positive and all."""
+    """Sums of features by class over one task, in _PIECES rows: (piece, positive, all)."""
 
     def run(batches):
         pos, all_ = np.zeros(_MASK + 1), np.zeros(_MASK + 1)
@@ -298,16 +303,40 @@ def _counts(model):
                 n = np.ones(len(t))
             pos += np.bincount(f, p[passage], minlength=_MASK + 1)
             all_ += np.bincount(f, n[passage], minlength=_MASK + 1)
-        k = np.flatnonzero(all_)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(pos[k]), pa.array(all_[k])], names=["f", "pos", "n"])
+        yield _sums_batch(range(_PIECES), np.split(pos, _PIECES), np.split(all_, _PIECES))
 
     return run
 
 
-def _model(sums, strength: float, least: float) -> tuple[np.ndarray, float]:
+def _sums_batch(pieces, pos, all_) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([x.tobytes() for x in pos], pa.binary()), pa.array([x.tobytes() for x in all_], pa.binary())], names=["piece", "pos", "n"])
+
+
+def _added(batches):
+    """The sums of each piece over all tasks' rows."""
+    held: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for k, *x in zip(*(c.to_pylist() for c in b.columns)):
+            x = [np.frombuffer(y) for y in x]
+            held[k] = [a + y for a, y in zip(held[k], x)] if k in held else x
+    if held:
+        yield _sums_batch(held, [x[0] for x in held.values()], [x[1] for x in held.values()])
+
+
+def _summed(h: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of features by class over all records. There are as many rows a piece as tasks, and no more tasks than cores."""
+    cores = h.sparkSession.sparkContext.defaultParallelism
+    rows = h.coalesce(cores).mapInArrow(_counts(model), _SUMS).repartition(min(cores, _PIECES), "piece").mapInArrow(_added, _SUMS).collect()
+    got = {r["piece"]: r for r in rows}
+    none = bytes(8 * (_MASK + 1) // _PIECES)
+    return tuple(np.frombuffer(b"".join(bytes(got[k][c]) if k in got else none for k in range(_PIECES))) for c in ("pos", "n"))
+
+
+_SUMS = "piece int, pos binary, n binary"
+
+
+def _model(pos: np.ndarray, all_: np.ndarray, strength: float, least: float) -> tuple[np.ndarray, float]:
     """Weights and prior from the summed counts. A class's rate is drawn to the feature's rate in all records, by `strength` counts; features seen fewer than `least` times weigh nothing, unless they stand in residue only."""
-    pos, all_ = np.zeros(_MASK + 1), np.zeros(_MASK + 1)
-    pos[sums["f"].to_numpy(np.int64)], all_[sums["f"].to_numpy(np.int64)] = sums["pos"], sums["n"]
     P, N = pos.sum(), all_.sum()
     if not P or P >= N:
         return np.zeros(_MASK + 1), -20.0
@@ -332,8 +361,7 @@ def residue_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     h = stored(df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(_hashed(id_col), f"id {id_type}, features binary, lengths binary, trusted binary"), "passages")
     model, odds = None, None
     for _ in range(most_steps):
-        sums = h.mapInArrow(_counts(model), "f int, pos double, n double").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toPandas()  # at most 2 ** FEATURE_BITS rows
-        weights, prior = _model(sums, strength, least)
+        weights, prior = _model(*_summed(h, model), strength, least)
         model = spark.sparkContext.broadcast((weights, prior))
         if odds is not None and abs(prior - odds) <= tolerance:
             break
