@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from prosewright.functions.words import WordCodes, bag_tokens, mix64, words
 from prosewright.operators.components import connected_components
+from prosewright.operators.ranking import salted_join
 from prosewright.session import cut, stored
 
 SAMPLES, ROWS, BANDS = 128, 5, 28
@@ -75,11 +76,16 @@ class Texts:
         return mix64(np.add.reduceat(mix64(self.tokens), self.starts) + self.lengths.astype(np.uint64)).view(np.int64)
 
 
-def minhashes(t: Texts, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+def sums_of(lengths: np.ndarray) -> np.ndarray:
+    """Where each of several stretches of these lengths begins."""
+    return np.cumsum(lengths) - lengths
+
+
+def minhashes(tokens: np.ndarray, starts: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """SAMPLES x texts, 32-bit values."""
-    out = np.empty((SAMPLES, t.n), np.uint32)
+    out = np.empty((SAMPLES, len(starts)), np.uint32)
     for k in range(SAMPLES):
-        out[k] = np.minimum.reduceat(((t.tokens * mul[k] + add[k]) >> np.uint64(32)).astype(np.uint32), t.starts)
+        out[k] = np.minimum.reduceat(((tokens * mul[k] + add[k]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
 
@@ -92,25 +98,25 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
     return np.packbits(flat.astype(bool), axis=1).view(np.uint64)
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("cls", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
+_ENTRY = np.dtype([("key", "<u8"), ("n", "<u4"), ("cls", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
 
 
-def _batch_entries(b: pa.RecordBatch, codes: WordCodes, min_words: int, parameters: tuple) -> np.ndarray | None:
-    """All bucket entries of a batch of texts."""
+def _batch_entries(b: pa.RecordBatch, parameters: tuple) -> np.ndarray | None:
+    """All bucket entries of a batch of (class, bag)."""
     mul, add, picks = parameters
-    t = Texts(b.column(0).to_pylist(), codes, min_words)
-    if not t.n:
+    cls, one = np.unique(b.column(0).to_numpy(), return_index=True)  # copies in one batch enter once
+    if not len(one):
         return None
-    cls = t.classes()
-    _, one = np.unique(cls, return_index=True)  # copies in one batch enter once
-    m = minhashes(t, mul, add)[:, one]
+    bags = [b.column(1)[i].as_py() for i in one.tolist()]
+    n = np.array([len(x) // 4 for x in bags], np.int64)
+    m = minhashes(mix64(np.frombuffer(b"".join(bags), np.uint32).astype(np.uint64)), sums_of(n), mul, add)
     e = np.empty((BANDS, len(one)), _ENTRY)
-    e["cls"], e["n"], e["sketch"] = cls[one], t.lengths[one], odd_sketches(m)
+    e["cls"], e["n"], e["sketch"] = cls, n, odd_sketches(m)
     for k, pick in enumerate(picks):
         h = np.full(len(one), np.uint64(k + 1))
         for r in pick:
             h = mix64(h ^ m[r].astype(np.uint64)) + np.uint64(r)
-        e["key"][k] = (h >> np.uint64(32)).astype(np.uint32)
+        e["key"][k] = h
     return e.ravel()
 
 
@@ -122,28 +128,26 @@ def _split(e: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return by[at], [e[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(e)))]
 
 
-def _entries(parts: int, min_words: int, seed: int):
+def _entries(parts: int, seed: int):
     parameters = _parameters(seed)
 
     def run(batches):
-        codes = WordCodes()
         for b in batches:
-            e = _batch_entries(b, codes, min_words, parameters)
+            e = _batch_entries(b, parameters)
             if e is not None:
-                part, blobs = _split(e, (e["key"] % np.uint32(parts)).astype(np.int64))
+                part, blobs = _split(e, (e["key"] % np.uint64(parts)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
     return run
 
 
-def _hot_entries(hot, min_words: int, seed: int):
+def _hot_entries(hot, seed: int):
     """Entries of the buckets put aside only: (key, n, entries), one row per batch and bucket."""
     parameters = _parameters(seed)
 
     def run(batches):
-        codes = WordCodes()
         for b in batches:
-            e = _batch_entries(b, codes, min_words, parameters)
+            e = _batch_entries(b, parameters)
             if e is None:
                 continue
             e = e[np.isin(e["key"], hot.value)]
@@ -214,7 +218,7 @@ def _candidates(threshold: float, max_pop: int, hot: int, held_mb: float):
 
     def run(batches):
         held: list[bytes] = []
-        size, aside = 0, np.empty(0, np.uint32)
+        size, aside = 0, np.empty(0, np.uint64)
 
         def large(e):
             key, n = np.unique(e["key"], return_counts=True)
@@ -274,10 +278,10 @@ def _cross_pairs(x: np.ndarray, y: np.ndarray, threshold: float, max_pop: int):
             yield np.minimum(c["cls"], x["cls"][k]), np.maximum(c["cls"], x["cls"][k])
 
 
-def _hot_pairs(text: DataFrame, keys: list[int], min_words: int, seed: int, threshold: float) -> DataFrame:
+def _hot_pairs(bags: DataFrame, keys: list[int], seed: int, threshold: float) -> DataFrame:
     """Candidates of the buckets put aside: each is cut into blocks of about HOT entries, every two blocks are a group."""
-    hot = text.sparkSession.sparkContext.broadcast(np.array(sorted(keys), np.uint32))  # at most one key for HOT entries
-    e = stored(text.mapInArrow(_hot_entries(hot, min_words, seed), "key long, n long, entries binary"), "hot")
+    hot = bags.sparkSession.sparkContext.broadcast(np.array(keys, np.int64).view(np.uint64))  # at most one key for HOT entries
+    e = stored(bags.select("cls", "bag").mapInArrow(_hot_entries(hot, seed), "key long, n long, entries binary"), "hot")
     blocks = e.groupBy("key").agg(F.ceil(F.sum("n") / HOT).cast("int").alias("blocks"))
     e = e.join(F.broadcast(blocks), "key").withColumn("block", F.pmod(F.xxhash64("entries"), F.col("blocks")).cast("int"))
     left = e.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "entries", F.lit(0).alias("side"))
@@ -285,21 +289,16 @@ def _hot_pairs(text: DataFrame, keys: list[int], min_words: int, seed: int, thre
     return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block_pairs(threshold, MAX_POP), "a long, b long")
 
 
-def _bags(min_words: int, with_id: bool):
+def _bags(min_words: int):
+    """(id, class, bag) of the texts of at least min_words words; a bag is 32 bits of each token, in the tokens' order."""
+
     def run(batches):
         codes = WordCodes()
         for b in batches:
             t = Texts(b.column(1).to_pylist(), codes, min_words)
-            if not t.n:
-                continue
-            cls, keep = t.classes(), np.arange(t.n)
-            if with_id:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t.rows)), pa.array(cls)], names=["id", "cls"])
-                continue
-            _, keep = np.unique(cls, return_index=True)
             short = (t.tokens >> np.uint64(32)).astype(np.uint32)
-            ends = t.starts + t.lengths
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([short[t.starts[i] : ends[i]].tobytes() for i in keep], pa.binary())], names=["cls", "bag"])
+            bags = [short[a : a + n].tobytes() for a, n in zip(t.starts.tolist(), t.lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t.rows)), pa.array(t.classes()), pa.array(bags, pa.binary())], names=["id", "cls", "bag"])
 
     return run
 
@@ -323,35 +322,35 @@ def _verified(threshold: float):
 def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.7, min_words: int = 40, parts: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, cls) of all texts with at least min_words words; links (a, b, similarity), a < b, between classes of different token sets.
 
-    Rows of one cls have the same words equally often. Null, empty and shorter texts are in no class. The thresholds of
-    MAX_POP hold for similarities of 0.7 and more. parts: target partitions of the buckets; each is held by one task, so by
+    Rows of one cls have the same words equally often. Null, empty and shorter texts are in no class. MAX_POP and the bands
+    suit similarities of 0.7 and more; a lower threshold is an error. parts: target partitions of the buckets; each is held by one task, so by
     default there are enough that one holds about PART_MB, and at least twice the session's shuffle partitions.
     """
+    if threshold < 0.7:
+        raise ValueError("the sketches' bound and the bands are for similarities of 0.7 and more")
     spark = df.sparkSession
-    if not parts:
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(df.count() * BANDS * _ENTRY.itemsize / (PART_MB * 1e6)))
-    text = df.where(F.col(text_col).isNotNull())
     id_type = dict(df.dtypes)[id_col]
-    entries = text.select(text_col).mapInArrow(_entries(parts, min_words, seed), "part int, entries binary")
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col))
+    bags = stored(texts.mapInArrow(_bags(min_words), f"id {id_type}, cls long, bag binary"), "bags")  # every text is cut into words once
+    if not parts:
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(bags.count() * BANDS * _ENTRY.itemsize / (PART_MB * 1e6)))
+    entries = bags.select("cls", "bag").mapInArrow(_entries(parts, seed), "part int, entries binary")
     found = entries.repartition(parts, "part").select("entries").mapInArrow(_candidates(threshold, MAX_POP, HOT, HELD_MB), "a long, b long")
     pairs = stored(found.distinct(), "candidates")
     aside = [r["a"] for r in pairs.where("b IS NULL").select("a").collect()]
     pairs = pairs.where("b IS NOT NULL")
     if aside:
-        pairs = stored(pairs.unionByName(_hot_pairs(text.select(text_col), aside, min_words, seed, threshold)).distinct(), "candidates")
-    pair = text.select(F.col(id_col), F.col(text_col))
-    bags = pair.mapInArrow(_bags(min_words, False), "cls long, bag binary")
+        pairs = stored(pairs.unionByName(_hot_pairs(bags, aside, seed, threshold)).distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    bags = bags.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    a, b = bags.select(F.col("cls").alias("a"), F.col("bag").alias("x")), bags.select(F.col("cls").alias("b"), F.col("bag").alias("y"))
+    one = salted_join(bags, wanted, ["cls"], ["id"], how="inner").groupBy("cls").agg(F.first("bag").alias("bag"))  # copies of a text, however many, are spread, and one row each before they meet
+    a, b = one.select(F.col("cls").alias("a"), F.col("bag").alias("x")), one.select(F.col("cls").alias("b"), F.col("bag").alias("y"))
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long, similarity double")
-    members = pair.mapInArrow(_bags(min_words, True), f"id {id_type}, cls long")
-    return members, links
+    return bags.select("id", "cls"), links
 
 
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b): every pair of near-same rows, copies included. Its size is the result's; only for reports that must name each pair."""
-    m = stored(members, "members")
+    m = members
     x, y = m.select(F.col("id").alias("i"), F.col("cls").alias("a")), m.select(F.col("id").alias("j"), F.col("cls").alias("b"))
     same = x.join(y, F.col("a") == F.col("b")).where("i < j").select("i", "j")
     linked = links.select("a", "b").join(x, "a").join(y, "b").select("i", "j")
@@ -362,7 +361,7 @@ def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, **kw) -> DataFrame:
     """(id, group_id, n_links): one row per text long enough; rows connected by links share group_id (the least id among them); n_links counts linked classes."""
     members, links = near_duplicates(df, **kw)
-    members, links = stored(members, "members"), cut(links)
+    links = cut(links)
     classes = members.groupBy("cls").agg(F.min("id").alias("least"))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), classes.select(F.col("cls").alias("v")))
     n = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosewright.llm import leakage, near_dup, overlap
 
@@ -95,11 +96,23 @@ def test_odd_sketch_tracks_similarity():
     texts = [" ".join(base)] + [" ".join(base[k:] + [f"n{j}" for j in range(k)]) for k in (5, 20, 60, 200)]
     t = near_dup.Texts(texts, WordCodes(), 40)
     mul, add, _ = near_dup._parameters(1)
-    s = near_dup.odd_sketches(near_dup.minhashes(t, mul, add))
+    s = near_dup.odd_sketches(near_dup.minhashes(t.tokens, t.starts, mul, add))
     pops = [int(np.bitwise_count(s[0] ^ x).sum()) for x in s[1:]]
     assert pops == sorted(pops) and pops[0] < near_dup.MAX_POP < pops[-1]
 
 
+def test_a_hot_text_is_one_class(spark, rows):
+    """Nine tenths of the rows are copies of one text."""
+    texts = [t for _, t in rows if t and long_enough(t)][:40]
+    d = frame(spark, [(i, texts[0] if i % 10 else texts[i // 10]) for i in range(400)]).repartition(5)
+    members, links = near_dup.near_duplicates(d)
+    assert members.groupBy("cls").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] >= 360
+    want = {(min(a, b), max(a, b)) for a in texts for b in texts if a != b and similarity(a, b) >= 0.7 and bag(a) != bag(b)}
+    assert links.count() <= len(want) and members.count() == 400
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(d, threshold=0.5)
+
+
 def test_overlaps_equal_brute_force(spark, rows):
     train = frame(spark, rows[: len(rows) // 2 + 20])
     evals = frame(spark, [(i - 100, t) for i, t in rows[len(rows) // 3 :]], "sample_id").drop("a")
