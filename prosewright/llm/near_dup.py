@@ -35,6 +35,8 @@ MAX_POP = 76
 PART_MB = 32
 #: Entries from which a bucket is cut into blocks, and the memory a task fills before it looks for such buckets.
 HOT, HELD_MB = 20_000, 96
+#: Classes with candidates up to which their list is sent to all tasks (8 bytes each); beyond, it and the bags are shuffled to meet.
+BROADCAST_CLASSES = 2_000_000
 
 
 def _parameters(seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -98,7 +100,7 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
     return np.packbits(flat.astype(bool), axis=1).view(np.uint64)
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("n", "<u4"), ("cls", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
+_ENTRY = np.dtype([("key", "<u8"), ("n", "<u2"), ("cls", "<i8"), ("sketch", "<u8", (SKETCH_BITS // 64,))])
 
 
 def _batch_entries(b: pa.RecordBatch, parameters: tuple) -> np.ndarray | None:
@@ -111,7 +113,7 @@ def _batch_entries(b: pa.RecordBatch, parameters: tuple) -> np.ndarray | None:
     n = np.array([len(x) // 4 for x in bags], np.int64)
     m = minhashes(mix64(np.frombuffer(b"".join(bags), np.uint32).astype(np.uint64)), sums_of(n), mul, add)
     e = np.empty((BANDS, len(one)), _ENTRY)
-    e["cls"], e["n"], e["sketch"] = cls, n, odd_sketches(m)
+    e["cls"], e["n"], e["sketch"] = cls, np.minimum(n, 65535), odd_sketches(m)  # longer ones are taken for equally long; the words decide
     for k, pick in enumerate(picks):
         h = np.full(len(one), np.uint64(k + 1))
         for r in pick:
@@ -341,8 +343,12 @@ def near_duplicates(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     pairs = pairs.where("b IS NOT NULL")
     if aside:
         pairs = stored(pairs.unionByName(_hot_pairs(bags, aside, seed, threshold)).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = salted_join(bags, wanted, ["cls"], ["id"], how="inner").groupBy("cls").agg(F.first("bag").alias("bag"))  # copies of a text, however many, are spread, and one row each before they meet
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_CLASSES:
+        one = bags.join(F.broadcast(wanted), "cls")
+    else:
+        one = salted_join(bags, wanted, ["cls"], ["id"], how="inner")
+    one = one.groupBy("cls").agg(F.first("bag").alias("bag"))  # copies of a text, however many, are spread, and one row each before they meet
     a, b = one.select(F.col("cls").alias("a"), F.col("bag").alias("x")), one.select(F.col("cls").alias("b"), F.col("bag").alias("y"))
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long, similarity double")
     return bags.select("id", "cls"), links

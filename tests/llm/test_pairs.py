@@ -101,8 +101,10 @@ def test_odd_sketch_tracks_similarity():
     assert pops == sorted(pops) and pops[0] < near_dup.MAX_POP < pops[-1]
 
 
-def test_a_hot_text_is_one_class(spark, rows):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_a_hot_text_is_one_class(spark, rows, monkeypatch, broadcast):
     """Nine tenths of the rows are copies of one text."""
+    monkeypatch.setattr(near_dup, "BROADCAST_CLASSES", broadcast)
     texts = [t for _, t in rows if t and long_enough(t)][:40]
     d = frame(spark, [(i, texts[0] if i % 10 else texts[i // 10]) for i in range(400)]).repartition(5)
     members, links = near_dup.near_duplicates(d)
