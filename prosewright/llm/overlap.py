@@ -5,97 +5,39 @@ and a pair of the wanted similarity must have a word in common so early in both
 lost by that, however its words were edited or moved. A bound by token histograms thins the candidates; what is left is
 verified exactly on the word multisets.
 
-Of every evaluation text some passages of WINDOW words are chosen, those fewest others share, and written in a
-normalised form of three letters a word. An Aho-Corasick automaton of the passages of a batch's candidates scans their
-training texts, and the matched intervals are merged into the share of an evaluation text they cover, which decides on no
-pair. Evaluation texts are sharded so that the index and passages of a shard fit a worker.
-
-Evaluation texts with the same words equally often are one class, expanded at the end; training copies are looked up one
-by one, so neither can form a hot group. A shard is at most SHARD_PASSAGES passages, read from the shared folder; every
-training text meets every shard, and nothing of either side is collected.
+Evaluation texts are written in a normalised form of one character a word, and every passage of WINDOW words of them is
+a pattern. An Aho-Corasick automaton of the passages of a batch's candidates scans their training texts, and the matched
+intervals are merged into the share of an evaluation text they cover: 1 for an exact copy. As similarity doesn't heed
+the order of words, a near-same text may hold no passage intact, so coverage decides on no pair; it is reported.
+
+Evaluation texts with the same words equally often are one class, expanded at the end; of training texts each is looked
+up and verified by itself where it is read, so neither can form a hot group, and no words of either side are shuffled. A
+shard is at most SHARD_WORDS words of evaluation texts, read from the shared folder; every training text meets every
+shard (cut into words once where there are several), and nothing of either side is collected.
 """
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosewright.functions.words import WordCodes, mix64, words
+from prosewright.functions.words import WordCodes, bag_tokens
 from prosewright.llm.near_dup import Texts
 from prosewright.session import shared_path, stored
 
 WINDOW = 3
-#: One chosen passage for so many words.
-EVERY = 6
-SHARD_PASSAGES = 1_500_000
+SHARD_WORDS = 9_000_000
 #: Training texts looked up at a time, and the entries of the prefix index taken up at once.
 LOOKUP_TEXTS, LOOKUP_ENTRIES = 256, 1 << 21
 #: Buckets of the token histograms that bound a pair's similarity from above.
 BINS = 128
 
-_LETTERS = np.frombuffer((string.ascii_letters + string.digits + "+/").encode(), np.uint8)
-_BUCKETS = 1 << 18
-_WINDOWS = 1 << 20
-
-
-def window_codes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words of each window."""
-    h = np.zeros(max(0, len(codes) - WINDOW + 1), np.uint64)
-    for k in range(WINDOW):
-        h = mix64(h + codes[k : k + len(h)].astype(np.uint64) + np.uint64(k + 1))
-    return h
-
-
-def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of a text's words, and those of its windows."""
-    return codes & (_BUCKETS - 1), (window_codes(codes) & np.uint64(_WINDOWS - 1)).astype(np.int64) + _BUCKETS
-
-
-def _counts(min_words: int):
-    """In how many texts words and windows occur, by counter."""
-
-    def run(batches):
-        codes = WordCodes()
-        total = np.zeros(_BUCKETS + _WINDOWS, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                w = words(t)
-                if len(w) >= min_words:
-                    total[np.unique(np.concatenate(_buckets(np.array(codes.encode(w), np.int64))))] += 1
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["bucket", "n"])
-
-    return run
-
-
-def chosen_windows(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Starts of the windows to keep: those in the fewest texts first, none overlapping, one for EVERY words.
-
-    A window is in no more texts than its counter says, nor in more than the rarest of its words.
-    """
-    of_words, of_windows = _buckets(codes)
-    w = np.lib.stride_tricks.sliding_window_view(counts[of_words].astype(np.int64), WINDOW)
-    n = len(codes)
-    rank = np.argsort((np.minimum(counts[of_windows], w.min(axis=1)) << 34) + w.sum(axis=1), kind="stable")
-    taken, out, want = bytearray(n), [], max(1, n // EVERY)
-    full = bytes([1]) * WINDOW
-    for s in rank.tolist():
-        if 1 not in taken[s : s + WINDOW]:
-            taken[s : s + WINDOW] = full
-            out.append(s)
-            if len(out) == want:
-                break
-    return np.array(sorted(out), np.int32)
-
 
 def letters(codes: np.ndarray) -> str:
-    """Three letters for each word, of 18 bits of its code."""
-    c = codes & (_BUCKETS - 1)
-    return _LETTERS[np.stack([c >> 12, (c >> 6) & 63, c & 63], axis=1)].tobytes().decode("ascii")
+    """One character for each word, of 19 bits of its code."""
+    return ((codes.astype(np.uint32) & np.uint32((1 << 19) - 1)) + np.uint32(0x10000)).tobytes().decode("utf-32-le")
 
 
 def histograms(t: Texts) -> np.ndarray:
@@ -185,48 +127,57 @@ def shared_table(path: str, columns: list[str]) -> pa.Table:
     return ds.dataset(inner, filesystem=system, format="parquet").to_table(columns=columns)
 
 
-def _passages(counts: str, min_words: int, shards: int):
+def _encoded(min_words: int):
+    """(id, word codes) of the texts of at least min_words words."""
+
     def run(batches):
-        t = shared_table(counts, ["bucket", "n"])
-        codes, common = WordCodes(), np.zeros(_BUCKETS + _WINDOWS, np.int32)
-        common[t.column("bucket").to_numpy()] = np.minimum(t.column("n").to_numpy(), 2**31 - 1)
+        codes = WordCodes()
+        for b in batches:
+            t = Texts(b.column(1).to_pylist(), codes, min_words)
+            words_ = [t.codes[a : a + n].tobytes() for a, n in zip(t.starts.tolist(), t.lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t.rows)), pa.array(words_, pa.binary())], names=["id", "codes"])
+
+    return run
+
+
+class _Coded(Texts):
+    """Token sets of texts given as word codes."""
+
+    def __init__(self, batch: list[bytes]):
+        self.n = len(batch)
+        self.rows = np.arange(self.n)
+        self.lengths = np.array([len(x) // 4 for x in batch], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.codes = np.frombuffer(b"".join(batch), np.uint32)
+        self.tokens = bag_tokens(self.codes, self.starts)
+
+
+def _evaluations(min_words: int, shards: int):
+    """(shard, class, word codes) of the distinct evaluation texts of a batch."""
+
+    def run(batches):
+        codes = WordCodes()
         for b in batches:
             t = Texts(b.column(0).to_pylist(), codes, min_words)
-            if not t.n:
-                continue
-            cls, where, pats = t.classes(), [], []
-            short = (t.tokens >> np.uint64(32)).astype(np.uint32)
-            _, one = np.unique(cls, return_index=True)
-            for i in one:
-                c = t.codes[t.starts[i] : t.starts[i] + t.lengths[i]].astype(np.int64)
-                at, s = chosen_windows(c, common), letters(c)
-                where.append(at.tobytes())
-                pats.append("".join(s[3 * a : 3 * (a + WINDOW)] for a in at))
-            bags = [short[t.starts[i] : t.starts[i] + t.lengths[i]].tobytes() for i in one]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((cls[one] % shards).astype(np.int32)), pa.array(cls[one]), pa.array(t.lengths[one].astype(np.int32)), pa.array(where, pa.binary()), pa.array(pats, pa.string()), pa.array([h.tobytes() for h in histograms(t)[one]], pa.binary()), pa.array(bags, pa.binary())],
-                names=["shard", "cls", "n", "starts", "passages", "histogram", "bag"],
-            )
+            cls, one = np.unique(t.classes(), return_index=True)
+            words_ = [t.codes[t.starts[i] : t.starts[i] + t.lengths[i]].tobytes() for i in one.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array((cls % shards).astype(np.int32)), pa.array(cls), pa.array(words_, pa.binary())], names=["shard", "cls", "codes"])
 
     return run
 
 
 class _Shard:
-    """The prefix index of one shard and the passages of its evaluation texts."""
+    """The evaluation texts of one shard: words, token sets and the prefix index."""
 
     def __init__(self, path: str, shard: int, threshold: float):
-        t = shared_table(f"{path}/shard={shard}", ["cls", "n", "starts", "passages", "histogram", "bag"])
+        t = shared_table(f"{path}/shard={shard}", ["cls", "codes"])
         cls, one = np.unique(t.column("cls").to_numpy(), return_index=True)  # copies may come from several batches
-        t = t.take(pa.array(one))
-        self.cls, self.n = cls, t.column("n").to_numpy().astype(np.int64)
-        self.histogram = np.frombuffer(b"".join(t.column("histogram").to_pylist()), np.uint16).reshape(-1, BINS)
-        starts = t.column("starts").to_pylist()
-        self.first = np.cumsum([0, *(len(x) // 4 for x in starts)])
-        self.pos = np.frombuffer(b"".join(starts), np.int32)
-        self.passages = np.frombuffer("".join(t.column("passages").to_pylist()).encode("ascii"), f"S{3 * WINDOW}")
-        bags = t.column("bag").to_pylist()
-        del t, starts
-        self.index = PrefixIndex([np.frombuffer(x, np.uint32) for x in bags], threshold)
+        t = _Coded(t.column("codes").take(pa.array(one)).to_pylist())
+        self.cls, self.n, self.codes = cls, t.lengths, t.codes
+        self.first = np.append(t.starts, len(t.codes))
+        self.bags = (t.tokens >> np.uint64(32)).astype(np.uint32)
+        self.histogram = histograms(t)
+        self.index = PrefixIndex([self.bags[a : a + n] for a, n in zip(t.starts.tolist(), t.lengths.tolist())], threshold)
 
 
 _SHARD: dict[tuple[str, int, float], _Shard] = {}
@@ -253,82 +204,68 @@ def _near(s: _Shard, t: Texts, short: np.ndarray, threshold: float) -> tuple[np.
     return np.concatenate(own), np.concatenate(mates)
 
 
+def _similar(s: _Shard, t: Texts, short: np.ndarray, own: np.ndarray, ev: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs reach the threshold, their similarity), exactly."""
+    keep, sims = [], []
+    for i, (x, y) in enumerate(zip(own.tolist(), ev.tolist())):
+        a, b = short[t.starts[x] : t.starts[x] + t.lengths[x]], s.bags[s.first[y] : s.first[y + 1]]
+        both = len(np.intersect1d(a, b))
+        if (sim := both / (len(a) + len(b) - both)) >= threshold - 1e-9:
+            keep.append(i), sims.append(sim)
+    return np.array(keep, np.int64), np.array(sims, float)
+
+
 def _coverage(s: _Shard, t: Texts, txt: np.ndarray, ev: np.ndarray) -> np.ndarray:
     """Share of the evaluation text that the passages found in the training text cover, of each pair; pairs are sorted.
 
-    One automaton holds the passages of all evaluation texts of these pairs, so it is as large as the pairs of a batch make it.
+    One automaton holds all passages of the evaluation texts of these pairs, so it is as large as the pairs of a batch make it.
     """
     import ahocorasick
 
     mates = np.unique(ev)
-    k = s.first[mates + 1] - s.first[mates]
-    mine = np.repeat(s.first[mates], k) + _spans(k)
-    distinct, number = np.unique(s.passages[mine], return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    holder, place = np.repeat(mates, k)[order], s.pos[mine][order]
-    first = np.searchsorted(number[order], np.arange(len(distinct) + 1))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(distinct.tolist()):
-        automaton.add_word(p.decode("ascii"), i)
+    number: dict[str, int] = {}
+    holders: list[list[tuple[int, int]]] = []  # of each passage: (evaluation text, place)
+    for k in mates.tolist():
+        line = letters(s.codes[s.first[k] : s.first[k + 1]])
+        for at in range(len(line) - WINDOW + 1):
+            p = line[at : at + WINDOW]
+            i = number.setdefault(p, len(holders))
+            if i == len(holders):
+                automaton.add_word(p, i)
+                holders.append([])
+            holders[i].append((k, at))
     automaton.make_automaton()
-    line, hit_text, hit_pid = letters(t.codes), [], []
-    for i in np.unique(txt).tolist():
-        a = 3 * int(t.starts[i])
-        found = {p for e, p in automaton.iter(line[a : a + 3 * int(t.lengths[i])]) if e % 3 == 2}
-        hit_text += [i] * len(found)
-        hit_pid += found
     cover = np.zeros(len(txt))
-    pid, own = np.array(hit_pid, np.int64), np.array(hit_text, np.int64)
-    n = first[pid + 1] - first[pid]
-    entry = np.repeat(first[pid], n) + _spans(n)
-    pair, wanted = np.repeat(own, n) * len(s.n) + holder[entry], txt * len(s.n) + ev
-    at = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-    ok = wanted[at] == pair
-    at, pos = at[ok], place[entry[ok]]
-    if len(at):
-        order = np.lexsort((pos, at))
-        at, pos = at[order], pos[order]
-        new = np.append(True, at[1:] != at[:-1])
-        add = np.full(len(pos), WINDOW)
-        add[1:] = np.where(new[1:], WINDOW, np.minimum(WINDOW, pos[1:] - pos[:-1]))
-        begin = np.flatnonzero(new)
-        cover[at[begin]] = np.add.reduceat(add, begin) / s.n[ev[at[begin]]]
+    bounds = np.flatnonzero(np.append(True, txt[1:] != txt[:-1]))
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(txt)]):
+        mine = {k: np.zeros(s.n[k], bool) for k in ev[a:b].tolist()}
+        start = int(t.starts[txt[a]])
+        for i in {p for _, p in automaton.iter(letters(t.codes[start : start + int(t.lengths[txt[a]])]))}:
+            for k, at in holders[i]:
+                if k in mine:
+                    mine[k][at : at + WINDOW] = True
+        cover[a:b] = [mine[k].mean() for k in ev[a:b].tolist()]
     return cover
 
 
-def _scan(path: str, shard: int, threshold: float, min_words: int):
+def _scan(path: str, shard: int, threshold: float, coded: int):
+    """coded: least words of a text, or 0 where the column holds word codes."""
+
     def run(batches):
         codes = WordCodes()
         s = _shard(path, shard, threshold)
         for b in batches:
-            t = Texts(b.column(1).to_pylist(), codes, min_words)
+            t = Texts(b.column(1).to_pylist(), codes, coded) if coded else _Coded(b.column(1).to_pylist())
             if not t.n:
                 continue
             short = (t.tokens >> np.uint64(32)).astype(np.uint32)
             own, ev = _near(s, t, short, threshold)
-            if not len(own):
+            keep, sims = _similar(s, t, short, own, ev, threshold)
+            if not len(keep):
                 continue
-            cover = _coverage(s, t, own, ev)
-            bags = [short[t.starts[i] : t.starts[i] + t.lengths[i]].tobytes() for i in own.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(t.rows[own])), pa.array(s.cls[ev]), pa.array(cover), pa.array(bags, pa.binary())], names=["id", "cls", "coverage", "bag"]
-            )
-
-    return run
-
-
-def _verified(threshold: float):
-    def run(batches):
-        for b in batches:
-            keep, sims = [], []
-            for i, (x, y) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y))
-                s = both / (len(x) + len(y) - both)
-                if s >= threshold - 1e-9:
-                    keep.append(i), sims.append(s)
-            k = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), b.column(2).take(k), pa.array(sims, pa.float64())], names=["id", "cls", "coverage", "similarity"])
+            own, ev = own[keep], ev[keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t.rows[own])), pa.array(s.cls[ev]), pa.array(_coverage(s, t, own, ev)), pa.array(sims)], names=["id", "cls", "coverage", "similarity"])
 
     return run
 
@@ -346,26 +283,24 @@ def _members(min_words: int):
 def cross_split_overlaps(evals: DataFrame, train: DataFrame, eval_id: str = "sample_id", train_id: str = "row_id", threshold: float = 0.7, min_words: int = 40) -> DataFrame:
     """(eval_id, train_id, coverage, similarity): pairs of near-same texts of the two tables.
 
-    Null, empty and short texts are in no pair. coverage is the share of the evaluation text that matched passages
-    cover, 0 where none is intact. An empty table on either side gives no pair.
+    Null, empty and short texts are in no pair. coverage is the share of the evaluation text's words that lie in passages
+    the training text holds: 1 for a copy, 0 where no passage is intact. An empty table on either side gives no pair.
     """
     spark = evals.sparkSession
     e = evals.where(F.col("text").isNotNull() & F.col(eval_id).isNotNull())
     g = train.where(F.col("text").isNotNull() & F.col(train_id).isNotNull()).select(train_id, "text")
     eid, gid = dict(evals.dtypes)[eval_id], dict(train.dtypes)[train_id]
-    common = shared_path(spark, "counts")  # a bounded number of counters
-    e.select("text").mapInArrow(_counts(min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).write.parquet(common)
     chars = e.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // (6 * EVERY * SHARD_PASSAGES)))
-    path = shared_path(spark, "passages")
-    e.select("text").mapInArrow(_passages(common, min_words, shards), "shard int, cls long, n int, starts binary, passages string, histogram binary, bag binary").write.partitionBy("shard").parquet(path)
-    kept = spark.read.schema("cls long, n int, starts binary, passages string, histogram binary, bag binary, shard int").parquet(path)
-    there = [r[0] for r in kept.select("shard").distinct().collect()]
-    found = spark.createDataFrame([], f"id {gid}, cls long, coverage double, bag binary")
+    shards = max(1, -(-chars // (6 * SHARD_WORDS)))
+    path = shared_path(spark, "evaluations")
+    e.select("text").mapInArrow(_evaluations(min_words, shards), "shard int, cls long, codes binary").write.partitionBy("shard").parquet(path)
+    there = [r[0] for r in spark.read.schema("cls long, codes binary, shard int").parquet(path).select("shard").distinct().collect()]
+    coded = min_words
+    if len(there) > 1:
+        g, coded = stored(g.mapInArrow(_encoded(min_words), f"id {gid}, codes binary"), "codes"), 0
+    near = spark.createDataFrame([], f"id {gid}, cls long, coverage double, similarity double")
     for shard in sorted(there):
-        found = found.unionByName(g.mapInArrow(_scan(path, shard, threshold, min_words), f"id {gid}, cls long, coverage double, bag binary"))
-    bags = kept.select("cls", F.col("bag").alias("other")).dropDuplicates(["cls"])
-    near = found.join(bags, "cls").select("id", "cls", "coverage", "bag", "other").mapInArrow(_verified(threshold), f"id {gid}, cls long, coverage double, similarity double")
+        near = near.unionByName(g.mapInArrow(_scan(path, shard, threshold, coded), near.schema))
     members = e.select(F.col(eval_id), "text").mapInArrow(_members(min_words), f"id {eid}, cls long").withColumnRenamed("id", "e_id")
     out = stored(near, "overlaps").join(members, "cls")
     return out.select(F.col("e_id").alias(eval_id), F.col("id").alias(train_id), F.round("coverage", 6).alias("coverage"), "similarity").distinct()

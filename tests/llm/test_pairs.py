@@ -164,12 +164,29 @@ def test_overlaps_of_nothing(spark, rows):
         assert overlap.cross_split_overlaps(e.withColumnRenamed("row_id", "sample_id"), g).isEmpty()
 
 
+def test_coverage_of_evaluation_texts(spark):
+    base = [f"w{k}" for k in range(60)]
+    evals = frame(spark, [(1, " ".join(base)), (2, " ".join(base[:30] + ["new"] + base[31:]))], "sample_id")
+    train = frame(spark, [(10, " ".join(base)), (11, " ".join(["x"] * 8 + base)), (12, " ".join(base[30:] + base[:30])), (13, " ".join(base[::-1]))])
+    got = {(r["sample_id"], r["row_id"]): r["coverage"] for r in overlap.cross_split_overlaps(evals, train).collect()}
+    assert got == {(1, 10): 1, (1, 11): 1, (1, 12): 1, (1, 13): 0, (2, 10): pytest.approx(59 / 60, abs=1e-6), (2, 11): pytest.approx(59 / 60, abs=1e-6), (2, 12): pytest.approx(59 / 60, abs=1e-6), (2, 13): 0}
+
+
+def test_overlaps_of_hot_texts(spark):
+    """Nine tenths of both sides are copies of one text."""
+    base = " ".join(f"w{k}" for k in range(50))
+    rows = lambda n, at: [(at + i, base if i % 10 else " ".join(f"v{i}x{k}" for k in range(50))) for i in range(n)]
+    got = overlap.cross_split_overlaps(frame(spark, rows(60, 0), "sample_id"), frame(spark, rows(100, 1000)).repartition(4))
+    assert got.count() == 54 * 90 + 6
+
+
 def test_overlap_shards_agree(spark, rows, monkeypatch):
     d = frame(spark, rows[:80])
     e = d.withColumnRenamed("row_id", "sample_id")
     one = overlap.cross_split_overlaps(e, d).select("sample_id", "row_id")
-    monkeypatch.setattr(overlap, "SHARD_PASSAGES", 300)
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 1500)
     many = overlap.cross_split_overlaps(e, d).select("sample_id", "row_id")
+    assert not [r for r in overlap.cross_split_overlaps(e, d).where("similarity = 1 and sample_id = row_id").collect() if r["coverage"] != 1]
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty() and not one.isEmpty()
 
 
