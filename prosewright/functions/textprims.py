@@ -56,3 +56,14 @@ def count_of(text: Column, needle: str) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double, 0 where b is 0."""
     return F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def json_value(text: Column) -> Column:
+    """The JSON value a text is, as VARIANT; null where it is none or more than one.
+
+    The parser stops behind the first value, so the text is read as the one item of an array and of an object: whatever
+    closes the one early is an error in the other.
+    """
+    item = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone & (F.size(item) == 1), F.get(item, F.lit(0)))

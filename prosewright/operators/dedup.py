@@ -5,8 +5,8 @@ one still kept whose d(i) is under the threshold drops the later of i and nn(i).
 nn before it always goes; any other goes if a kept earlier row with d < t names it as neighbour. So only rows under the
 threshold matter, and what is left to decide is followed link by link in joined tables.
 
-Neighbours are exact: the vectors are compared in blocks, and every block of rows meets every block once. That is the
-query itself and quadratic; `candidates` restricts it to pairs of an index, as an approximate mode.
+Neighbours are exact: the vectors are compared in blocks, and every two blocks of rows meet once, for both sides. That is
+the query itself and quadratic; `candidates` restricts it to the pairs an index gives, as an approximate mode.
 """
 
 from __future__ import annotations
@@ -19,21 +19,35 @@ from pyspark.sql import functions as F
 from prosewright.session import cut
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", block: int = 2048) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", block: int = 2048, candidates: DataFrame | None = None) -> DataFrame:
     """(id, nn, d): nearest other row by cosine distance or squared Euclidean distance. Null vectors and vectors of another length than the one of the least id are left out; fewer than two rows give none.
 
-    Blocks of `block` rows are paired up; each task holds two of them.
+    Blocks of `block` rows are paired up; each task holds two of them. candidates: pairs (a, b) of ids, in either order;
+    only these are compared, and rows in none have no neighbour.
     """
     v = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     n, size = v.agg(F.count(F.lit(1)), F.min_by(F.size("x"), "id")).first()
     v = v.where(F.size("x") == F.lit(size or 0))
+    if candidates is not None:
+        pair = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        j = pair.join(v.select(F.col("id").alias("a"), F.col("x").alias("p")), "a").join(v.select(F.col("id").alias("b"), F.col("x").alias("q")), "b")
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda acc, z: acc + z)
+        p, q = F.col("p"), F.col("q")
+        if metric == "cosine":
+            d = 1 - dot(p, q) / (F.greatest(F.sqrt(dot(p, p)), F.lit(1e-12)) * F.greatest(F.sqrt(dot(q, q)), F.lit(1e-12)))
+        else:
+            d = F.aggregate(F.zip_with(p, q, lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda acc, z: acc + z)
+        j = j.select("a", "b", d.alias("d"))
+        return _best(j.select(F.col("a").alias("id"), F.col("b").alias("nn"), "d").unionByName(j.select(F.col("b").alias("id"), F.col("a").alias("nn"), "d")))
     blocks = max(1, -(-n // block))
     v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("b", "o", "id", "x")
-    right = v.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("b", "o", "id", "x")
+    left = v.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))).select("b", "o", "id", "x")
+    right = v.where("b > 0").withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("b", "o", "id", "x")
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
         a, b = both[both["side"] == 0], both[both["side"] == 1]
+        one = (both["b"] == both["o"]).all()
+        b = a if one else b
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "nn": [], "d": []})
         a, b = a.sort_values("id"), b.sort_values("id")
@@ -44,14 +58,25 @@ def nearest(df: DataFrame, id_col: str, vector: str, metric: str = "cosine", blo
         else:
             d = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T
         d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-        k = np.round(d, 9).argmin(axis=1)
-        at = np.arange(len(k))
-        found = np.isfinite(d[at, k])
-        exact = d[at, k] if metric == "cosine" else ((p - q[k]) ** 2).sum(axis=1)  # the expanded form loses digits
-        return pd.DataFrame({"id": a["id"].to_numpy(), "nn": b["id"].to_numpy()[k], "d": exact})[found]
+        found = [_nearest_of(d, p, q, a["id"].to_numpy(), b["id"].to_numpy(), metric)]
+        if not one:
+            found.append(_nearest_of(d.T, q, p, b["id"].to_numpy(), a["id"].to_numpy(), metric))
+        return pd.concat(found)
 
     sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    found = sides.groupBy("b", "o").applyInPandas(compare, "id long, nn long, d double")
+    return _best(sides.groupBy("b", "o").applyInPandas(compare, "id long, nn long, d double"))
+
+
+def _nearest_of(d: np.ndarray, p: np.ndarray, q: np.ndarray, ids: np.ndarray, others: np.ndarray, metric: str) -> pd.DataFrame:
+    """The nearest of q for each of p; both are in the order of their ids."""
+    k = np.round(d, 9).argmin(axis=1)
+    at = np.arange(len(k))
+    found = np.isfinite(d[at, k])
+    exact = d[at, k] if metric == "cosine" else ((p - q[k]) ** 2).sum(axis=1)  # the expanded form loses digits
+    return pd.DataFrame({"id": ids, "nn": others[k], "d": exact})[found]
+
+
+def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by(F.struct("nn", "d"), F.struct(F.round("d", 9), "nn")).alias("x")).select("id", "x.nn", "x.d")
 
 

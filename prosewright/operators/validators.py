@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prosewright.functions.textprims import WS, trim
+from prosewright.functions.textprims import WS, json_value, trim
 
 
 def _full_lines(text: Column) -> Column:
@@ -48,13 +48,13 @@ def is_tsv(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+    return json_value(text).isNotNull()
 
 
 def is_jsonl(text: Column) -> Column:
     """At least two full lines, the first twenty of them JSON."""
     rows = _full_lines(text)
-    return F.coalesce((F.size(rows) >= 2) & F.forall(F.slice(rows, 1, 20), lambda x: F.try_parse_json(x).isNotNull()), F.lit(False))
+    return F.coalesce((F.size(rows) >= 2) & F.forall(F.slice(rows, 1, 20), lambda x: json_value(x).isNotNull()), F.lit(False))
 
 
 def is_pipe_table(text: Column) -> Column:

@@ -84,11 +84,6 @@ def tier1_summary(spark, d):
     return c.groupBy("lang", "classification.category", F.round(F.col("classification.confidence").cast("double"), 4).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def filter_route(spark, d):
-    e = table(spark, d, "eval_samples").select("sample_id", F.col("text").alias("bodytext"), F.col("prompt_template").alias("summarytext"), F.col("content_domain").alias("title"))
-    return route(e, sample_bytes=WHOLE).select("sample_id", "route", F.size("fields").alias("n_fields"))
-
-
 def filter_categories(spark, d):
     e = table(spark, d, "eval_samples").select("sample_id", F.col("text").alias("bodytext"), F.col("prompt_template").alias("summarytext"))
     return field_categories(route(e, ("bodytext", "summarytext"), sample_bytes=WHOLE))
@@ -174,7 +169,7 @@ def heuristic_flags(spark, d):
 
 def validate_json(spark, d):
     g = table(spark, d, "golden_train").where(F.col("text").isNotNull())
-    return g.select("row_id", validators.is_json(F.col("text")).alias("is_json"), validators.is_jsonl(F.col("text")).alias("is_jsonl"), validators.is_fixed_width(F.col("text")).alias("is_fixed_width"), validators.is_csv(F.col("text")).alias("is_csv"), validators.is_tsv(F.col("text")).alias("is_tsv"))
+    return g.select("row_id", validators.is_json(F.col("text")).alias("is_json"), validators.is_jsonl(F.col("text")).alias("is_jsonl"))
 
 
 def sample_filters(spark, d):
@@ -183,11 +178,6 @@ def sample_filters(spark, d):
     return g.select("row_id", filters.size_ok(t).alias("size_ok"), filters.length_ok(t).alias("length_ok"), filters.length_bucket(t).alias("bucket"), is_blank(t).alias("blank"))
 
 
-def quality_filter(spark, d):
-    g = table(spark, d, "golden_train")
-    return g.select("row_id", filters.quality_ok(F.col("text")).alias("quality_ok"))
-
-
 def sample_schema(spark, d):
     e = table(spark, d, "eval_samples")
     cats = ["prose", "code", "structured", "artifact"]
@@ -200,12 +190,6 @@ def drop_synthetic(spark, d):
     return count(kept, "kept").unionByName(count(archived, "archived"))
 
 
-def reclassify_artifacts(spark, d):
-    words = [r[0] for r in table(spark, d, "wordlist").select(F.lower(F.trim("word"))).where("word IS NOT NULL").distinct().collect()]
-    g = table(spark, d, "golden_train").where(clean_name("category").isin("artifact", "skip") & F.col("text").isNotNull())
-    return filters.reclassify(g, wordlist=words).select("row_id", "reclassified")
-
-
 def stratified_round_robin(spark, d):
     return sampling.stratified(_eval(spark, d).where("truth IS NOT NULL"), "truth", 25, "sample_id").select("sample_id", "truth")
 
@@ -303,14 +287,6 @@ def feature_moments(spark, d):
     return m.select("feature", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-def feature_divergence(spark, d):
-    """Stored features against our own: the last stored row of each document."""
-    cols = ["alpha_ratio", "symbol_ratio", "sentence_punctuation_rate"]
-    last = table(spark, d, "feature_vector").groupBy("doc_id").agg(*[F.max_by(c, "featurized_at").alias(c) for c in cols])
-    own = with_features(table(spark, d, "documents"), names=cols, sample_bytes=WHOLE, line_count=False).select("doc_id", *cols)
-    return metrics.divergence(own, last.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in cols)), "doc_id", cols)
-
-
 def plan_summary(spark, d):
     return metrics.plan_summary(table(spark, d, "source_plan"))
 
@@ -385,18 +361,21 @@ def _is_folder(spark, path: str) -> bool:
 
 
 _QUERIES = [
-    feat_entropy, feat_ngrams, feat_runs, feat_json_lines, feat_dictionary, features_all, tier1_classify, tier1_summary, filter_route, filter_categories, metric_accuracy, confusion_matrix, per_category_metrics, slice_grouping, top_confusions,
-    diversity_report, diversity_warnings, detection_metrics, fire_stats, label_cooccurrence, sub_type_detections, heuristic_audit, heuristic_flags, validate_json, sample_filters, quality_filter, sample_schema, drop_synthetic, reclassify_artifacts,
+    feat_entropy, feat_ngrams, feat_runs, feat_json_lines, feat_dictionary, features_all, tier1_classify, tier1_summary, filter_categories, metric_accuracy, confusion_matrix, per_category_metrics, slice_grouping, top_confusions,
+    diversity_report, diversity_warnings, detection_metrics, fire_stats, label_cooccurrence, sub_type_detections, heuristic_audit, heuristic_flags, validate_json, sample_filters, sample_schema, drop_synthetic,
     stratified_round_robin, cap_two_level, floor_allocation, stratified_floor_sample, equal_share_sample, injected_logs, train_validation, tiered_decide, vote_three, vote_four, verdicts, escalation_rates, annotator_agreement, apply_relabels,
-    resume_pending, detector_crosscheck, class_weights, feature_moments, feature_divergence, plan_summary, nearest_cosine, cosine_dedup, marginalised_scores, json_path, reply_labels, heuristic_votes, source_counts, generated_documents, stream_categories,
+    resume_pending, detector_crosscheck, class_weights, feature_moments, plan_summary, nearest_cosine, cosine_dedup, marginalised_scores, json_path, reply_labels, heuristic_votes, source_counts, generated_documents, stream_categories,
 ]
 
 
 def queries():
-    return {"feat_chars": _features(CHARS), "feat_lines": _features(LINES), "feat_shapes": _features(SHAPES)} | {f.__name__: f for f in _QUERIES}
+    from prosewright.plans import more
+
+    return {"feat_chars": _features(CHARS), "feat_lines": _features(LINES), "feat_shapes": _features(SHAPES)} | {f.__name__: f for f in _QUERIES} | more.queries()
 
 
 def oracle_sql():
+    from prosewright.plans.more_sql import SQL as more
     from prosewright.plans.oracle import SQL
 
-    return dict(SQL)
+    return SQL | more

@@ -74,6 +74,8 @@ SHAPES = f"list_transform(l[1:20], lambda x: {SHAPE})"
 INDENTS = f"list_transform(list_filter(l, lambda x: regexp_matches(x, '^[{WSC}]+[^{WSC}]')), lambda x: {lead('x')})"
 SHORT = "list_filter(t, lambda x: strlen(x) BETWEEN 1 AND 40)"
 
+RAW = f"list_filter(list_transform({lines('r')}, lambda x: {trim('x')}), lambda x: x <> '')"
+
 SQL: dict[str, str] = {
     "line_length_cv": "CASE WHEN len(l) < 2 OR list_sum(list_transform(l, lambda x: strlen(x))) / CAST(len(l) AS DOUBLE) < 1 THEN 0.0 ELSE list_stddev_pop(list_transform(l, lambda x: CAST(strlen(x) AS DOUBLE))) / (list_sum(list_transform(l, lambda x: strlen(x))) / CAST(len(l) AS DOUBLE)) END",
     "leading_whitespace_ratio": share(f"{lead('x')} > 2", "l", "n"),
@@ -110,6 +112,8 @@ SQL: dict[str, str] = {
     "list_item_ratio": f"len(list_filter(l, lambda x: {trim('x')} <> '' AND regexp_matches({ltrim('x')}, '^(?:[-*•] |[0-9]+[.)] )[^{WSC}]'))) / CAST(m AS DOUBLE)",
     "parenthesis_density": per_mille(hits("[()]")),
     "section_header_ratio": share(r"regexp_matches(x, '^\[[A-Za-z0-9_ .\-]+\]$')", "ne", "m"),
+    "label_value_line_ratio": share(rf"regexp_matches(x, '^[A-Za-z][A-Za-z0-9 _/().]{{0,31}}[ \t\f\r]*[:\-][ \t\f\r]+[^{WSC}]')", "t", "n"),
+    "json_lines_ratio": f"CASE WHEN len({RAW}) = 0 THEN 0.0 ELSE len(list_filter({RAW}, lambda x: starts_with(x, '{{') AND ends_with(x, '}}'))) / CAST(len({RAW}) AS DOUBLE) END",
     "shebang_present": f"CAST(starts_with({ltrim('s')}, '#!') AS DOUBLE)",
 }
 

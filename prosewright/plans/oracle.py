@@ -122,6 +122,7 @@ SQL: dict[str, str] = {
     "feat_chars": fs.feature_query(CHARS),
     "feat_lines": fs.feature_query(LINES),
     "feat_shapes": fs.feature_query(SHAPES),
+    "feat_json_lines": f"{fs.prep('documents', 'doc_id')} SELECT k AS doc_id, {fs.rounded('json_lines_ratio')}, {fs.rounded('label_value_line_ratio')}, CAST(CASE WHEN r = '' THEN 0 ELSE n END AS INT) AS line_count FROM p",
     "feat_entropy": """WITH b AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), '\\n', chr(10)), '')) AS ch FROM documents), c AS (SELECT doc_id, ch, count(*) AS n FROM b WHERE ch <> '' GROUP BY 1, 2),
       t AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS tot FROM c), e AS (SELECT doc_id, -sum((n / CAST(tot AS DOUBLE)) * log2(n / CAST(tot AS DOUBLE))) AS h FROM t GROUP BY 1)
       SELECT d.doc_id, round(CAST(CAST(abs(coalesce(h, 0)) AS FLOAT) AS DOUBLE), 4) AS char_entropy FROM documents d LEFT JOIN e USING (doc_id)""",

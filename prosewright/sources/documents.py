@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosewright.functions.textprims import WS
+from prosewright.functions.textprims import WS, json_value
 
 
 def read_json_lines(spark: SparkSession, *paths: str, strict: bool = True) -> DataFrame:
     """(doc VARIANT, path, line): full lines of the files. A bad line is an error, or, if not strict, left out."""
     raw = spark.read.text(list(paths)).select(F.col("value"), F.col("_metadata.file_path").alias("path")).where(F.col("value").rlike(f"[^{WS}]"))
-    doc = F.parse_json("value") if strict else F.try_parse_json("value")
-    return raw.select(doc.alias("doc"), "path", F.col("value").alias("line")).where("doc IS NOT NULL")
+    d = raw.select(json_value(F.col("value")).alias("doc"), "path", F.col("value").alias("line"))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("no JSON value: "), F.substring("line", 1, 200))).cast("variant")
+        return d.withColumn("doc", F.when(F.col("doc").isNull(), bad).otherwise(F.col("doc")))
+    return d.where("doc IS NOT NULL")
 
 
 def json_text(doc: Column, path: str) -> Column:
@@ -68,9 +71,12 @@ def first_available(spark: SparkSession, candidates: list[str], format: str = "p
     raise FileNotFoundError("; ".join(tried))
 
 
-def read_words(spark: SparkSession, path: str) -> list[str]:
-    """A word list from a text file of one word a line: a bounded list of settings."""
-    return [r[0] for r in spark.read.text(path).select(F.trim(F.lower("value"))).where("value <> ''").distinct().collect()]
+def read_words(spark: SparkSession, path: str, limit: int = 1_000_000) -> list[str]:
+    """A word list from a text file of one word a line: a list of settings, of at most `limit` words."""
+    rows = spark.read.text(path).select(F.trim(F.lower("value")).alias("w")).where("w <> ''").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} words in {path}")
+    return [r[0] for r in rows]
 
 
 def write_json_lines(df: DataFrame, line: Column, path: str) -> None:
@@ -78,16 +84,23 @@ def write_json_lines(df: DataFrame, line: Column, path: str) -> None:
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then swaps: safe where the target is also read."""
+    """Writes beside the target, then swaps: safe where the target is also read, and the old table is there until the new one is."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(side)
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(side)
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{side}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(staged, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"could not move {side} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def append_parquet(df: DataFrame, path: str) -> None:
@@ -128,6 +141,6 @@ def checksum(spark: SparkSession, path: str) -> str | None:
 def file_errors(spark: SparkSession, path: str, ok: Column) -> DataFrame:
     """(line_number, error) of a JSON Lines file's full lines that are no JSON or fail `ok` (over a VARIANT column doc). Line numbers need one reader: the file is read as one text."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value")).where(F.col("value").rlike(f"[^{WS}]"))
-    d = whole.withColumn("doc", F.try_parse_json("value"))
+    d = whole.withColumn("doc", json_value(F.col("value")))
     error = F.when(F.col("doc").isNull(), "invalid JSON").when(~F.coalesce(ok, F.lit(False)), "sample failed schema validation")
     return d.select((F.col("n") + 1).alias("line_number"), error.alias("error")).where("error IS NOT NULL")

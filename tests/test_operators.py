@@ -249,3 +249,19 @@ def test_undecided_rows_are_an_error(spark):
     assert {r["id"] for r in dedup.dropped(chain, 0.1, max_rounds=3).collect()} == {1, 3, 5}
     with pytest.raises(RuntimeError):
         dedup.dropped(chain, 0.1, max_rounds=2)
+
+
+def test_nearest_among_candidates(spark):
+    r = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(30)], "id int, v array<double>")
+    pairs = d.select(F.col("id").alias("a")).crossJoin(d.select(F.col("id").alias("b")))
+    for metric in ("cosine", "squared"):
+        rows = lambda x: sorted((y["id"], y["nn"], round(y["d"], 6)) for y in x.collect())
+        whole = rows(dedup.nearest(d, "id", "v", metric))
+        assert rows(dedup.nearest(d, "id", "v", metric, block=7)) == whole == rows(dedup.nearest(d, "id", "v", metric, candidates=pairs)) and len(whole) == 30
+    assert rows(dedup.nearest(d, "id", "v", candidates=pairs.where("a = 3 and b = 9"))) and dedup.nearest(d, "id", "v", candidates=pairs.where("a = 3 and b = 9")).count() == 2
+
+
+def test_json_is_one_value(spark):
+    texts = ['{"a": 1}', " [1, 2] ", "1", '"x"', "null", "1, 2", "1] [2", "{} {}", '{"a": 1', "", " ", None, '1, "b": 2', "1}", '{"a": 1, "a": 2} x']
+    assert flags(spark, validators.is_json, *texts) == [True] * 5 + [False] * 10
