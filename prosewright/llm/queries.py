@@ -50,6 +50,13 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return group_split.group_split(table(spark, d, "eval_samples")).select(F.col("id").alias("sample_id"), "root", "split")
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each split, and how many groups stand in more than one."""
+    s = cut(p3_split(spark, d))
+    torn = s.groupBy("root").agg(F.count_distinct("split").alias("k")).where("k > 1").count()
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumn("torn", F.lit(torn).cast("int"))
+
+
 def _cube_inputs(spark, d):
     cells = cut(cube.plan_cells(table(spark, d, "source_plan")))
     rows = cut(cube.cell_rows(table(spark, d, "golden_train"), cells))
@@ -121,6 +128,12 @@ def p7_profiles(spark: SparkSession, d: str) -> DataFrame:
     return _structure(spark, d, statistics=True).withColumnRenamed("id", "doc_id")
 
 
+def p7_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Basic counts of every document."""
+    p = p7_profiles(spark, d)
+    return p.select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("line_end_ratio", 6).alias("line_end_ratio"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.encode_column(table(spark, d, "documents"))
 
