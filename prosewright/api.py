@@ -38,24 +38,27 @@ class Classifier:
     """Rules, or rules with a model for what they defer.
 
     model: a maker of a batch function from feature rows to sub-type logits followed by detection logits (scoring.score_with);
-    min_score: scores and detections below are left out of the result. Without a model every answer is the rules'.
+    min_score: scores and detections below are left out of the result. Without a model every answer is the rules'; where
+    the model fails on a batch, the fallback's, unless failures is "raise". sample_bytes: how much of a text is looked at,
+    None for all of it.
     """
 
-    def __init__(self, spark: SparkSession | None = None, config: ModelConfig | None = None, model: Callable[[], Callable] | None = None, min_score: float | None = None, wordlist: list[str] | None = None):
+    def __init__(self, spark: SparkSession | None = None, config: ModelConfig | None = None, model: Callable[[], Callable] | None = None, min_score: float | None = None, wordlist: list[str] | None = None, sample_bytes: int | None = 10_000, failures: str = "null"):
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.config, self.model, self.min_score, self.wordlist = config, model, min_score, wordlist
+        self.sample_bytes, self.failures = sample_bytes, failures
 
     def with_min_score(self, threshold: float) -> "Classifier":
-        return Classifier(self.spark, self.config, self.model, threshold, self.wordlist)
+        return Classifier(self.spark, self.config, self.model, threshold, self.wordlist, self.sample_bytes, self.failures)
 
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """df plus `classification`, and with a model also `detections` and `sub_type_scores` (maps of category to scored sub-types)."""
         if self.model is None or self.config is None:
-            return rules.classify(df, text_col)
+            return rules.classify(df, text_col, sample_bytes=self.sample_bytes)
         c = self.config
-        d = with_features(df, text_col, sample_bytes=10_000, wordlist=self.wordlist)
+        d = with_features(df, text_col, sample_bytes=self.sample_bytes, wordlist=self.wordlist)
         x = scoring.standardised(F.array(*[F.col(f).cast("double") for f in c.feature_names]), c.feature_mean, c.feature_std)
-        d = scoring.score_with(d, x, self.model, "_logits")
+        d = scoring.score_with(d, x, self.model, "_logits", self.failures)
         probs = scoring.softmax(F.slice("_logits", 1, len(c.sub_types)))
         m = scoring.marginalised(probs, c.sub_types)
         scores = scoring.by_category(scoring.scored(probs, c.sub_types))
@@ -80,11 +83,20 @@ class Classifier:
         return [r["classification"].asDict() for r in self.transform(d).orderBy("i").collect()]
 
     def extract_features(self, text: str) -> dict[str, float]:
-        r = with_features(inline(self.spark, text), wordlist=self.wordlist).first().asDict()
+        r = with_features(inline(self.spark, text), sample_bytes=self.sample_bytes, wordlist=self.wordlist).first().asDict()
         r.pop("text")
         return r
 
 
+def classify(text: str, **settings) -> dict:
+    """One text's classification, by the session there is or a new one."""
+    return Classifier(**settings).classify(text)
+
+
+def classify_batch(texts: list[str], **settings) -> list[dict]:
+    return Classifier(**settings).classify_batch(texts)
+
+
 def human_with_detections(classification: Column, detections: Column, above: float = 0.5) -> Column:
     """The one-line form with detections above a threshold, greatest first."""
     flat = F.flatten(F.transform(F.map_entries(detections), lambda e: F.transform(F.filter(e["value"], lambda d: d["score"] > above), lambda d: F.struct((-d["score"]).alias("o"), F.concat_ws("/", e["key"], d["sub_type"]).alias("n"), d["score"].alias("s")))))

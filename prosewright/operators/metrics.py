@@ -28,6 +28,44 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return c.orderBy(category_order(F.col("actual")), "actual", category_order(F.col("predicted")), "predicted")
 
 
+def confusion_table(df: DataFrame, truth: str, pred: str, labels: list[str] | None = None) -> DataFrame:
+    """(actual, n, one column for each predicted label): all labels that occur on either side, in the given order first, then by name; rows without a pair are 0.
+
+    The labels become columns, so they must be few: more than 1,000 are an error.
+    """
+    c = confusion(df, truth, pred)
+    there = [r[0] for r in c.select("actual").union(c.select("predicted")).distinct().limit(1001).collect()]
+    if len(there) > 1000:
+        raise ValueError("too many labels for a table")
+    order = [x for x in labels or [] if x in there]
+    order += sorted(set(there) - set(order))
+    rows = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order)], "actual string, place int")
+    wide = c.groupBy("actual").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("predicted") == x, F.col("n"))), F.lit(0)).alias(x) for x in order])
+    return rows.join(wide, "actual", "left").fillna(0).orderBy("place").drop("place")
+
+
+def aligned(tables: dict[str, DataFrame], key: str, columns: list[str]) -> DataFrame:
+    """One row a record with a struct of `columns` from each annotator's table, by name.
+
+    Tables of other columns, other numbers of rows, repeated keys or other keys are an error.
+    """
+    names = list(tables)
+    for name, df in tables.items():
+        lacking = {key, *columns} - set(df.columns)
+        if lacking:
+            raise ValueError(f"{name} has no {', '.join(sorted(lacking))}")
+    parts = [df.select(F.col(key), F.lit(i).alias("_t"), F.struct(*columns).alias("_v")) for i, df in enumerate(tables.values())]
+    d = parts[0]
+    for p in parts[1:]:
+        d = d.unionByName(p)
+    one = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("_t") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)], *[F.count_if(F.col("_t") == i).alias(f"_c{i}") for i in range(len(names))])
+    odd = one.where(" OR ".join(f"_c{i} <> 1" for i in range(len(names))))
+    bad = odd.select(key).limit(5).collect()
+    if bad:
+        raise ValueError(f"tables don't hold the same records: {[r[0] for r in bad]}")
+    return one.select(key, *names)
+
+
 def per_category(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """(label, precision, recall, f1, support) for every label that occurs on either side: one pass, from the confusion pairs."""
     pairs = df.groupBy(F.col(truth).alias("a"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))

@@ -73,17 +73,28 @@ def at_least(groups: Column, threshold: float) -> Column:
     return F.map_filter(cut, lambda _, v: F.size(v) > 0)
 
 
-def score_with(df: DataFrame, features: Column, make: Callable[[], Callable], into: str = "logits") -> DataFrame:
-    """df plus model outputs. make() is called once a worker and returns a function from a 2-d array of features to one of outputs."""
+def score_with(df: DataFrame, features: Column, make: Callable[[], Callable], into: str = "logits", failures: str = "null") -> DataFrame:
+    """df plus model outputs. make() is called once a worker and returns a function from a 2-d array of features to one of outputs.
+
+    failures: "null" gives null outputs to the rows of a batch the model (or its making) fails on, so that a fallback can
+    stand in; "raise" ends the job.
+    """
     held: dict = {}
+    if failures not in ("null", "raise"):
+        raise ValueError(f"failures must be null or raise, not {failures}")
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         import numpy as np
 
-        if "f" not in held:
-            held["f"] = make()
-        return pd.Series(list(np.asarray(held["f"](np.array(x.tolist(), np.float32)), float)))
+        try:
+            if "f" not in held:
+                held["f"] = make()
+            return pd.Series(list(np.asarray(held["f"](np.array(x.tolist(), np.float32)), float)))
+        except Exception:  # noqa: BLE001 - whatever a foreign model raises
+            if failures == "raise":
+                raise
+            return pd.Series([None] * len(x), dtype=object)
 
     return df.withColumn(into, run(features.cast("array<double>")))
 

@@ -41,6 +41,13 @@ def prepared(df: DataFrame, features: list[str], label: str, id_col: str, fracti
     return d.where("y IS NOT NULL"), settings
 
 
+def export_settings(settings: dict, path: str, **more) -> None:
+    """The settings of `prepared` as the JSON that stands beside a model (api.ModelConfig reads it)."""
+    sub_types = {c: i for i, c in enumerate(settings["classes"])}
+    with open(path, "w") as f:
+        json.dump({**{k: settings[k] for k in ("feature_names", "feature_mean", "feature_std")}, "sub_type_map": sub_types, **more}, f, indent=2)
+
+
 def train_perceptron(d: DataFrame, n_features: int, n_classes: int, hidden: tuple[int, ...] = (64, 32), iterations: int = 100, seed: int = 42):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 

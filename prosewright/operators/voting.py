@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosewright.functions.labels import DETECTOR_SUB_TYPE, VALID_SUB_TYPES, lookup
@@ -114,6 +114,20 @@ def corrected_and_ties(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, votes.where("verdict = 'TIE'")
 
 
+def tally(df: DataFrame, by: str) -> DataFrame:
+    """(by, n, share): how often each outcome came out; null is one of them."""
+    every = Window.partitionBy(F.lit(1))  # one row for each outcome
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(every))
+
+
+def all_resolved(df: DataFrame, sub_type: str = "sub_type", unresolved: tuple[str, ...] = ("unknown", "manual_review")) -> DataFrame:
+    """df itself; rows whose label is still open are an error that says how many there are."""
+    open_ = df.where(F.col(sub_type).isin(*unresolved)).count()
+    if open_:
+        raise ValueError(f"{open_} rows are still unresolved")
+    return df
+
+
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not done yet (resume after a checkpoint)."""
     return df.join(done.select(key), key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prosewright.functions import labels
 from prosewright.functions.features import with_features
 from prosewright.functions.words import clean_name, is_blank
-from prosewright.operators import filters, metrics, parsing, routing, rules, sampling, scoring, validators, voting
+from prosewright.operators import filters, metrics, parsing, pulls, routing, rules, sampling, scoring, validators, voting
 from prosewright.plans.catalogue import FLAGS, WHOLE, _eval, _flags
 from prosewright.session import shared_path, table
 from prosewright.sources import documents as docs
@@ -298,7 +298,36 @@ def grouped_validation(spark, d):
     return per.agg(F.max("sides").cast("int").alias("sides"), (F.abs(F.sum(F.when(F.col("split") == "validation", F.col("n"))) / F.sum("n") - 0.2) < 0.02).alias("close"))
 
 
+def plan_pull(spark, d):
+    """The source plan run over the training rows: what each source gives and what is missing."""
+    p = pulls.planned(table(spark, d, "source_plan").withColumn("name", clean_name("name")))
+    g = _gold(spark, d)
+    return pulls.shortfall(pulls.pulled(g, p, "source", "row_id", ~is_blank(F.col("text"))), p, "source")
+
+
+def plan_pull_rows(spark, d):
+    p = pulls.planned(table(spark, d, "source_plan").withColumn("name", clean_name("name")).withColumn("target_count", F.floor(F.col("target_count") / 50)))
+    return pulls.pulled(_gold(spark, d), p, "source", "row_id", ~is_blank(F.col("text"))).select("row_id", "source")
+
+
 # metrics
+def vote_tally(spark, d):
+    v = table(spark, d, "voting_log")
+    t = voting.tally(v.select(voting.vote3(clean_name("original_sub_type"), clean_name("sub_type"), clean_name("new_sub_type"))["method"].alias("method")), "method")
+    return t.select("method", "n", F.round("share", 6).alias("share"))
+
+
+def confusion_wide(spark, d):
+    return metrics.confusion_table(_eval(spark, d).where("truth IN ('prose', 'code', 'structured')"), "truth", "pred", ["prose", "code", "structured"])
+
+
+def aligned_tables(spark, d):
+    """Three annotators' tables side by side, by record."""
+    g = _gold(spark, d).where("sub_type IS NOT NULL")
+    mine = {x: g.select("row_id", F.coalesce(validators.HEURISTICS[x](F.coalesce("text", F.lit(""))), F.lit(False)).alias("flag")) for x in ("python", "sql", "shell")}
+    return metrics.aligned(mine, "row_id", ["flag"]).select("row_id", *[F.col(f"{x}.flag").alias(x) for x in mine])
+
+
 def tier_counts(spark, d):
     c = rules.classify(table(spark, d, "documents"), sample_bytes=WHOLE)
     return c.groupBy("classification.tier", (F.col("classification.confidence") >= 0.9).alias("sure")).agg(F.count(F.lit(1)).alias("n"))
@@ -336,7 +365,7 @@ def heuristic_pass_rates(spark, d):
 _QUERIES = [
     json_lines_read, json_lines_gzip, json_lines_tolerant, json_lines_classified, csv_read, parquet_renamed, first_available, parquet_appended, union_frames, line_errors, feature_csv, filter_route, quality_filter, content_filters, clear_boundary,
     label_columns, reclassify_artifacts, json_texts, delimited_texts, feature_divergence, standard_scores, detections, score_filter, reply_flags, reply_arrays, text_pieces, voted_labels, bulk_relabels, flag_agreement, ghost_sub_types, corrected_votes, last_corrections,
-    disputed_labels, second_tier, stratified_rest, uniform_sample, first_passing, injected_samples, grouped_validation, tier_counts, injected_recall, audit_gate, label_buckets, heuristic_pass_rates,
+    disputed_labels, second_tier, stratified_rest, uniform_sample, first_passing, injected_samples, grouped_validation, plan_pull, plan_pull_rows, vote_tally, confusion_wide, aligned_tables, tier_counts, injected_recall, audit_gate, label_buckets, heuristic_pass_rates,
 ]
 
 

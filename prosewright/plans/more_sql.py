@@ -96,6 +96,13 @@ SQL: dict[str, str] = {
     "first_passing": f"WITH {_GOLD} SELECT row_id FROM g WHERE category = 'code' AND regexp_matches(text, '[^{fs.WSC}]') ORDER BY row_id LIMIT 40",
     "injected_samples": " UNION ALL ".join(f"(SELECT row_id, 'inject_{x}' AS audit_source FROM golden_train WHERE regexp_matches(text, {fs.q('|'.join(f'(?:{p})' for p in INJECTION[x]))}) ORDER BY {_H.format('row_id')}, row_id LIMIT 40)" for x in ("stack_trace", "diff_patch")),
     "grouped_validation": "SELECT 1 AS sides, true AS close",
+    "plan_pull": f"""WITH {_GOLD}, p AS (SELECT {cn('name')} AS name, CAST(sum(greatest(coalesce(target_count, 0), 0)) AS BIGINT) AS target FROM (SELECT DISTINCT * FROM source_plan) WHERE name IS NOT NULL GROUP BY 1), n AS (SELECT source, count(*) AS n FROM g WHERE regexp_matches(text, '[^{fs.WSC}]') GROUP BY 1)
+      SELECT name, target, least(target, coalesce(n, 0)) AS taken, target - least(target, coalesce(n, 0)) AS missing FROM p LEFT JOIN n ON name = source""",
+    "plan_pull_rows": f"""WITH {_GOLD}, p AS (SELECT name, sum(t) AS t FROM (SELECT DISTINCT {cn('name')} AS name, target_count // 50 AS t, category, sub_type, synthetic, notes, max_repeat FROM source_plan) GROUP BY 1),
+      r AS (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER BY {_H.format('row_id')}, row_id) AS k FROM g WHERE regexp_matches(text, '[^{fs.WSC}]')) SELECT row_id, source FROM r JOIN p ON name = source WHERE k <= t""",
+    "vote_tally": f"WITH v AS (SELECT {cn('original_sub_type')} AS o, {cn('sub_type')} AS s, {cn('new_sub_type')} AS w FROM voting_log), m AS (SELECT CASE WHEN o = s AND s = w THEN 'unanimous' WHEN o = s OR o = w OR s = w THEN 'majority' ELSE 'tie' END AS method FROM v) SELECT method, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM m) AS DOUBLE), 6) AS share FROM m GROUP BY 1",
+    "confusion_wide": f"WITH {_EVAL} SELECT truth AS actual, count(*) AS n, count(*) FILTER (WHERE pred = 'prose') AS prose, count(*) FILTER (WHERE pred = 'code') AS code, count(*) FILTER (WHERE pred = 'structured') AS structured FROM ev WHERE truth IN ('prose', 'code', 'structured') AND pred IS NOT NULL GROUP BY 1",
+    "aligned_tables": f"SELECT row_id, {', '.join(f'{HOLDS[x]} AS {x}' for x in ('python', 'sql', 'shell'))} FROM (SELECT row_id, coalesce(text, '') AS t FROM golden_train WHERE sub_type IS NOT NULL)",
     "tier_counts": tier1("documents", "doc_id", "text") + " SELECT 'structural' AS tier, confidence >= 0.9 AS sure, count(*) AS n FROM tc GROUP BY 2",
     "injected_recall": f"WITH {_VOTES}, {_RECALL} SELECT label, round(recall, 6) AS recall FROM rc",
     "audit_gate": f"WITH {_VOTES}, {_RECALL}, {_AGREEMENT} SELECT label, mean_agreement >= 0.6 AND coalesce(recall >= 0.5, false) AS passes FROM rc JOIN ag USING (label)",

@@ -18,6 +18,25 @@ def evaluation(df: DataFrame, truth: str, pred: str) -> dict:
     }
 
 
+def sliced(df: DataFrame, fields: list[str], truth: str, pred: str) -> dict:
+    """The evaluation, and accuracy by each value of each field."""
+    slices: dict[str, dict] = {f: {} for f in fields}
+    for r in metrics.slice_report(df, fields, truth, pred).collect():  # a row for each value
+        slices[r["field"]][r["value"]] = {k: r[k] for k in ("total", "correct", "accuracy")}
+    return {**evaluation(df, truth, pred), "slices": slices}
+
+
+def audit(votes: DataFrame, key: str, label: str = "label", flag: str = "flag") -> dict:
+    """Annotator agreement, recall of injected rows and the gate, per label, and whether all labels pass. votes: as injected_recall takes them."""
+    agreement, recall = metrics.annotator_agreement(votes, key, label, flag), metrics.injected_recall(votes, key)
+    out = {r["label"]: {k: r[k] for k in ("mean_agreement", "unanimous_rate", "split_rate")} for r in agreement.collect()}
+    for r in recall.collect():
+        out.setdefault(r["label"], {})["recall"] = r["recall"]
+    for r in metrics.gate(agreement, recall).collect():
+        out[r["label"]]["passes"] = r["passes"]
+    return {"labels": out, "passes": all(x.get("passes", False) for x in out.values())}
+
+
 def as_text(report: dict, title: str = "") -> str:
     lines = [title] if title else []
     lines.append(f"accuracy {report['accuracy']:.4f} ({report['correct']} of {report['total']})")

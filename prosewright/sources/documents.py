@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosewright.functions.textprims import WS, json_value
+from prosewright.session import shared_path
 
 
 def read_json_lines(spark: SparkSession, *paths: str, strict: bool = True) -> DataFrame:
@@ -60,6 +61,22 @@ def inline(spark: SparkSession, *texts: str | None) -> DataFrame:
     return spark.createDataFrame([(t,) for t in texts], "text string")
 
 
+def from_stream(spark: SparkSession, lines, batch: int = 100_000) -> str:
+    """The path of a text table in the shared folder with the lines of an open file, such as standard input; written batch by batch."""
+    path, held = shared_path(spark, "input"), []
+
+    def put():
+        spark.createDataFrame([(x,) for x in held], "value string").write.mode("append").text(path)
+        held.clear()
+
+    for line in lines:
+        held.append(line.rstrip("\r\n"))
+        if len(held) >= batch:
+            put()
+    put()
+    return path
+
+
 def first_available(spark: SparkSession, candidates: list[str], format: str = "parquet") -> DataFrame:
     """The first path that can be read; an error naming all if none can."""
     tried = []

@@ -53,3 +53,53 @@ def test_prompt_and_section(spark):
     d = spark.createDataFrame([("x" * 60 + "\n\nshort", None)], "t string, u string")
     r = d.select(parsing.prompt("[{t}|{u}]", t=F.lit("k"), u=F.col("u")), parsing.one_section(F.col("t"))).first()
     assert r[0] == "[k|]" and r[1] == "x" * 60
+
+
+def test_a_failing_model_falls_back(spark, config):
+    def model():
+        raise OSError("no such file")
+
+    d = spark.createDataFrame([(1, PROSE), (2, "")], "i int, text string")
+    r = {x["i"]: x["classification"] for x in Classifier(spark, config, model).transform(d).collect()}
+    assert r[1]["category"] == "prose" and r[1]["reason"].startswith("no model") and r[2]["confidence"] == 0
+    with pytest.raises(Exception, match="no such file"):
+        Classifier(spark, config, model, failures="raise").transform(d).collect()
+
+
+def test_whole_texts_where_asked_for(spark):
+    long = PROSE + "\n" * 3 + "x = {1;\n" * 3000
+    d = spark.createDataFrame([(long,)], "text string")
+    a, b = (Classifier(spark, sample_bytes=n).extract_features(long)["line_count"] for n in (10_000, None))
+    assert a < b == 3003 and Classifier(spark, sample_bytes=None).transform(d).count() == 1
+
+
+def test_functions_of_the_package(spark):
+    import prosewright
+
+    assert prosewright.classify(PROSE, spark=spark)["category"] == "prose"
+    assert len(prosewright.classify_batch([PROSE, ""], spark=spark)) == 2
+    with pytest.raises(AttributeError):
+        prosewright.nothing
+
+
+def test_audit_and_slices(spark):
+    v = spark.createDataFrame([(k, a, "inject_log_content", "log_content", 1) for k in range(5) for a in "xyz"], "row_id int, annotator string, audit_source string, label string, flag int")
+    r = reports.audit(v, "row_id")
+    assert r["labels"]["log_content"] == {"mean_agreement": 1, "unanimous_rate": 1, "split_rate": 0, "recall": 1, "passes": True} and not r["passes"]
+    d = spark.createDataFrame([("a", "a", "u"), ("a", "b", "v"), ("b", "b", None)], "t string, p string, f string")
+    assert reports.sliced(d, ["f"], "t", "p")["slices"] == {"f": {"u": {"total": 1, "correct": 1, "accuracy": 1}, "v": {"total": 1, "correct": 0, "accuracy": 0}}}
+
+
+def test_aligned_tables(spark):
+    from prosewright.operators import metrics, voting
+
+    a = spark.createDataFrame([(1, 0), (2, 1)], "k int, flag int")
+    assert metrics.aligned({"x": a, "y": a}, "k", ["flag"]).count() == 2
+    for b in (a.limit(1), a.union(a), a.withColumn("k", F.col("k") + 1)):
+        with pytest.raises(ValueError):
+            metrics.aligned({"x": a, "y": b}, "k", ["flag"])
+    with pytest.raises(ValueError):
+        metrics.aligned({"x": a, "y": a.drop("flag")}, "k", ["flag"])
+    assert voting.all_resolved(a, "k", ("9",)).count() == 2
+    with pytest.raises(ValueError):
+        voting.all_resolved(a, "k", ("1",))
