@@ -1,26 +1,24 @@
 """The 41 structural features of a text, in canonical order, as Column expressions.
 
 `with_features` adds them to a DataFrame without a shuffle: one projection of shared primitives (sample, lines, trimmed
-lines, tokens), then one of features. Only character entropy is computed in Python, in Arrow batches. Values are computed
-in double and cast to float; a null or empty text has all zeros and line_count 0.
+lines, tokens), then one of features. Those that count how often the values of a text recur (functions.counted) are
+computed together in Arrow batches: expressions over arrays would be quadratic or interpreted row by row. Values are
+computed in double and cast to float; a null or empty text has all zeros and line_count 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from prosewright.functions.counted import COUNTED, DELIMITERS, counted
 from prosewright.functions.textprims import ALNUM, WS, byte_prefix, count_of, lines, ltrim, ratio, rtrim, tokens, trim, unescape_newlines
 
 # Sequences of wrongly decoded text, and programming operators.
 MOJIBAKE = ["Ã©", "Ã¨", "Ã¼", "Ã¶", "Ã¤", "Â°", "Â©", "â\u0080\u0093", "â\u0080\u0099", "â\u0080\u009c", "â\u0080\u009d"]
 OPERATORS = ["==", "!=", ">=", "<=", "&&", "||", "=>", "->", "+=", "-=", "*=", "/=", "**", "<<", ">>", "::"]
-DELIMITERS = [",", "|", "\t", ";"]
 
 # Line and token patterns (Java dialect).
 SENTENCE_END = rf"(?<=\p{{IsAlphabetic}})[.!?](?={WS}|\z)"
@@ -52,11 +50,6 @@ def _share(hits: Callable[[Column], Column], of: Column, by: Column) -> Column:
     return ratio(F.size(F.filter(of, hits)), by)
 
 
-def _most(values: Column, of: Column | None = None) -> Column:
-    """How often the most frequent value occurs; of: the values to look at, if not all."""
-    return F.array_max(F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda c: c == v))))
-
-
 def _line_length_cv() -> Column:
     sizes = F.transform(P.l, lambda x: F.octet_length(x).cast("double"))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
@@ -65,59 +58,22 @@ def _line_length_cv() -> Column:
     return F.when((F.size(P.l) < 2) | (mean < 1), F.lit(0.0)).otherwise(F.sqrt(var) / mean)
 
 
-@F.pandas_udf(DoubleType())
-def char_entropy(texts: pd.Series) -> pd.Series:
-    """Shannon entropy of the characters of each text, in bits; 0 for null and empty ones."""
-
-    def one(t: str | None) -> float:
-        if not t:
-            return 0.0
-        n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
-        p = n / n.sum()
-        return float(max(0.0, -(p * np.log2(p)).sum()))
-
-    return texts.map(one, na_action=None)
-
-
 def _columns_before(line: Column) -> Column:
     """Columns of white space a line starts with; a tab counts four."""
     return F.length(F.replace(F.regexp_extract(line, f"^{WS}*", 0), F.lit("\t"), F.lit("    ")))
 
 
-def _delimiter_consistency() -> Column:
-    def one(d: str) -> Column:
-        per = F.transform(P.l, lambda x: count_of(x, d))
-        # the most frequent count; of several the one seen first
-        best = F.array_max(F.transform(F.array_distinct(per), lambda v: F.struct(F.size(F.filter(per, lambda c: c == v)).alias("f"), (-F.array_position(per, v)).alias("p"), v.alias("v"))))
-        return F.when(best["v"] > 0, best["f"] / F.size(P.l)).otherwise(F.lit(0.0))
-
-    return F.when(F.size(P.l) < 3, F.lit(0.0)).otherwise(F.greatest(*[one(d) for d in DELIMITERS]))
-
-
 def _is_key_value(t: Column) -> Column:
     colon, equal = F.instr(t, ": "), F.instr(t, "=")
     named = lambda at: F.substring(t, F.lit(1), at - 1).rlike(f"[{ALNUM}]")
     return F.when(colon > 0, (colon > 1) & named(colon)).otherwise((equal > 1) & (equal < F.length(t)) & named(equal))
 
 
-def _repetitive_structure() -> Column:
-    shapes = F.transform(F.slice(P.l, 1, 20), lambda x: F.concat_ws(",", F.size(tokens(x)).cast("string"), *[F.contains(x, F.lit(d)).cast("string") for d in DELIMITERS]))
-    return F.when(F.size(P.l) < 3, F.lit(0.0)).otherwise(ratio(_most(shapes), F.size(shapes)))
-
-
 def _hyphenated() -> Column:
     broken = F.zip_with(F.slice(P.l, 1, F.greatest(F.size(P.l) - 1, F.lit(0))), F.slice(P.l, 2, F.greatest(F.size(P.l) - 1, F.lit(0))), lambda a, b: rtrim(a).endswith("-") & ltrim(b).rlike(r"^\p{IsLowercase}"))
     return F.when(F.size(P.l) < 2, F.lit(0.0)).otherwise(ratio(F.size(F.filter(broken, lambda x: x)), F.size(P.l) - 1))
 
 
-def _short_repeated() -> Column:
-    short = F.array_sort(F.filter(P.t, lambda t: F.octet_length(t).between(1, 40)))
-    n = F.size(short)
-    # in sorted order a line is repeated if it equals a neighbour
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.get(short, i - 1) == F.get(short, i), F.lit(False)) | F.coalesce((i > 1) & (F.get(short, i - 1) == F.get(short, i - 2)), F.lit(False)))
-    return F.when(n < 2, F.lit(0.0)).otherwise(ratio(F.size(hits), n))
-
-
 def _uppercase_header() -> Column:
     def hit(t: Column) -> Column:
         letters, upper = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}")), F.regexp_count(t, F.lit(r"\p{IsUppercase}"))
@@ -126,23 +82,6 @@ def _uppercase_header() -> Column:
     return _share(hit, P.ne, P.m)
 
 
-def _repeated_ngrams() -> Column:
-    grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.size(P.w) - 3, F.lit(0))), lambda i: F.concat_ws("\x1f", F.get(P.w, i), F.get(P.w, i + 1), F.get(P.w, i + 2))))
-    n = F.size(grams)
-    # counts over the sorted array: distinct ones, and those whose second occurrence this is
-    state = F.aggregate(
-        grams,
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("distinct"), F.lit(0).alias("repeated")),
-        lambda s, g: F.struct(
-            g.alias("last"),
-            F.when(g == s["last"], s["run"] + 1).otherwise(1).alias("run"),
-            (s["distinct"] + F.when(g == s["last"], 0).otherwise(1)).alias("distinct"),
-            (s["repeated"] + F.when((g == s["last"]) & (s["run"] == 1), 1).otherwise(0)).alias("repeated"),
-        ),
-    )
-    return F.when(F.size(P.w) < 3, F.lit(0.0)).otherwise(ratio(state["repeated"], state["distinct"]))
-
-
 def _multiple_of(base: int) -> Callable[[Column], Column]:
     return lambda v: v % base == 0
 
@@ -180,7 +119,7 @@ def _per_mille(count: Column) -> Column:
 #: feature -> expression over the shared primitives; the order is the model's input order.
 FEATURES: dict[str, Callable[[], Column]] = {
     "line_length_cv": _line_length_cv,
-    "char_entropy": lambda: char_entropy(P.s),
+    "char_entropy": lambda: F.col("_counted.char_entropy"),
     "leading_whitespace_ratio": lambda: _share(lambda x: _columns_before(x) > 2, P.l, P.n),
     "tab_density": lambda: ratio(count_of(P.s, "\t"), P.chars),
     "sentence_punctuation_rate": lambda: ratio(F.regexp_count(P.s, F.lit(SENTENCE_END)), F.greatest(F.size(P.w), F.lit(1))),
@@ -189,23 +128,23 @@ FEATURES: dict[str, Callable[[], Column]] = {
     "line_uniqueness": lambda: ratio(F.size(F.array_distinct(F.slice(P.l, 1, 500))), F.greatest(F.size(F.slice(P.l, 1, 500)), F.lit(1))),
     "short_line_ratio": lambda: _share(lambda t: F.octet_length(t).between(1, 14), P.t, P.n),
     "symbol_ratio": lambda: ratio(F.regexp_count(P.s, F.lit(SYMBOL)), P.chars),
-    "delimiter_consistency": _delimiter_consistency,
+    "delimiter_consistency": lambda: F.col("_counted.delimiter_consistency"),
     "json_brace_depth": lambda: ratio(F.regexp_count(P.s, F.lit(r"[{}\[\]]")), P.chars),
     "key_value_ratio": lambda: _share(_is_key_value, P.t, P.n),
     "xml_tag_ratio": lambda: _share(lambda x: x.rlike(r"</?\p{IsAlphabetic}"), P.l, P.n),
     "log_line_ratio": lambda: _share(lambda t: t.rlike(LOG_START), P.t, P.n),
     "comment_ratio": lambda: _share(lambda t: t.rlike(COMMENT_START), P.t, P.n),
     "numeric_field_ratio": lambda: _share(lambda w: F.replace(w, F.lit(","), F.lit("")).rlike(NUMBER), P.w, F.size(P.w)),
-    "repetitive_structure_score": _repetitive_structure,
+    "repetitive_structure_score": lambda: F.col("_counted.repetitive_structure_score"),
     "hyphenated_line_break_ratio": _hyphenated,
-    "short_repeated_line_ratio": _short_repeated,
+    "short_repeated_line_ratio": lambda: F.col("_counted.short_repeated_line_ratio"),
     "page_number_density": lambda: _share(lambda t: t.rlike(PAGE), P.t, P.n),
     "label_value_line_ratio": lambda: _share(lambda t: t.rlike(LABEL_VALUE), P.t, P.n),
     "table_fragment_score": lambda: ratio(F.size(F.filter(P.l, lambda x: (trim(x) != "") & ((F.regexp_count(x, F.lit(r"[,|\t;]")) >= 2) | x.rlike(SPACED)))), P.m),
     "uppercase_header_ratio": _uppercase_header,
-    "dictionary_word_ratio": lambda: F.lit(0.0),  # see with_features
+    "dictionary_word_ratio": lambda: F.col("_counted.dictionary_word_ratio"),
     "encoding_error_ratio": lambda: ratio(sum((count_of(P.s, m) for m in MOJIBAKE), count_of(P.s, "�")), P.chars),
-    "repeated_ngram_ratio": _repeated_ngrams,
+    "repeated_ngram_ratio": lambda: F.col("_counted.repeated_ngram_ratio"),
     "sentence_coherence_score": lambda: _share(lambda t: t.rlike(r"(?s)^\p{IsUppercase}(?:.*[.!?])$"), P.ne, P.m),
     "avg_words_per_line": lambda: ratio(F.size(P.w), P.m),
     "operator_density": lambda: _per_mille(sum((count_of(P.s, o) for o in OPERATORS[1:]), count_of(P.s, OPERATORS[0]))),
@@ -250,18 +189,14 @@ PRIMITIVES = ["_s", "_r", "_l", "_t", "_ne", "_w", "_chars", "_n", "_m"]
 def with_features(df: DataFrame, text_col: str = "text", names: Iterable[str] | None = None, sample_bytes: int | None = 10_000, wordlist: Iterable[str] | None = None, line_count: bool = True) -> DataFrame:
     """df plus the named features (all by default) as floats, and line_count.
 
-    wordlist: the words of dictionary_word_ratio, a bounded list (it becomes a set literal); without it the ratio is 0.
+    wordlist: the words of dictionary_word_ratio, a list every worker holds; without it the ratio is 0.
     """
     names = list(FEATURES if names is None else names)
     d = prepared(df, text_col, sample_bytes)
-    new = {}
-    for name in names:
-        value = FEATURES[name]()
-        if name == "dictionary_word_ratio" and wordlist is not None:
-            words = dictionary_tokens(P.w)
-            known = F.filter(words, lambda w: w.isin(*sorted(set(wordlist))))
-            value = ratio(F.size(known), F.size(words))
-        new[name] = F.when(F.length("_r") == 0, F.lit(0.0)).otherwise(value).cast("float")
+    together = [n for n in names if n in COUNTED]
+    if together:
+        d = d.withColumn("_counted", counted(together, wordlist)(P.s))
+    new = {n: F.when(F.length("_r") == 0, F.lit(0.0)).otherwise(FEATURES[n]()).cast("float") for n in names}
     if line_count:
         new["line_count"] = F.when(F.length("_r") == 0, F.lit(0)).otherwise(P.n)
-    return d.withColumns(new).drop(*PRIMITIVES)
+    return d.withColumns(new).drop(*PRIMITIVES, "_counted")

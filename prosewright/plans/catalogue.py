@@ -16,6 +16,7 @@ from prosewright.session import table
 from prosewright.sources import generators
 
 WHOLE = None  # no sample: features of whole texts
+MOST_WORDS = 500_000
 
 CHARS = ["tab_density", "sentence_punctuation_rate", "paragraph_break_rate", "alpha_ratio", "symbol_ratio", "json_brace_depth", "encoding_error_ratio", "operator_density", "inline_markup_count", "parenthesis_density", "shebang_present"]
 LINES = [
@@ -70,8 +71,10 @@ def feat_dictionary(spark, d):
 
 def features_all(spark, d):
     """All 41 features of every document, the dictionary from the word list."""
-    words = [r[0] for r in table(spark, d, "wordlist").select(F.lower(F.trim("word"))).where("word IS NOT NULL").distinct().collect()]
-    return with_features(table(spark, d, "documents"), sample_bytes=WHOLE, wordlist=words).select("doc_id", *FEATURES, "line_count")
+    words = [r[0] for r in table(spark, d, "wordlist").select(F.lower(F.trim("word"))).where("word IS NOT NULL").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise ValueError("the word list is too long for every worker to hold; feat_dictionary joins it")
+    return with_features(table(spark, d, "documents"), sample_bytes=WHOLE, wordlist=words).select("doc_id", *[_r4(n) for n in FEATURES], "line_count")
 
 
 def tier1_classify(spark, d):

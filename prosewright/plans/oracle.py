@@ -203,3 +203,5 @@ SQL: dict[str, str] = {
     "source_counts": f"SELECT {cn('source')} AS source, {cn('category')} AS category, count(*) AS n FROM golden_train GROUP BY 1, 2",
 }
 SQL["filter_categories"] = SQL["filter_categories"].replace("x AS r0, ", "")
+_PARTS = ["feat_chars", "feat_lines", "feat_shapes", "feat_entropy", "feat_ngrams", "feat_runs", "feat_json_lines", "feat_dictionary"]
+SQL["features_all"] = f"SELECT * FROM ({SQL[_PARTS[0]]}) " + " ".join(f"JOIN ({SQL[p]}) USING (doc_id)" for p in _PARTS[1:])

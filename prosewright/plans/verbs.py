@@ -15,6 +15,7 @@ from prosewright.operators import metrics, scoring
 from prosewright.operators.filters import label_column
 from prosewright.operators.routing import FIELDS, LEAST_CONFIDENCE, field_categories, route
 from prosewright.operators.rules import human
+from prosewright.session import clean_up
 from prosewright.sources import documents as docs
 
 
@@ -110,3 +111,4 @@ def main(argv: list[str] | None = None) -> None:
         label_corpus(spark, source, a.output, field, a.with_features, c)
     else:
         print(json.dumps(validate(spark, source, field, c), indent=2))
+    clean_up(spark)

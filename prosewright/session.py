@@ -74,9 +74,19 @@ def cut_by(df: DataFrame, *keys: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"prosewright-{spark.sparkContext.applicationId}")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, in this application's part of it."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what `stored` and `shared_path` of this application have written. Only when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -123,3 +123,27 @@ def test_entry_and_names(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_standard_input_and_cleaning_up(spark, capsys, monkeypatch, tmp_path):
+    import io
+    import os
+
+    from prosewright import session
+    from prosewright.plans import verbs
+    from prosewright.sources import documents
+
+    lines = ['{"text": "The old bridge was closed. Nobody minded the longer way home that year.", "n": 1}', '{"n": 2}', ""]
+    path = documents.from_stream(spark, io.StringIO("\n".join(lines)), batch=1)
+    assert documents.read_json_lines(spark, path).count() == 2
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(lines)))
+    verbs.main(["file", "-", "-o", str(tmp_path / "out")])
+    assert documents.read_json_lines(spark, str(tmp_path / "out")).where("try_variant_get(doc, '$._classification.category', 'string') = 'prose'").count() == 1
+    assert not os.path.exists(session._own_folder(spark))
+    monkeypatch.setattr("sys.stdin", io.StringIO("The old bridge was closed. Nobody minded the longer way home that year."))
+    verbs.main(["text", "-", "--human"])
+    assert capsys.readouterr().out.startswith("prose (")
+    verbs.main(["text", "a b c d e f", "--sample-bytes", "0"])
+    assert '"category":"prose"' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        verbs.main(["text", "a", "--model", "x.onnx"])
