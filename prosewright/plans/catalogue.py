@@ -352,10 +352,11 @@ def stream_categories(spark, d):
     # a stream reads folders or patterns: a table of one file is named by a pattern that only it fits
     source = path if _is_folder(spark, path) else f"{d}/[d]ocuments.parquet"
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)
-    stream = stream.select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    # times without a zone are read as UTC, whatever the session's zone
+    stream = stream.select("doc_id", "text", F.concat(F.col("fetched_at").cast("string"), F.lit("Z")).cast("timestamp").alias("fetched_at"))
     q = windowed_categories(stream, "fetched_at", "7 days", sample_bytes=WHOLE).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "category", "n")
+    return spark.table(name).select(F.date_from_unix_date(F.floor(F.col("window.start").cast("long") / 86400).cast("int")).cast("string").alias("start"), "category", "n")
 
 
 def _is_folder(spark, path: str) -> bool:

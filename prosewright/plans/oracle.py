@@ -203,5 +203,6 @@ SQL: dict[str, str] = {
     "source_counts": f"SELECT {cn('source')} AS source, {cn('category')} AS category, count(*) AS n FROM golden_train GROUP BY 1, 2",
 }
 SQL["filter_categories"] = SQL["filter_categories"].replace("x AS r0, ", "")
+SQL["stream_categories"] = tier1("documents", "doc_id", "text") + " SELECT strftime(make_timestamp(CAST(epoch(fetched_at) AS BIGINT) // 604800 * 604800 * 1000000), '%Y-%m-%d') AS start, category, count(*) AS n FROM tc JOIN documents ON doc_id = k WHERE fetched_at IS NOT NULL GROUP BY 1, 2"
 _PARTS = ["feat_chars", "feat_lines", "feat_shapes", "feat_entropy", "feat_ngrams", "feat_runs", "feat_json_lines", "feat_dictionary"]
 SQL["features_all"] = f"SELECT * FROM ({SQL[_PARTS[0]]}) " + " ".join(f"JOIN ({SQL[p]}) USING (doc_id)" for p in _PARTS[1:])
