@@ -158,6 +158,62 @@ def test_prefix_index_loses_no_pair(monkeypatch):
         assert want <= got and len(want) >= len(texts)
 
 
+def _one_vocabulary(r, n, near):
+    """Evaluation and training texts of the same 220 words, alike by 0.2 to 0.5, but for the first `near` of each, which are reworked."""
+    texts = [[r.choice(WORDS) + str(int(r.paretovariate(1)) % 9) for _ in range(r.randint(60, 90))] for _ in range(2 * n)]
+    for i in range(near):
+        texts[n + i] = [w if r.random() > 0.12 else r.choice(texts[-1]) for w in texts[i]]
+    return [" ".join(x) for x in texts[:n]], [" ".join(x) for x in texts[n:]]
+
+
+def test_texts_of_one_vocabulary_are_seldom_candidates():
+    import numpy as np
+
+    from prosewright.functions.words import WordCodes
+
+    evals, train = _one_vocabulary(random.Random(4), 400, 40)
+    e, t = (near_dup.Texts(x, WordCodes(), 40) for x in (evals, train))
+    a, b = ((x.tokens >> np.uint64(32)).astype(np.uint32) for x in (e, t))
+    index = overlap.PrefixIndex([a[s : s + n] for s, n in zip(e.starts, e.lengths)], 0.7)
+    got = {(int(j), int(i)) for i, j in zip(*index.candidates(b, t.lengths))}
+    want = {(j, i) for j, x in enumerate(evals) for i, y in enumerate(train) if similarity(x, y) >= 0.7}
+    assert want <= got and len(want) > 20 and len(got) < 0.005 * 400 * 400
+
+
+def test_many_candidates_and_very_long_texts(tmp_path, monkeypatch):
+    """A shard's file gives what its texts say; lookups are halved where candidates are many; lengths beyond 65535 words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from prosewright.functions.words import WordCodes
+
+    r = random.Random(6)
+    evals, train = _one_vocabulary(r, 60, 30)
+    long = [f"u{k}" for k in range(70_000)]
+    evals += [" ".join(long), evals[0]]
+    train += [" ".join(long[: 60_000] + ["z"] * 20), " ".join(long[: 40_000]), evals[0], evals[0] + " more"]
+    e, t = (near_dup.Texts(x, WordCodes(), 40) for x in (evals, train))
+    (tmp_path / "e/shard=3").mkdir(parents=True)
+    codes = [e.codes[s : s + n].tobytes() for s, n in zip(e.starts, e.lengths)]
+    pq.write_table(pa.table({"cls": e.classes(), "codes": pa.array([*codes[:-1], None], pa.binary())}), tmp_path / "e/shard=3/x.parquet")
+    counts = np.ones(overlap.COUNTS, np.uint16)  # any order of words will do
+    overlap._Shard.build(str(tmp_path / "e"), 3, f"file://{tmp_path}/built/one", 0.7, counts)
+    s, short = overlap._Shard(f"file://{tmp_path}/built/one", 0.7, counts), (t.tokens >> np.uint64(32)).astype(np.uint32)
+    cls = e.classes().tolist()
+    want = {(i, cls[j]) for j, x in enumerate(evals) for i, y in enumerate(train) if similarity(x, y) >= 0.7}
+    assert len(want) > 15 and (60, cls[60]) in want and (61, cls[60]) not in want
+    for pairs, parts in ((1 << 22, 1), (1, 8)):
+        monkeypatch.setattr(overlap, "LOOKUP_PAIRS", pairs)
+        monkeypatch.setattr(overlap, "LEAST_TEXTS", 4)
+        found = list(overlap._near(s, t, short, overlap.histograms(t), overlap.Lookup(short, t.lengths, 0.7, counts), 0.7, counts))
+        got = set()
+        for own, ev in found:
+            keep, _ = overlap._similar(s, t, short, own, ev, 0.7)
+            got |= {(int(own[k]), int(s.cls[ev[k]])) for k in keep}
+        assert got == want and len(found) >= parts
+
+
 def test_overlaps_of_nothing(spark, rows):
     some = frame(spark, rows[:5])
     for e, g in ((some.limit(0), some), (some, some.limit(0)), (frame(spark, [(1, None)]), some)):
