@@ -99,17 +99,19 @@ def audit_sample(df: DataFrame, id_col: str, n: int = 5000, per_label: int = 50,
     return out
 
 
-def first_passing(df: DataFrame, passes: Column, n: int, order: Column, skips_per_row: int = 50) -> DataFrame:
-    """The first n records that pass, in order, given up once n x skips_per_row others were skipped before them. Two top-k selections; no global window."""
-    d = df.withColumn("_o", order).withColumn("_pass", F.coalesce(passes, F.lit(False)))
+def first_passing(df: DataFrame, passes: Column, n: int, order: Column, skips_per_row: int | None = 50) -> DataFrame:
+    """The first n records that pass, in order (null first), given up at the (n x skips_per_row)-th that does not; None: never given up.
+
+    Two top-k selections; no global window. The order may be of any type that can be ordered: where to give up stays in the plan, as a
+    table of one row.
+    """
+    d = df.withColumn("_o", F.struct(order)).withColumn("_pass", F.coalesce(passes, F.lit(False)))  # a struct compares null as it is sorted
     hits = d.where("_pass").orderBy("_o").limit(n)
-    last = hits.agg(F.max("_o").alias("m")).first()["m"]
-    if last is None:
-        return hits.drop("_o", "_pass")
-    skipped = d.where(~F.col("_pass")).orderBy("_o").select("_o").limit(n * skips_per_row + 1)
-    edge = skipped.agg(F.count(F.lit(1)).alias("k"), F.max("_o").alias("m")).first()
-    if edge["k"] > n * skips_per_row:
-        hits = hits.where(F.col("_o") < F.lit(edge["m"]))
+    if skips_per_row is not None:
+        most = max(n * skips_per_row, 1)
+        skipped = d.where(~F.col("_pass")).orderBy("_o").select("_o").limit(most)
+        edge = skipped.agg(F.when(F.count(F.lit(1)) >= most, F.max("_o")).alias("_edge"))
+        hits = hits.crossJoin(F.broadcast(edge)).where(F.col("_edge").isNull() | (F.col("_o") < F.col("_edge"))).drop("_edge")
     return hits.drop("_o", "_pass")
 
 

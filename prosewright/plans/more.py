@@ -281,8 +281,9 @@ def uniform_sample(spark, d):
 
 
 def first_passing(spark, d):
+    """Of the whole table, however many rows are skipped; null ids last."""
     g = _gold(spark, d)
-    return sampling.first_passing(g, (F.col("category") == "code") & ~is_blank(F.col("text")), 40, F.struct("row_id")).select("row_id")
+    return sampling.first_passing(g, (F.col("category") == "code") & ~is_blank(F.col("text")), 40, F.struct(F.col("row_id").isNull(), "row_id"), None).select("row_id")
 
 
 def injected_samples(spark, d):

@@ -162,6 +162,32 @@ def test_first_passing_gives_up(spark):
     assert sampling.first_passing(d, F.col("i") >= 50, 2, F.col("i"), skips_per_row=10).isEmpty()
 
 
+def test_first_passing_any_order(spark):
+    """Orders that no literal can hold, with a null; given up at the last skip allowed, or never. Rows 30 to 99 pass, 99 has no place in order."""
+    d = spark.createDataFrame([(i if i < 99 else None, i) for i in range(100)], "o int, i int")
+
+    def got(order, n, skips):
+        return sorted(r["i"] for r in sampling.first_passing(d, F.col("i") >= 30, n, order, skips).collect())
+
+    for order in (F.struct("o"), F.array("o"), F.col("o"), F.struct(F.col("o").isNotNull(), "o")):
+        assert [got(order, 3, k) for k in (11, 10, 0, None)] == [[30, 31, 99], [99], [99], [30, 31, 99]]
+    assert [got(F.struct(F.col("o").isNull(), "o"), 3, k) for k in (11, 10, 0, None)] == [[30, 31, 32], [], [], [30, 31, 32]]
+
+
+def test_first_passing_query(spark, tmp_path):
+    """As its SQL has it where thousands of rows are skipped, before the first that passes too, and where an id is null."""
+    duckdb = pytest.importorskip("duckdb")
+    from prosewright.plans import more, more_sql
+
+    rows = [(i, "x", "prose" if i < 2500 else "code") for i in range(2560)] + [(None, "x", "code"), (7, " ", "code"), (8, None, "code"), (9, "x", None), (10, "x", " Code ")]
+    d = spark.createDataFrame(rows[::-1], "row_id long, text string, category string").withColumns({c: F.lit("s") for c in ("sub_type", "source", "model")})
+    for most in (2**20, 2520):
+        path = f"{tmp_path}/{most}"
+        d.where(f"coalesce(row_id, 0) < {most}").write.parquet(f"{path}/golden_train.parquet")
+        want = duckdb.connect().execute(more_sql.SQL["first_passing"].replace("FROM golden_train", f"FROM '{path}/golden_train.parquet/*.parquet'")).fetchall()
+        assert [tuple(r) for r in more.first_passing(spark, path).collect()] == want and len(want) == (40 if most > 2520 else 22)
+
+
 def test_filters(spark):
     good = "\n".join(["line of text"] * 6)
     assert flags(spark, filters.quality_ok, good, "a\nb", "# DO NOT EDIT\n" + good, "\u0001" * 50 + good, None) == [True, False, False, False, False]
